@@ -27,8 +27,6 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"(?is)<link\b[^>]*>"
-META = r"(?is)<meta\b[^>]*>"
 
 
 def host_of(url: Column) -> Column:
@@ -41,46 +39,44 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """A URL as a node: scheme and host in lower case, no fragment. Null without a host."""
-    scheme = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    host = host_of(url)
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(F.substring(rest, 1, 1) == "/", rest).otherwise(F.concat(F.lit("/"), rest))))
+    """A URL as a node: scheme and host in lower case, an empty path as `/`, no fragment. Null without a host."""
+    place = r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)/?([^#]*).*$"
+    return F.when(url.rlike(place), F.concat(F.lower(F.regexp_replace(url, place, "$1://$2")), F.lit("/"), F.regexp_extract(url, place, 3)))
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    quoted = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*"([^"]*)\"""", 1)
-    single = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*'([^']*)'""", 1)
-    bare = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*([^\s"'>]+)""", 1)
-    return F.when(quoted != "", quoted).when(single != "", single).otherwise(bare)
-
-
-def _resolved(link: Column, base: Column) -> Column:
-    """link as an absolute URL, seen from base."""
-    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(base))
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
-    return (
-        F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?") | link.startswith("#"), F.concat(root, path_of(base), link))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+    """The value of a tag's attribute, without its quotes; empty if it has none."""
+    return F.regexp_replace(F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), "^[\"']|[\"']$", "")
+
+
+def _absolute(links: DataFrame) -> DataFrame:
+    """links(url, target) with target as an absolute URL, seen from url; targets that are empty go."""
+    links = links.withColumn("target", F.replace(F.trim("target"), F.lit("&amp;"), F.lit("&"))).where("target <> ''")
+    links = links.withColumn("scheme", F.regexp_extract("url", r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1)).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    root = F.concat("scheme", F.lit("://"), "host")
+    target = (
+        F.when(F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("target"))
+        .when(F.startswith("target", F.lit("//")), F.concat("scheme", F.lit(":"), "target"))
+        .when(F.startswith("target", F.lit("/")), F.concat(root, "target"))
+        .when(F.col("target").rlike("^[?#]"), F.concat(root, "path", "target"))
+        .otherwise(F.concat(root, F.regexp_replace("path", r"[^/]*$", ""), F.when(F.col("path") == "", "/").otherwise(""), "target"))
     )
+    return links.select("url", target.alias("target"))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) of equivalent URLs: from each page to the targets of its canonical links and meta refreshes."""
+def alias_edges(pages: DataFrame, work: Workspace) -> DataFrame:
+    """Edges (a, b) of equivalent URLs: from each page to the targets of its canonical links and meta refreshes.
+
+    The links are written before they are resolved: as one expression, the two would be too long to compile.
+    """
     marked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", r"(?s)<!--.*?-->", "").alias("html"))
-    links = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("tag"))
-    links = links.where(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)")).select("url", _attribute(F.col("tag"), "href").alias("target"))
-    metas = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(META), F.lit(0))).alias("tag"))
-    metas = metas.where(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
-    metas = metas.select("url", F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?is)url\s*=\s*['"]?([^'"]+)""", 1).alias("target"))
-    both = links.union(metas)
-    return both.select(node_of(F.col("url")).alias("a"), node_of(_resolved(F.col("target"), F.col("url"))).alias("b"))
+    tags = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    tags = tags.select("url", "tag", F.lower(_attribute(F.col("tag"), "rel")).alias("rel"), F.lower(_attribute(F.col("tag"), "http-equiv")).alias("equiv"))
+    links = tags.where(F.col("rel").rlike(r"(^|\s)canonical(\s|$)")).select("url", _attribute(F.col("tag"), "href").alias("target"))
+    metas = tags.where("equiv = 'refresh'").select("url", _attribute(F.col("tag"), "content").alias("content"))
+    metas = metas.select("url", F.regexp_extract("content", r"""(?is)url\s*=\s*['"]?([^'"]+)""", 1).alias("target"))
+    both = work.stored(_absolute(work.stored(links.union(metas), "links")), "targets")
+    return both.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
 
 
 def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Column:
@@ -121,7 +117,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     A null url, or one without `://`, has empty host and path, no rule and no alias. Null html states no edge.
     """
     work = Workspace(pages.sparkSession)
-    stated = alias_edges(pages)
+    stated = alias_edges(pages, work)
     if edges is not None:
         stated = stated.union(edges.select(node_of(F.col("a")), node_of(F.col("b"))))
     stated = work.stored(stated.where("a is not null and b is not null and a <> b").distinct(), "edges")
