@@ -77,3 +77,9 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The number of words `[^\\x20\\x09-\\x0D]+`; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's bytes, to size partitions by; where it has none, 16 MB for each shuffle partition."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else (16 << 20) * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from grainmill.llm import mixing, url_filter
+from grainmill.llm import mixing, token_counts, token_files, unigram, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": unigram.op1_sentencepiece,
         "op4_url_filters": url_filter.op4_url_filters,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op8_mixing": mixing.op8_mixing,
+        "op9_token_files": token_files.op9_token_files,
     }
 
 
