@@ -40,6 +40,8 @@ FURNITURE_WORDS = set(
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 WHOLE = {"html", "body", "main", "article"}
+#: Elements of running text: in an article or main, and without class or id, they are content however often it repeats.
+RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=>"'/]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -47,7 +49,7 @@ RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "furniture", "place", "children")
+    __slots__ = ("tag", "path", "furniture", "place", "children", "fixed")
 
     def __init__(self, tag: str, label: str, parent: Element | None, furniture: bool):
         self.tag = tag
@@ -55,6 +57,7 @@ class Element:
         self.furniture = furniture or (parent is not None and parent.furniture)
         self.place = 2 if tag == "article" else max(parent.place if parent else 0, 1 if tag == "main" else 0)
         self.children: list[str] = []
+        self.fixed = tag in WHOLE or (self.place > 0 and tag in RUNNING and label == ">" + tag)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -152,7 +155,9 @@ def main_text(page: str | None, host_key: int, furniture) -> str:
     if not page:
         return ""
     found, _ = blocks(page)
-    rows = [(t, a) for t, a in found if not (a and a[-1].furniture) and not any(_key(host_key, e.path) in furniture for e in a if e.tag not in WHOLE)]
+    named = [(t, a) for t, a in found if not (a and a[-1].furniture)]
+    rows = [(t, a) for t, a in named if not any(_key(host_key, e.path) in furniture for e in a if not e.fixed)] if furniture else named
+    rows = rows or named  # a site of one repeated text still has that text
     most = max((a[-1].place if a else 0 for _, a in rows), default=0)
     return "\n\n".join(t for t, a in rows if (a[-1].place if a else 0) == most)
 
@@ -180,12 +185,12 @@ def _tree_rows(batches):
             found, elements = blocks(page)
             mine, whole = _hash(host), _signed(_hash(page))
             # What is furniture or article by its tag needs no statistics.
-            open_ = [e for e in elements if not e.furniture and e.tag not in WHOLE]
+            open_ = [e for e in elements if not e.furniture and not e.fixed]
             rows = {(_key(mine, e.path), 0, 0) for e in open_} | {(_key(mine, e.path), 1, _signed(_hash(" ".join(e.children)))) for e in open_}
             for text, ancestors in found:
                 if ancestors and not ancestors[-1].furniture:
                     h = _signed(_hash(text))
-                    rows |= {(_key(mine, e.path), 2, h) for e in ancestors if e.tag not in WHOLE}
+                    rows |= {(_key(mine, e.path), 2, h) for e in ancestors if not e.fixed}
             out += [(*r, whole) for r in rows]
         columns = np.array(out, dtype=np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1].astype(np.int32)), pa.array(columns[:, 2]), pa.array(columns[:, 3])], names=["path", "kind", "feature", "page"])
