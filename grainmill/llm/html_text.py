@@ -184,13 +184,10 @@ def _tree_rows(batches):
                 continue
             found, elements = blocks(page)
             mine, whole = _hash(host), _signed(_hash(page))
-            # What is furniture or article by its tag needs no statistics.
-            open_ = [e for e in elements if not e.furniture and not e.fixed]
-            rows = {(_key(mine, e.path), 0, 0) for e in open_} | {(_key(mine, e.path), 1, _signed(_hash(" ".join(e.children)))) for e in open_}
+            rows = {(_key(mine, e.path), 0, 0) for e in elements} | {(_key(mine, e.path), 1, _signed(_hash(" ".join(e.children)))) for e in elements}
             for text, ancestors in found:
-                if ancestors and not ancestors[-1].furniture:
-                    h = _signed(_hash(text))
-                    rows |= {(_key(mine, e.path), 2, h) for e in ancestors if not e.fixed}
+                h = _signed(_hash(text))
+                rows |= {(_key(mine, e.path), 2, h) for e in ancestors if not e.fixed}
             out += [(*r, whole) for r in rows]
         columns = np.array(out, dtype=np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1].astype(np.int32)), pa.array(columns[:, 2]), pa.array(columns[:, 3])], names=["path", "kind", "feature", "page"])
