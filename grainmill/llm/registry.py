@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainmill.llm import fingerprint, html_text, language_id, mixing, token_counts, token_files, unigram, url_filter
+from grainmill.llm import fingerprint, html_text, jaccard, language_id, mixing, token_counts, token_files, unigram, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_url_filters": url_filter.op4_url_filters,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_language_id": language_id.op6_language_id,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_mixing": mixing.op8_mixing,
         "op10_fingerprints": fingerprint.op10_fingerprints,
         "op9_token_files": token_files.op9_token_files,
