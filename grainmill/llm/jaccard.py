@@ -150,7 +150,7 @@ def _describe(width: int):
         for batch, texts in _slices(batches):
             flat, ends = shingle_sets(texts, width)
             n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(set_hashes(flat, ends).view(np.int64), mask=n == 0)], names=["doc_id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(set_hashes(flat, ends).view(np.int64), mask=n == 0)], names=["doc_id", "text_key", "n", "set"])
 
     return run
 
@@ -233,12 +233,13 @@ def _near_size(n, other, share: int):
 
 
 def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of docs(doc_id, text).
+    """doc_id, text_key, class, n_shingles, component_id, n_links for each row of docs(doc_id, text).
 
     Two rows link when 100 * |x & y| >= share * |x | y| for their sets of width-word shingles (A-Z folded, words
     `[^\\x20\\x09-\\x0D]+`; with fewer words the whole sequence is one shingle). component_id is the smallest doc_id
     reachable by links, its own included; equal sets link. n_links counts links found between the row's set and
-    different sets; within a component not every one is looked for. A null or empty text, or one without words, has an
+    different sets; within a component not every one is looked for. class is the component's number, null for an empty
+    set; text_key is xxhash64(text). A null or empty text, or one without words, has an
     empty set and links with nothing. A null doc_id is no smallest one; a component without another has a null id. Rows
     that repeat each give a row.
     """
@@ -246,7 +247,7 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     ship(spark)
     work = Workspace(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = work.stored(rows.mapInArrow(_describe(width), "doc_id long, n long, set long"), "documents")
+    described = work.stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(width), "doc_id long, text_key long, n long, set long"), "documents")
     sets = work.stored(described.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-1 << 63))).alias("id")), "sets")
     ranges = max(8, input_bytes(docs) // RANGE_BYTES)
     signed = rows.select("text").mapInArrow(_sign(width, share, ranges), "part int, low binary, high binary, sets binary")
@@ -262,18 +263,17 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
         contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary"), "contents", "uncompressed")
         links = _links(buckets, contents, met, n_rows, share, work)
     if links is None:
-        labels, degree = sets.select(F.col("set").alias("_set"), F.col("least").alias("component")), None
-        labels = labels.withColumn("degree", F.lit(0).cast("long"))
+        labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"), F.lit(0).cast("long").alias("degree"))
     else:
         roots = work.stored(connected_components(links.select("a", "b"), work), "components")
         degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
         joined = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
         least = joined.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
         labels = joined.join(least, F.col("root") == F.col("_root")).join(degree, F.col("set") == F.col("_d"), "left")
-        labels = labels.select(F.col("set").alias("_set"), "component", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+        labels = labels.select(F.col("set").alias("_set"), "component", F.col("root").alias("class"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
     labels = work.stored(labels, "labels")
     out = described.join(labels, F.col("set") == F.col("_set"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("degree", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("degree", F.lit(0).cast("long")).alias("n_links"))
 
 
 def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_rows: int, share: int, work: Workspace) -> DataFrame:
@@ -311,6 +311,33 @@ def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_rows: int,
     return seen.where("linked").select("a", "b")
 
 
+def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates: of each class the row with the smallest doc_id.
+
+    A null doc_id is larger than any. Of rows of the class with that same doc_id the one with the least text hash stays,
+    of rows with the same doc_id and text the least by its columns. Rows with an empty set all stay. What is joined to
+    docs is (doc_id, text hash) of the rows that go; within its size bound it is broadcast, so that texts are not shuffled.
+    """
+    work = Workspace(docs.sparkSession)
+    found = work.stored(join(docs.select("doc_id", "text"), width, share).where("n_shingles > 0").select("doc_id", "text_key", "class"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = found.groupBy("class").agg(F.min(order).alias("x"), F.count("*").alias("n"))
+    first = work.stored(first.where("n > 1").select(F.col("class").alias("_class"), "x.doc_id", "x.text_key"), "first")
+    members = found.join(small_side(first.select("_class", F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")), first.count(), 40), F.col("class") == F.col("_class"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))
+    gone = work.stored(members.where(~same).select("doc_id", "text_key").distinct().toDF("_d", "_t"), "gone")
+    many = work.stored(members.where(same).groupBy("doc_id", "text_key").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "text_key").toDF("_d", "_t"), "repeated")
+    # The columns of docs go in a struct, so that none of them can have the name of one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    here = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("_row.text") == F.col("_t"))
+    left = rows.join(small_side(gone, gone.count(), 32), here, "left_anti")
+    n_many = many.count()
+    if n_many:
+        several = left.join(small_side(many, n_many, 32), here, "left_semi").groupBy("_row.doc_id", F.xxhash64("_row.text")).agg(F.min("_row").alias("_row"))
+        left = left.join(small_side(many, n_many, 32), here, "left_anti").union(several.select("_row"))
+    return left.select("_row.*")
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return join(docs, 4, 85).select("doc_id", "n_shingles", "component_id")

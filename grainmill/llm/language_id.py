@@ -27,6 +27,8 @@ SNIPPETS = (12, 40, 160)
 #: Rows and characters of a presence matrix.
 ROWS, CHARACTERS = 256, 4 << 20
 UNKNOWN = "und"
+#: A text of which every language says no as surely as that (-1 is the target of a foreign text) is in none of them.
+LEAST_SCORE = -0.9
 
 
 def has_letter(text: str | None) -> bool:
@@ -189,6 +191,28 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(_predict(shared, keep), ", ".join([*kept, "lang_pred string", "score double"]))
 
 
+def _keep_known(shared, at: int):
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            sure = np.zeros(len(texts), dtype=bool)
+            for a, b in groups([texts[i] for i in known]):
+                part = known[a:b]
+                sure[part] = scores([texts[i] for i in part], model).max(axis=1) > LEAST_SCORE
+            yield batch.filter(pa.array(sure))
+
+    return run
+
+
+def select_known(rows: DataFrame, model) -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language: it has a letter, and its best score is above LEAST_SCORE."""
+    ship(rows.sparkSession)
+    at = [f.name for f in rows.schema.fields].index("text")
+    return rows.mapInArrow(_keep_known(rows.sparkSession.sparkContext.broadcast(model), at), rows.schema)
+
+
 def held_out(doc_id):
     """Whether crc32(doc_id as text) mod 4 is 2; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -151,7 +151,7 @@ def place_shifts(rows: DataFrame, plan: DataFrame, n_sources: int, work: Workspa
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target, rate, copies and taken in a struct column `_mix`, one row for each row of docs.
+    """The rows of docs as a struct `row`, and size, source_size, target, rate, copies and taken as a struct `mix`.
 
     docs needs doc_id, text and source; its other columns stay, whatever their names. size is the number of
     `[^\\x20\\x09-\\x0D]+` in the text (null: 0); a null source is a source, the last. Equal rows get equal copies.
@@ -172,25 +172,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     plan = flip_best(rows, place_shifts(rows, plan, n_sources, work), n_sources, cap, work)
     fact = F.struct(F.col("source").alias("name"), "source_size", "target", "mean", "lam", "shift", "flips")
     facts = small_side(plan.select(fact.alias("_fact")), n_sources, 200)
-    size = words_of(F.col("text"))
-    u = _uniform(F.lit(8), F.col("doc_id"), F.col("text"))
-    out = docs.withColumn("_size", size).withColumn("_u", u).join(facts, F.col("source").cast("string").eqNullSafe(F.col("_fact.name")))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = out.withColumn("_size", words_of(F.col("row.text"))).withColumn("_u", _uniform(F.lit(8), F.col("row.doc_id"), F.col("row.text")))
+    out = out.join(facts, F.col("row.source").cast("string").eqNullSafe(F.col("_fact.name")))
     rate = _rate(F.col("_fact.lam"), F.col("_size"), F.col("_fact.mean"), cap)
     out = out.withColumn("_rate", F.when(F.col("_size") > 0, rate).otherwise(1.0))
     copies = _copies(F.col("_rate"), _threshold(F.col("_size"), F.col("_rate"), F.col("_u")), F.col("_fact.shift"), F.array_contains("_fact.flips", F.col("_u")), cap)
     out = out.withColumn("_copies", copies)
     result = F.struct(F.col("_size").alias("size"), F.col("_fact.source_size").alias("source_size"), F.col("_fact.target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
-    return out.select(*[docs[c] for c in docs.columns], result.alias("_mix"))
+    return out.select("row", result.alias("mix"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as many times as it has copies, with the columns of docs."""
-    rows = mix(docs, **options).where("_mix.copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))).drop("_copy", "_mix")
+    rows = mix(docs, **options).where("mix.copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     from grainmill.llm._common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+    return mix(docs).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
