@@ -79,11 +79,16 @@ def normed(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """landmarks' rows (transposed), weights and names, from presence rows, their labels and the landmarks' numbers."""
-    names = sorted(set(labels.tolist()))
-    marks = normed(rows[landmarks])
-    kernels, among = normed(rows) @ marks.T, (marks @ marks.T).astype(np.float64)
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def fit(bits: np.ndarray, labels: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """landmarks' rows (transposed), weights and names, from presence rows as bits, their labels and the landmarks' numbers."""
+    names, rows = sorted(set(labels.tolist())), bits
+    marks = normed(unpacked(bits[landmarks]))
+    kernels = np.concatenate([normed(unpacked(bits[at : at + ROWS])) @ marks.T for at in range(0, len(bits), ROWS)]).astype(np.float64)
+    among = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(among)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
@@ -150,7 +155,7 @@ def learn(docs: DataFrame, learnable) -> tuple | None:
     found = sorted(rows.withColumn("k", first).where(F.col("k") <= SAMPLE).collect(), key=lambda r: (r["lang"], r["k"]))
     if not found:
         return None
-    bits = [np.unpackbits(np.frombuffer(r["rows"], dtype=np.uint8).reshape(-1, WIDTH // 8), axis=1) for r in found]
+    bits = [np.frombuffer(r["rows"], dtype=np.uint8).reshape(-1, WIDTH // 8) for r in found]
     labels = np.array([r["lang"] for r, b in zip(found, bits, strict=True) for _ in range(len(b))])
     marks = []
     at = 0
@@ -158,7 +163,7 @@ def learn(docs: DataFrame, learnable) -> tuple | None:
         if r["k"] <= LANDMARKS:
             marks.append(at + (r["k"] % len(b)))
         at += len(b)
-    return fit(np.concatenate(bits).astype(np.float32), labels, np.array(marks))
+    return fit(np.concatenate(bits), labels, np.array(marks))
 
 
 def _predict(shared, keep: list[str]):
