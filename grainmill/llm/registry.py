@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grainmill.llm import fingerprint, html_text, jaccard, language_id, mixing, token_counts, token_files, unigram, url_filter
+from grainmill.llm import fingerprint, html_text, jaccard, language_id, mixing, search, token_counts, token_files, unigram, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": unigram.op1_sentencepiece,
+        "op2_top_k_search": search.op2_top_k_search,
         "op3_html_text": html_text.op3_html_text,
         "op4_url_filters": url_filter.op4_url_filters,
         "op5_token_counts": token_counts.op5_token_counts,
