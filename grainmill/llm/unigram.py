@@ -29,7 +29,7 @@ ZIPF, UNKNOWN = 2.7, 10.0
 #: Parts of up to so many bytes are searched all at a time; longer ones singly.
 LONG = 48
 #: Bytes of text that are encoded at a time; parts whose ids a worker keeps.
-ENCODE_BYTES, CACHE_ENTRIES = 16 << 20, 600_000
+ENCODE_BYTES, CACHE_ENTRIES = 4 << 20, 300_000
 
 #: Slots that the trie's builder looks at together.
 WINDOW = 64
