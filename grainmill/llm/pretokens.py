@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: How the GPT-2 kind of byte-level tokenizers splits text (a fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: When a worker's store of encoded pre-tokens has more entries, its younger half goes.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Pre-tokens that are encoded at a time; words that go through the library together, and the words that may: these letters are their own normal forms.
 STEP, GROUP = 16_384, 128
 LETTERS_SIGNS = re.compile(r"([a-zß-öø-ÿ]*)([.,;:!?|]*)").fullmatch

@@ -1,8 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
-A file is an Arrow IPC file, uncompressed: record batches with a fixed-size list of ids and one of mask bytes, so row r
+A file is an Arrow IPC file, uncompressed: record batches with a fixed-size list of ids and one of mask bits, so row r
 of a batch is at a place that its number alone gives, and a memory map of the file is the arrays themselves. The ids of
-the documents follow each other through the sequences; mask 0 marks the filling after a file's last id. Beside it, a
+the documents follow each other through the sequences; a mask is a bit for each id, 0 in the filling after a file's last
+id. Beside it, a
 file of the same format lists its documents: doc_id, where their ids start in the file, how many they are.
 """
 
@@ -23,7 +24,7 @@ from grainmill.llm._common import Workspace, input_bytes, ship, table
 #: Ids of a sequence, sequences of a record batch, and bytes of the input for each file.
 LENGTH, ROWS, FILE_BYTES = 2048, 512, 16 << 20
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 
 FILES = "part int, path string, n_ids long, n_docs long"
 
@@ -38,7 +39,7 @@ def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def sequence_schema(dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -53,7 +54,7 @@ class SequenceWriter:
         self.waiting = 0
 
     def _write(self, ids: np.ndarray, n_real: int) -> None:
-        mask = (np.arange(len(ids)) < n_real).astype(np.uint8)
+        mask = np.arange(len(ids)) < n_real
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
@@ -90,18 +91,21 @@ class SequenceFile:
     def __len__(self) -> int:
         return int(self.starts[-1])
 
-    def _batch(self, b: int, name: str) -> np.ndarray:
-        return self.reader.get_batch(b).column(name).flatten().to_numpy(zero_copy_only=True)
+    def _batch(self, b: int, name: str) -> pa.Array:
+        return self.reader.get_batch(b).column(name).flatten()
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
+        """The ids as an array, the mask as bits in Arrow's array: views of the file both."""
         b = int(np.searchsorted(self.starts, i, side="right")) - 1
         at = (i - int(self.starts[b])) * self.length
-        return tuple(self._batch(b, name)[at : at + self.length] for name in ("ids", "mask"))
+        ids, mask = (self._batch(b, name).slice(at, self.length) for name in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def batches(self):
         """(place of the first id in the file, ids without the filling) of each record batch."""
         for b in range(self.reader.num_record_batches):
-            yield int(self.starts[b]) * self.length, self._batch(b, "ids")[self._batch(b, "mask") == 1]
+            ids, mask = self._batch(b, "ids").to_numpy(zero_copy_only=True), self._batch(b, "mask").to_numpy(zero_copy_only=False)
+            yield int(self.starts[b]) * self.length, ids if mask.all() else ids[mask]
 
 
 def _write_files(folder: str, content, kind: str, end_id: int, length: int):
