@@ -1,17 +1,535 @@
-"""The queries that show each operator on the driver's tables, and their DuckDB SQL."""
+"""The queries that show each operator on the driver's tables, and DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from grainmill.functions import codecs, helpers
+from grainmill.operators import combining, packing, sampling, transform
+from grainmill.plans import index, planner
+from grainmill.sources import chunkbin, manifest, tokens
+from grainmill.streaming import ingest, loader
+
+CHUNK = 64
+
+
+def _t(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    """documents by position, in chunks of CHUNK, with the row's place in its chunk."""
+    rows = index.with_position(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return packing.by_count(rows, CHUNK).withColumn("row", F.col("idx") % CHUNK)
+
+
+def _chunks(spark, sf_dir, size: int = CHUNK) -> DataFrame:
+    rows = index.with_position(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return packing.by_count(rows, size).groupBy("chunk").agg(F.count("*").alias("size"))
+
+
+def _scratch(spark) -> str:
+    """A new folder under the shared one that spark.checkpoint.dir names; a local one where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainmill-")
+    return f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+
+
+DOCS = f"d as (select doc_id, lang, source, text, cast(row_number() over (order by doc_id) - 1 as bigint) idx from documents), c as (select *, idx // {CHUNK} chunk, idx % {CHUNK} pos from d), ch as (select chunk, cast(count(*) as bigint) size from c group by chunk)"
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return planner.plan(_chunks(spark, sf_dir, 16), 1, 4).groupBy("worker").agg(F.sum(F.col("end") - F.col("start")).alias("n_rows"))
+
+
+# Scans, filters, projections
+
+
+def q_scan(spark, d):
+    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
+
+
+def q_filter_generator(spark, d):
+    def even(row):
+        if row["doc_id"] % 2 == 0:
+            yield {"doc_id": row["doc_id"], "n": row["n_chars"]}
+
+    return transform.flat_map(_t(spark, d, "documents").select("doc_id", "n_chars"), even, "doc_id long, n long")
+
+
+def q_filter_none(spark, d):
+    return transform.flat_map(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), _dear, "o_orderkey long")
+
+
+def _dear(row):
+    return {"o_orderkey": row["o_orderkey"]} if row["o_totalprice"] > 100_000 else None
+
+
+def q_filter_errors(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.try_divide(F.lit(1), F.col("l_linenumber") - 3).alias("x"))
+    return rows.where("x is not null")
+
+
+def q_glob(spark, d):
+    return _t(spark, d, "documents").where(F.col("source").like("src1%")).select("doc_id", "source")
+
+
+def q_slice(spark, d):
+    rows = index.with_position(_t(spark, d, "documents").select("doc_id"), "doc_id")
+    return rows.where(F.col("idx").between(10, 499) & ((F.col("idx") - 10) % 7 == 0))
+
+
+def q_item(spark, d):
+    return index.with_position(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").where("idx = 42")
+
+
+def q_index_groups(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("chunk_size"), F.sum("n_chars").alias("n_chars"))
+
+
+def q_parquet_index(spark, d):
+    found = manifest.index_parquet(spark, f"{d}/orders.parquet")
+    return found.agg(F.sum("chunk_size").alias("n_rows"), F.count("*").alias("files")).select("n_rows", F.col("files").cast("long"))
+
+
+def q_parquet_glob(spark, d):
+    folder = _scratch(spark)
+    _t(spark, d, "nation").repartition(3).write.parquet(folder)
+    return manifest.index_parquet(spark, folder, "part-0000?-*.parquet").agg(F.sum("chunk_size").alias("n_rows"))
+
+
+def q_walk(spark, d):
+    folder = _scratch(spark)
+    _t(spark, d, "region").coalesce(1).write.parquet(f"{folder}/a/b")
+    return manifest.walk(spark, folder).where("path like '%.parquet'").agg(F.count("*").alias("files"))
+
+
+# Packing
+
+
+def q_chunk_count(spark, d):
+    rows = _docs(spark, d)
+    return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def _weighed(spark, d, weight):
+    rows = _t(spark, d, "documents").select("doc_id", "lang", weight.alias("weight"))
+    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long"))
+
+
+def q_chunk_bytes(spark, d):
+    packed = packing.by_weight(_weighed(spark, d, F.octet_length("text").cast("long")), "weight", 20_000, "lang")
+    return packed.groupBy("lang", "chunk").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+
+
+def q_chunk_tokens(spark, d):
+    packed = packing.by_weight(_weighed(spark, d, F.size(F.split("text", " ")).cast("long")), "weight", 2_048, "lang")
+    return packed.groupBy("lang", "chunk").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+
+
+def q_token_blocks(spark, d):
+    items = _t(spark, d, "documents").select(F.col("lang").alias("chunk"), F.col("doc_id").alias("idx"), F.split("text", " ").alias("tokens"))
+    made = tokens.blocks(items, 128)
+    return made.select("chunk", "block", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+def q_out_of_order(spark, d):
+    rows = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("idx"))
+    return rows.groupBy("idx").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def q_sequential_split(spark, d):
+    rows = index.with_position(_t(spark, d, "documents").select("doc_id"), "doc_id")
+    return packing.split_evenly(rows, 7).groupBy("worker").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+def q_lpt(spark, d):
+    parts = _t(spark, d, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
+    return packing.balanced(parts, "p_size", 4, "p_partkey").select("p_partkey", "bin")
+
+
+def q_batch_inputs(spark, d):
+    rows = index.with_position(_t(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    return transform.batched(rows, 8).select("batch", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["s_suppkey"].cast("string")), ",").alias("keys"))
+
+
+def q_is_last(spark, d):
+    rows = packing.split_evenly(index.with_position(_t(spark, d, "documents").select("doc_id"), "doc_id"), 5)
+    return transform.with_last(rows).where("is_last").select("worker", "doc_id")
+
+
+def q_trial_run(spark, d):
+    rows = packing.split_evenly(index.with_position(_t(spark, d, "documents").select("doc_id"), "doc_id"), 5)
+    return sampling.first_rows(rows, 10, "worker", "idx").select("worker", "doc_id")
+
+
+def q_optimize(spark, d):
+    folder = _scratch(spark)
+    rows = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    transform.optimize(rows, _english, "doc_id long, n long", folder, "doc_id", chunk_size=50, workers=3)
+    return manifest.read_rows(spark, folder).select("chunk", "row", "doc_id", "n")
+
+
+def _english(row):
+    return {"doc_id": row["doc_id"], "n": row["n_chars"]} if row["lang"] == "en" else None
+
+
+def q_append_overwrite(spark, d):
+    folder = _scratch(spark)
+    rows = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    for mode, part in ((None, rows.where("n_nationkey < 5")), ("overwrite", rows.where("n_nationkey < 10")), ("append", rows.where("n_nationkey >= 20"))):
+        transform.optimize(part, _same, "n_nationkey long, n_name string", folder, "n_nationkey", chunk_size=4, mode=mode)
+    return manifest.read_rows(spark, folder).select("chunk", "row", "n_nationkey", "n_name")
+
+
+def _same(row):
+    return row
+
+
+def q_merge(spark, d):
+    folders = [_scratch(spark) for _ in range(3)]
+    for folder, name in zip(folders, ("region", "nation"), strict=False):
+        key = name[0]
+        rows = _t(spark, d, name).select(F.col(f"{key}_{name}key").cast("long").alias("id"), F.col(f"{key}_name").alias("name"))
+        transform.optimize(rows, _same, "id long, name string", folder, "id", chunk_size=4)
+    manifest.merge(spark, folders[:2], folders[2])
+    return manifest.read_rows(spark, folders[2]).select("chunk", "row", "id", "name")
+
+
+def q_union(spark, d):
+    a = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    b = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return combining.concatenated([a, b])
+
+
+def q_stats(spark, d):
+    chunks = _docs(spark, d).join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id").groupBy("chunk").agg(F.count("*").alias("size"), F.sum(F.octet_length("text")).alias("b"))
+    return chunks.agg(F.sum("size").alias("n_rows"), F.sum("b").alias("n_bytes"), F.count("*").alias("n_chunks"))
+
+
+# Plans
+
+
+def q_intervals(spark, d):
+    return planner.intervals(_chunks(spark, d)).select("chunk", "lo", "hi")
+
+
+def _roi(spark, d):
+    return _chunks(spark, d).withColumn("roi_start", F.col("chunk") % 5).withColumn("roi_end", F.col("size") - F.col("chunk") % 3)
+
+
+def q_intervals_roi(spark, d):
+    return planner.intervals(_roi(spark, d)).select("chunk", "roi_start", "lo", "hi")
+
+
+def q_intervals_tokens(spark, d):
+    rows = _docs(spark, d).join(_t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy("chunk").agg(F.sum("n_chars").alias("dim"))
+    return planner.token_intervals(rows, 1024).select("chunk", "size", "lo", "hi")
+
+
+def q_budgets(spark, d):
+    chunks = _chunks(spark, d)
+    both = [planner.budgets(chunks, 2, 3, 8, x).withColumn("drop_last", F.lit(x)) for x in (True, False)]
+    return both[0].union(both[1]).select("drop_last", "rank", "worker", "budget")
+
+
+def q_assign(spark, d):
+    return planner.plan(_chunks(spark, d), 2, 3, 8, True).select("w", "chunk", "start", "end")
+
+
+def q_assign_keep(spark, d):
+    return planner.plan(_chunks(spark, d), 2, 3, 8, False).select("w", "chunk", "start", "end")
+
+
+def q_no_shuffle(spark, d):
+    plan = planner.plan(_chunks(spark, d), 2, 2)
+    return planner.rows_of(_docs(spark, d), plan).select("w", "rn", "doc_id")
+
+
+def q_shuffle_epochs(spark, d):
+    every = [planner.shuffled(_chunks(spark, d), 42, e).select(F.lit(e).alias("epoch"), "chunk", "ord") for e in (1, 2, 3)]
+    return every[0].union(every[1]).union(every[2])
+
+
+def q_shuffle_rows(spark, d):
+    plan = planner.plan(_chunks(spark, d), 2, 2, shuffle=True, epoch=2)
+    return planner.rows_of(_docs(spark, d), plan, True, 42, 2).select("w", "rn", "doc_id")
+
+
+def q_node_shuffle(spark, d):
+    first = planner.plan(_chunks(spark, d), 4, 2, shuffle=True, num_nodes=2)
+    return planner.reshuffled_in_nodes(first, 42, 3, 4).select("node", "chunk", "ord")
+
+
+def q_lengths(spark, d):
+    return planner.lengths(planner.plan(_chunks(spark, d), 3, 2, 4, False))
+
+
+def q_shared_chunks(spark, d):
+    return planner.shared_chunks(planner.plan(_chunks(spark, d), 3, 4))
+
+
+# Parts and mixes
+
+
+def q_subsample(spark, d):
+    return sampling.subsample(_chunks(spark, d), 0.42).select("chunk", "start", "end")
+
+
+def q_subsample_shuffled(spark, d):
+    taken = sampling.subsample(_chunks(spark, d), 0.42, 42)
+    return sampling.rows_of(_docs(spark, d), taken).select("doc_id")
+
+
+def q_upsample(spark, d):
+    taken = sampling.subsample(_chunks(spark, d), 2.5)
+    return sampling.rows_of(_docs(spark, d), taken).select("copy", "doc_id")
+
+
+def q_split(spark, d):
+    taken = sampling.split(_chunks(spark, d), [0.7, 0.2, 0.1])
+    return sampling.rows_of(_docs(spark, d), taken).select("part", "doc_id")
+
+
+def q_split_shuffled(spark, d):
+    taken = sampling.split(_chunks(spark, d), [0.5, 0.25], 42)
+    return sampling.rows_of(_docs(spark, d), taken).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("different"))
+
+
+def q_named_chunks(spark, d):
+    chunks = _chunks(spark, d).withColumn("filename", F.format_string("chunk-0-%d.bin", "chunk"))
+    names = spark.createDataFrame([(0, "chunk-0-1.bin"), (1, "chunk-0-5.bin"), (2, "chunk-0-1.bin")], "ord long, filename string")
+    return sampling.named_chunks(chunks, names).select("ord", "chunk", "size")
+
+
+def _streams(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "lang")
+
+
+def q_mix_all(spark, d):
+    return combining.mixed(_streams(spark, d), "lang", None, "doc_id").select("doc_id", "vt")
+
+
+def q_mix_stop(spark, d):
+    weights = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
+    return combining.mixed(_streams(spark, d), "lang", weights, "doc_id", False).select("doc_id", "vt")
+
+
+def q_mix_per_stream(spark, d):
+    weights = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
+    return combining.mixed(_streams(spark, d), "lang", weights, "doc_id", False, batch_size=8).select("doc_id", "vt")
+
+
+# Batches and going on
+
+
+def _read(spark, d):
+    return planner.rows_of(_docs(spark, d), planner.plan(_chunks(spark, d), 1, 3))
+
+
+def q_batches(spark, d):
+    return loader.batches(_read(spark, d), 16).select("batch", "w", "local_batch", "doc_id")
+
+
+def q_batches_drop_last(spark, d):
+    return loader.batches(_read(spark, d), 16, True).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+def q_n_batches(spark, d):
+    n = planner.lengths(planner.plan(_chunks(spark, d), 3, 2, 4, False))
+    return n.select("rank", loader.n_batches(F.col("n"), 7).alias("batches"), loader.n_batches(F.col("n"), 7, True).alias("full"))
+
+
+def q_replay(spark, d):
+    grid = spark.range(0, 60).select(F.col("id").alias("n")).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("worker"))))
+    return grid.select("n", "worker", loader.consumed(F.col("n"), F.col("worker"), 4, 5).alias("used"))
+
+
+def q_chunk_cursor(spark, d):
+    plan = planner.plan(_chunks(spark, d), 1, 3)
+    used = spark.range(3).select(F.col("id").alias("w"), (F.col("id") * 40 + 70).alias("n"))
+    return loader.chunk_cursor(plan, used)
+
+
+def q_resume(spark, d):
+    return loader.resumed(_read(spark, d), 100, 3, 16).select("w", "rn", "doc_id")
+
+
+# Helpers, codecs, round trips
+
+
+def q_bytes_of(spark, d):
+    sizes = spark.createDataFrame([("64MB",), ("1.5gb",), ("10 kb",), ("2TB",), ("12b",), ("x",)], "s string")
+    return sizes.select("s", helpers.bytes_column(F.col("s")).alias("n"))
+
+
+def q_human_bytes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", helpers.human_bytes(F.col("n_chars")).alias("h"))
+
+
+def q_file_names(spark, d):
+    names = spark.createDataFrame([("chunk-3-14.bin",), ("chunk-0-2.zstd.bin",), ("checkpoint-0-123e4567-e89b-12d3-a456-426614174000.json",), ("index.json",)], "s string")
+    return names.select("s", helpers.chunk_rank(F.col("s")).alias("r"), helpers.chunk_number(F.col("s")).alias("i"), helpers.without_uuid(F.col("s")).alias("plain"))
+
+
+def q_buckets(spark, d):
+    return _t(spark, d, "pages").select("page_id", helpers.bucket_of(F.col("url")).alias("bucket"), helpers.path_in_bucket(F.col("url")).alias("path"))
+
+
+def _round_trip(spark, rows: DataFrame) -> DataFrame:
+    folder = _scratch(spark)
+    rows.write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def q_round_trip_arrays(spark, d):
+    return _round_trip(spark, _t(spark, d, "embeddings")).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+def q_round_trip_times(spark, d):
+    return _round_trip(spark, _t(spark, d, "events")).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "props")
+
+
+def q_round_trip_turns(spark, d):
+    return _round_trip(spark, _t(spark, d, "conversations"))
+
+
+def q_chunkbin(spark, d):
+    chunkbin.register(spark)
+    folder = _scratch(spark).removeprefix("file://")
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_totalprice") > 1000).alias("dear"))
+    rows.write.format("chunkbin").option("path", folder).option("compression", "zstd").option("chunk_size", 500).mode("append").save()
+    return spark.read.format("chunkbin").option("path", folder).load()
+
+
+def q_zstd(spark, d):
+    def run(batches):
+        press, expand = codecs.compressor("zstd:4")
+        for pdf in batches:
+            small = [press(t.encode()) for t in pdf["text"]]
+            yield pdf.assign(text=[expand(b).decode() for b in small], smaller=[len(b) < len(t.encode()) + 32 for b, t in zip(small, pdf["text"], strict=True)])
+
+    return _t(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, text string, smaller boolean").select("doc_id", F.md5("text").alias("digest"), "smaller")
+
+
+def q_aes(spark, d):
+    key = codecs.key_from("password", b"salt", 1000)
+    rows = _t(spark, d, "customer").select("c_custkey", codecs.encrypted(F.col("c_name"), key).alias("secret"))
+    return rows.select("c_custkey", codecs.decrypted(F.col("secret"), key).cast("string").alias("c_name"), (F.octet_length("secret") > 16).alias("hidden"))
+
+
+# Streams
+
+
+def q_stream_ingest(spark, d):
+    folder, source = _scratch(spark), _scratch(spark)
+    rows = _t(spark, d, "events").select("event_id", "event_type", "value")
+    rows.repartition(4).write.parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        ingest.ingest(spark, source, rows.schema, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def q_windowed_counts(spark, d):
+    counts = ingest.windowed_counts(_t(spark, d, "events"), "ts", "event_type")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, f in globals().items() if name.startswith("q_")}
+
+
+def _greedy_sql(weight: str, limit: int) -> str:
+    return f"""with recursive w as (select lang, cast(row_number() over (partition by lang order by doc_id) as bigint) i, cast({weight} as bigint) b from documents),
+p as (select lang, i, b, 0::bigint chunk, b acc from w where i = 1 union all
+ select w.lang, w.i, w.b, case when p.acc + w.b > {limit} then p.chunk + 1 else p.chunk end, case when p.acc + w.b > {limit} then w.b else p.acc + w.b end from p join w on w.lang = p.lang and w.i = p.i + 1)
+select lang, chunk, count(*) n, sum(b)::bigint total from p group by lang, chunk"""
+
+
+def _plan_sql(world: int, workers: int, batch: int, drop: bool, order: str = "chunk") -> str:
+    """CTEs from ch(chunk, size): cc, w, ww, plan."""
+    n = world * workers
+    rest = "" if drop else f" + case when rk = {world - 1} and wk = (per % {workers}) % {workers} then n - {world} * per * {batch} else 0 end"
+    return f"""cc as (select chunk, size, cast(sum(size) over (order by {order}) as bigint) - size lo, cast(sum(size) over (order by {order}) as bigint) hi from ch),
+pp as (select sum(size)::bigint n, (sum(size)::bigint // {batch}) // {world} per from ch),
+w1 as (select g w, g // {workers} rk, g % {workers} wk, n, per from pp, range({n}) r(g)),
+w2 as (select w, rk, wk, (per // {workers} + case when wk < per % {workers} then 1 else 0 end) * {batch}{rest} b from w1),
+ww as (select *, cast(sum(b) over (order by w) as bigint) - b blo, cast(sum(b) over (order by w) as bigint) bhi from w2),
+plan as (select rk, wk, w, chunk, greatest(lo, blo) - lo s, least(hi, bhi) - lo e, row_number() over (partition by w order by lo) - 1 pos from cc join ww on lo < bhi and hi > blo)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    by_epoch = lambda e, key="chunk": f"md5(concat_ws('-', '42', '{e}', cast({key} as varchar)))"
+    read = f"with {DOCS}, {_plan_sql(1, 3, 1, True)}, rr as (select w, doc_id, wk, row_number() over (partition by w order by plan.pos, c.pos) rn from c join plan using (chunk) where c.pos >= s and c.pos < e)"
+    weighted = "(case lang when 'en' then 0.4 when 'fr' then 0.3 when 'de' then 0.2 else 0.1 end)::double"
+    mix = lambda bs: f"with r as (select doc_id, lang, (row_number() over (partition by lang order by doc_id) - 1) // {bs} + 1 r, count(*) over (partition by lang) n, {weighted} w from documents), v as (select doc_id, (r - 0.5::double) / w vt, ((n + {bs} - 1) // {bs} + 0.5::double) / w e from r) select doc_id, vt from v where vt < (select min(e) from v)"
+    return {
+        "q_scan": "select doc_id, source, n_chars from documents where lang = 'en'",
+        "q_filter_generator": "select doc_id, n_chars n from documents where doc_id % 2 = 0",
+        "q_filter_none": "select o_orderkey from orders where o_totalprice > 100000",
+        "q_filter_errors": "select l_orderkey, l_linenumber, 1 / nullif(l_linenumber - 3, 0)::double x from lineitem where l_linenumber <> 3",
+        "q_glob": "select doc_id, source from documents where source like 'src1%'",
+        "q_slice": f"with {DOCS} select doc_id, idx from d where idx >= 10 and idx < 500 and (idx - 10) % 7 = 0",
+        "q_item": "select * from (select c_custkey, c_name, cast(row_number() over (order by c_custkey) - 1 as bigint) idx from customer) where idx = 42",
+        "q_index_groups": "select source, count(*) chunk_size, sum(n_chars)::bigint n_chars from documents group by source",
+        "q_parquet_index": "select count(*) n_rows, 1::bigint files from orders",
+        "q_parquet_glob": "select count(*)::bigint n_rows from nation",
+        "q_walk": "select 1::bigint files",
+        "q_chunk_count": f"with {DOCS} select chunk, count(*) n, min(doc_id) first, max(doc_id) last from c group by chunk",
+        "q_chunk_bytes": _greedy_sql("strlen(text)", 20_000),
+        "q_chunk_tokens": _greedy_sql("len(string_split(text, ' '))", 2_048),
+        "q_token_blocks": "with t as (select lang, doc_id, unnest(string_split(text, ' ')) tok, generate_subscripts(string_split(text, ' '), 1) i from documents), p as (select lang chunk, tok, row_number() over (partition by lang order by doc_id, i) - 1 p from t) select chunk, p // 128 block, md5(string_agg(tok, ' ' order by p)) digest from p group by chunk, p // 128 having count(*) = 128",
+        "q_out_of_order": "select l_orderkey % 1000 idx, count(*) n from lineitem group by 1 having count(*) > 1",
+        "q_sequential_split": f"with {DOCS}, n as (select count(*) n from d), s as (select doc_id, case when idx < (7 - n % 7) * (n // 7) then idx // (n // 7) else 7 - n % 7 + (idx - (7 - n % 7) * (n // 7)) // (n // 7 + 1) end worker from d, n) select worker::bigint worker, count(*) n, min(doc_id) first from s group by worker",
+        "q_lpt": "with recursive i as (select p_partkey, p_size, row_number() over (order by p_size desc, p_partkey) rn from part where p_partkey <= 60), r as (select 0::bigint rn, 0::bigint k, 0::bigint bin, [0, 0, 0, 0]::bigint[] t union all select i.rn, i.p_partkey, list_position(r.t, list_min(r.t)) - 1, list_transform(r.t, lambda x, j: case when j = list_position(r.t, list_min(r.t)) then x + i.p_size else x end) from r join i on i.rn = r.rn + 1) select k p_partkey, bin from r where rn > 0",
+        "q_batch_inputs": "with s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 i from supplier) select i // 8 batch, count(*) n, string_agg(s_suppkey::varchar, ',' order by i) keys from s group by 1",
+        "q_is_last": f"with {DOCS} select g::bigint worker, doc_id from d, (select count(*) n from d), range(5) r(g) where idx = (g + 1) * (n // 5) + greatest(0, g + 1 - (5 - n % 5)) - 1",
+        "q_trial_run": f"with {DOCS} select g::bigint worker, doc_id from d, (select count(*) n from d), range(5) r(g) where idx >= g * (n // 5) + greatest(0, g - (5 - n % 5)) and idx < least(g * (n // 5) + greatest(0, g - (5 - n % 5)) + 10, (g + 1) * (n // 5) + greatest(0, g + 1 - (5 - n % 5)))",
+        "q_optimize": f"with {DOCS}, n as (select count(*) n from d), s as (select d.*, case when idx < (3 - n % 3) * (n // 3) then idx // (n // 3) else 3 - n % 3 + (idx - (3 - n % 3) * (n // 3)) // (n // 3 + 1) end wk from d, n), e as (select s.doc_id, n_chars, wk, row_number() over (partition by wk order by idx) - 1 i from s join documents o on o.doc_id = s.doc_id where s.lang = 'en') select (dense_rank() over (order by wk, i // 50) - 1)::bigint chunk, i % 50 as row, doc_id, n_chars n from e",
+        "q_append_overwrite": "with a as (select n_nationkey, n_name, case when n_nationkey < 10 then 0 else 1 end g from nation where n_nationkey < 10 or n_nationkey >= 20), b as (select *, row_number() over (partition by g order by n_nationkey) - 1 i from a) select (dense_rank() over (order by g, i // 4) - 1)::bigint chunk, i % 4 as row, n_nationkey::bigint n_nationkey, n_name from b",
+        "q_merge": "with a as (select r_regionkey::bigint id, r_name as name, 0 g from region union all select n_nationkey, n_name, 1 from nation), b as (select *, row_number() over (partition by g order by id) - 1 i from a) select (dense_rank() over (order by g, i // 4) - 1)::bigint chunk, i % 4 as row, id, name from b",
+        "q_union": "select r_regionkey id, r_name as name, 0::bigint dataset from region union all select n_nationkey, n_name, 1 from nation",
+        "q_stats": f"with {DOCS} select count(*) n_rows, sum(strlen(text))::bigint n_bytes, count(distinct chunk) n_chunks from c",
+        "q_intervals": f"with {DOCS} select chunk, cast(sum(size) over (order by chunk) as bigint) - size lo, cast(sum(size) over (order by chunk) as bigint) hi from ch",
+        "q_intervals_roi": f"with {DOCS}, r as (select chunk, chunk % 5 roi_start, greatest(least(size - chunk % 3, size) - chunk % 5, 0) k from ch) select chunk, roi_start, cast(sum(k) over (order by chunk) as bigint) - k lo, cast(sum(k) over (order by chunk) as bigint) hi from r",
+        "q_intervals_tokens": f"with {DOCS}, t as (select chunk, sum(n_chars)::bigint // 1024 size from c join documents using (doc_id) group by chunk) select chunk, size, cast(sum(size) over (order by chunk) as bigint) - size lo, cast(sum(size) over (order by chunk) as bigint) hi from t",
+        "q_budgets": f"select true drop_last, rk as rank, wk worker, b budget from (with {DOCS}, {_plan_sql(2, 3, 8, True)} select * from ww) union all select false, rk, wk, b from (with {DOCS}, {_plan_sql(2, 3, 8, False)} select * from ww)",
+        "q_assign": f"with {DOCS}, {_plan_sql(2, 3, 8, True)} select w, chunk, s as start, e as \"end\" from plan",
+        "q_assign_keep": f"with {DOCS}, {_plan_sql(2, 3, 8, False)} select w, chunk, s as start, e as \"end\" from plan",
+        "q_no_shuffle": f"with {DOCS}, {_plan_sql(2, 2, 1, True)} select w, row_number() over (partition by w order by plan.pos, c.pos) rn, doc_id from c join plan using (chunk) where c.pos >= s and c.pos < e",
+        "q_shuffle_epochs": f"with {DOCS} " + " union all ".join(f"select {e} epoch, chunk, row_number() over (order by {by_epoch(e)}, chunk) - 1 ord from ch" for e in (1, 2, 3)),
+        "q_shuffle_rows": f"with {DOCS}, {_plan_sql(2, 2, 1, True, by_epoch(2) + ', chunk')} select w, row_number() over (partition by w order by plan.pos, md5(concat_ws('-', '42', '2', w::varchar, plan.pos::varchar, c.pos::varchar)), c.pos) rn, doc_id from c join plan using (chunk) where c.pos >= s and c.pos < e",
+        "q_node_shuffle": f"with {DOCS}, {_plan_sql(4, 2, 1, True, by_epoch(1) + ', chunk')}, f as (select distinct w // 4 node, chunk from plan) select node, chunk, row_number() over (partition by node order by {by_epoch(3)}, chunk) - 1 ord from f",
+        "q_lengths": f"with {DOCS}, {_plan_sql(3, 2, 4, False)} select rk as rank, sum(e - s)::bigint n from plan group by rk",
+        "q_shared_chunks": f"with {DOCS}, {_plan_sql(3, 4, 1, True)} select chunk, count(distinct w) workers from plan group by chunk having count(distinct w) > 1",
+        "q_subsample": f"with {DOCS}, {_plan_sql(1, 1, 1, True)}, k as (select floor(sum(size) * 0.42::decimal(10,2))::bigint k from ch) select chunk, 0::bigint as start, least(hi, k) - lo as \"end\" from cc, k where lo < k",
+        "q_subsample_shuffled": f"with {DOCS}, o as (select c.*, row_number() over (order by md5(concat_ws('-', '42', '0', chunk::varchar)), chunk, pos) rn from c) select doc_id from o where rn <= (select floor(count(*) * 0.42::decimal(10,2)) from c)",
+        "q_upsample": f"with {DOCS} select k copy, doc_id from d, range(3) r(k) where k < 2 or idx < (select floor(count(*) * 0.5) from d)",
+        "q_split": f"with {DOCS}, n as (select count(*) n from d), x as (select doc_id, idx, floor(n * 0.7::decimal(4,2))::bigint a, floor(n * 0.2::decimal(4,2))::bigint b, floor(n * 0.1::decimal(4,2))::bigint c from d, n) select case when idx < a then 0 when idx < a + b then 1 else 2 end::bigint part, doc_id from x where idx < a + b + c",
+        "q_split_shuffled": "with n as (select count(*) n from documents) select 0::bigint part, floor(n * 0.5)::bigint n, floor(n * 0.5)::bigint different from n union all select 1, floor(n * 0.25)::bigint, floor(n * 0.25)::bigint from n",
+        "q_named_chunks": f"with {DOCS} select v.ord::bigint ord, chunk, size from (values (0, 1), (1, 5), (2, 1)) v(ord, k) join ch on chunk = k",
+        "q_mix_all": "with r as (select doc_id, row_number() over (partition by lang order by doc_id) r, count(*) over (partition by lang) n from documents) select doc_id, (r - 0.5::double) / n vt from r",
+        "q_mix_stop": mix(1),
+        "q_mix_per_stream": mix(8),
+        "q_batches": read + ", l as (select *, (rn - 1) // 16 local_batch from rr) select dense_rank() over (order by local_batch, w) - 1 batch, w, local_batch, doc_id from l",
+        "q_batches_drop_last": read + ", l as (select *, (rn - 1) // 16 lb from rr), f as (select w, lb, count(*) n from l group by w, lb having count(*) = 16) select row_number() over (order by lb, w) - 1 batch, n from f",
+        "q_n_batches": f"with {DOCS}, {_plan_sql(3, 2, 4, False)}, n as (select rk, sum(e - s)::bigint n from plan group by rk) select rk as rank, (n + 6) // 7 batches, n // 7 as full from n",
+        "q_replay": "select n, w worker, (n // 20) * 5 + least(5, greatest(0, n % 20 - w * 5)) used from range(60) a(n), range(4) b(w)",
+        "q_chunk_cursor": f"with {DOCS}, {_plan_sql(1, 3, 1, True)}, s2 as (select *, sum(e - s) over (partition by w order by pos) - (e - s) a, sum(e - s) over (partition by w order by pos) b, w * 40 + 70 n from plan) select w, pos, chunk, (n - a)::bigint as offset from s2 where a <= n and n < b",
+        "q_resume": read + " select w, rn, doc_id from rr where rn > (100 // 48) * 16 + least(16, greatest(0, 100 % 48 - wk * 16))",
+        "q_bytes_of": "select * from (values ('64MB', 64000000::bigint), ('1.5gb', 1500000000), ('10 kb', 10000), ('2TB', 2000000000000), ('12b', null), ('x', null)) v(s, n)",
+        "q_human_bytes": "select doc_id, case when n_chars < 1000 then printf('%d.0 B', n_chars) else printf('%d.%d KB', (n_chars + 50) // 1000, ((n_chars + 50) // 100) % 10) end h from documents",
+        "q_file_names": "select * from (values ('chunk-3-14.bin', 3::bigint, 14::bigint, 'chunk-3-14.bin'), ('chunk-0-2.zstd.bin', 0, 2, 'chunk-0-2.zstd.bin'), ('checkpoint-0-123e4567-e89b-12d3-a456-426614174000.json', null, null, 'checkpoint-0.json'), ('index.json', null, null, 'index.json')) v(s, r, i, plain)",
+        "q_buckets": "select page_id, regexp_extract(url, '^[a-z0-9]+://([^/]*)', 1) bucket, regexp_extract(url, '^[a-z0-9]+://[^/]*/?(.*)$', 1) path from pages",
+        "q_round_trip_arrays": "select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) total from embeddings",
+        "q_round_trip_times": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') \"at\", props from events",
+        "q_round_trip_turns": "select * from conversations",
+        "q_chunkbin": "select o_orderkey, o_orderstatus, o_totalprice, o_totalprice > 1000 dear from orders",
+        "q_zstd": "select doc_id, md5(text) digest, true smaller from documents",
+        "q_aes": "select c_custkey, c_name, true hidden from customer",
+        "q_stream_ingest": "select event_type, count(*) n from events group by event_type",
+        "q_windowed_counts": "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') start, event_type, count(*) n from events group by 1, 2",
+    }
