@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import codecs, helpers
+from grainmill.functions.shipping import ship
 from grainmill.operators import combining, packing, sampling, transform
 from grainmill.plans import index, planner
 from grainmill.sources import chunkbin, manifest, tokens
@@ -438,8 +439,16 @@ def q_windowed_counts(spark, d):
     return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+def _shipped(f):
+    def run(spark, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("q_")}
+    return {name: _shipped(f) for name, f in globals().items() if name.startswith("q_")}
 
 
 def _greedy_sql(weight: str, limit: int) -> str:
@@ -458,7 +467,7 @@ pp as (select sum(size)::bigint n, (sum(size)::bigint // {batch}) // {world} per
 w1 as (select g w, g // {workers} rk, g % {workers} wk, n, per from pp, range({n}) r(g)),
 w2 as (select w, rk, wk, (per // {workers} + case when wk < per % {workers} then 1 else 0 end) * {batch}{rest} b from w1),
 ww as (select *, cast(sum(b) over (order by w) as bigint) - b blo, cast(sum(b) over (order by w) as bigint) bhi from w2),
-plan as (select rk, wk, w, chunk, greatest(lo, blo) - lo s, least(hi, bhi) - lo e, row_number() over (partition by w order by lo) - 1 pos from cc join ww on lo < bhi and hi > blo)"""
+plan as (select rk, wk, w, chunk, greatest(lo, blo) - lo s, least(hi, bhi) - lo e, row_number() over (partition by w order by lo) - 1 pos from cc join ww on lo < bhi and hi > blo and lo < hi and blo < bhi)"""
 
 
 def oracle_sql() -> dict[str, str]:

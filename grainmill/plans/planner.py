@@ -59,9 +59,9 @@ def budgets(chunks: DataFrame, world_size: int, num_workers: int, batch_size: in
 def assign(spans: DataFrame, shares: DataFrame) -> DataFrame:
     """(rank, worker, w, chunk, pos, start, end): the rows start..end of a chunk that a worker reads, pos its place there.
 
-    Intervals that overlap by nothing, of empty chunks or workers, do not join.
+    Empty chunks and workers have no rows to overlap in; they do not join.
     """
-    c, b = spans, shares
+    c, b = spans.where("lo < hi"), shares.where("blo < bhi")
     met = F.broadcast(b).join(c, (c["lo"] < b["bhi"]) & (c["hi"] > b["blo"]))
     start = F.greatest("lo", "blo") - F.col("lo") + F.col("roi_start")
     end = F.least("hi", "bhi") - F.col("lo") + F.col("roi_start")

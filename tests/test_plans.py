@@ -25,7 +25,7 @@ def sequential(sizes, budgets):
     return out
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, derandomize=True, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=8), st.integers(1, 3), st.integers(1, 3), st.integers(1, 5), st.booleans())
 def test_assignment_is_the_sequential_fill(spark, sizes, world, workers, batch, drop):
     table = chunks(spark, sizes)
