@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.functions.shipping import ship  # noqa: F401  for the operators
+
 #: A side of a join is broadcast only up to so many bytes, as counted from its rows; beyond, the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -47,28 +47,6 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors' Python, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(top):
-        return  # runs from a zip, which is there already
-    target = os.path.join(tempfile.mkdtemp(prefix="grainmill-code-"), "grainmill.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("grainmill", os.path.relpath(full, top)))
-    sc.addPyFile(target)
-
-
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
