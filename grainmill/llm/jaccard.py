@@ -30,8 +30,10 @@ from grainmill.llm.graph import connected_components
 
 #: Bytes of text that are hashed at a time, bytes of input for each range of signatures, shingles in a verified group.
 BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 8 << 20, 8 << 20, 2_000_000
-#: All pairs left are compared once they are at most FEW + the buckets' rows; stars before, up to STARS rounds.
-FEW, STARS = 100_000, 12
+#: All pairs left are compared once they are at most FEW; stars before, up to STARS rounds.
+FEW, STARS = 100_000, 8
+#: Links that one task makes components of; more are joined in distributed rounds.
+ONE_TASK = 1_000_000
 KEY_BITS = 48
 
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -228,6 +230,30 @@ def verify(pairs: DataFrame, contents: DataFrame, sizes: DataFrame, share: int,
     return partners.union(centers).groupBy("center", "chunk").applyInArrow(_compare(share), "a long, b long, linked boolean")
 
 
+def _union_find(links: pa.Table) -> pa.Table:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(n) for n in nodes], pa.int64())})
+
+
+def components(links: DataFrame, work: Workspace) -> DataFrame:
+    """(node, root) of links(a, b): up to ONE_TASK links in one task, which takes seconds; more by distributed rounds."""
+    links = work.stored(links.select("a", "b"), "links")
+    if links.count() > ONE_TASK:
+        return work.stored(connected_components(links, work), "roots")
+    return work.stored(links.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_union_find, "node long, root long"), "roots")
+
+
 def _near_size(n, other, share: int):
     return (F.least(n, other) * 100) >= (F.greatest(n, other) * share)
 
@@ -257,15 +283,19 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     if n_rows:
         met = work.stored(buckets.select("set").distinct().join(sets, "set").select("set", "n", "id"), "met")
         n_met = met.count()
-        buckets = work.stored(buckets.join(small_side(met.select("set", "n"), n_met, 40), "set"), "sized")
+        # A set that shares much with many is the better center: of copies with edits, the original.
+        each = buckets.groupBy("key").agg((F.count("*") - 1).alias("others")).withColumnRenamed("key", "_key")
+        score = buckets.join(each, F.col("key") == F.col("_key")).groupBy("set").agg(F.sum("others").alias("score"))
+        scored = work.stored(met.select("set", "n").join(score, "set"), "scores")
+        buckets = work.stored(buckets.join(small_side(scored, n_met, 48), "set"), "sized")
         wanted = small_side(met.select(F.col("id").alias("_id"), "set"), n_met, 40)
         texts = rows.join(wanted, F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_id")).select("set", "text")
         contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary"), "contents", "uncompressed")
-        links = _links(buckets, contents, met, n_rows, share, work)
+        links = _links(buckets, contents, met, n_met, share, work)
     if links is None:
         labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"), F.lit(0).cast("long").alias("degree"))
     else:
-        roots = work.stored(connected_components(links.select("a", "b"), work), "components")
+        roots = components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
         joined = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
         least = joined.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
@@ -276,39 +306,40 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     return out.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("degree", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_rows: int, share: int, work: Workspace) -> DataFrame:
+def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int, share: int, work: Workspace) -> DataFrame:
     """The links (a, b) that the buckets' sets have, as many as connect all that links connect."""
-    spark = buckets.sparkSession
-    seen = spark.createDataFrame([], "a long, b long, linked boolean")
-    now = buckets.withColumn("comp", F.col("set"))
+    seen = buckets.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+    now = buckets.select("key", "set", "n", "score", F.col("set").alias("comp"), F.lit(0).alias("tried"))
     for star in range(STARS + 1):
         each = now.groupBy("key", "comp").agg(F.count("*").alias("k"))
         left = each.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-        left = left.select(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()["pairs"] or 0
-        if not left:
+        left = work.stored(left.where("n * n > s").select(F.col("key").alias("_key"), ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")), "open")
+        total = left.agg(F.sum("pairs")).first()[0] or 0
+        if not total:
             break
-        last = left <= FEW + n_rows or star == STARS
+        now = now.join(left.select("_key"), F.col("key") == F.col("_key"), "left_semi")  # buckets of one component are done
+        last = total <= FEW or star == STARS
         if last:
-            x, y = now.toDF("set", "key", "n", "comp"), now.toDF("b", "key", "m", "comp2")
+            x, y = now.select("key", "set", "n", "comp"), now.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
             pairs = x.join(y, "key").where((F.col("set") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _near_size(F.col("n"), F.col("m"), share))
             pairs = pairs.select(F.col("set").alias("a"), "b", F.col("m").alias("n")).distinct()
         else:
-            order = F.struct(F.xxhash64(F.lit(star), "set").alias("h"), F.col("set").alias("center"), F.col("comp").alias("comp2"), F.col("n").alias("m"))
-            centers = now.groupBy("key").agg(F.min(order).alias("c")).select(F.col("key").alias("_key"), "c.*")
+            order = F.struct("tried", -F.col("score"), F.col("set").alias("center"), F.col("comp").alias("comp2"), F.col("n").alias("m"))
+            centers = now.groupBy("key").agg(F.min(order).alias("c")).select(F.col("key").alias("_key"), "c.center", "c.comp2", "c.m")
             pairs = now.join(centers, F.col("key") == F.col("_key")).where((F.col("comp") != F.col("comp2")) & _near_size(F.col("n"), F.col("m"), share))
-            # The lesser set comes first, so that a pair is one row whatever the star; groups are by the star's center.
             pairs = pairs.select(F.col("center").alias("a"), F.col("set").alias("b"), "n").distinct()
         known = seen.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
         pairs = work.stored(pairs.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti"), "candidates")
         found = work.stored(verify(pairs, contents, met, share, work), "verified")
-        seen = work.stored(seen.union(found).dropDuplicates(["a", "b"]), "seen")
+        seen = seen.union(found)
         if last:
             break
-        roots = connected_components(seen.where("linked").select("a", "b"), work)
-        roots = work.stored(roots, "roots")
-        now = buckets.join(small_side(roots, n_rows, 24), buckets["set"] == roots["node"], "left").select(buckets["set"], "key", "n", F.coalesce("root", buckets["set"]).alias("comp"))
-        now = work.stored(now, "state")
-    return seen.where("linked").select("a", "b")
+        roots = components(seen.where("linked"), work).select(F.col("node").alias("_node"), "root")
+        tried = seen.select(F.col("a").alias("_t")).groupBy("_t").agg(F.count("*").alias("times"))
+        marked = now.select("key", "set", "n", "score").join(small_side(roots, n_met, 24), F.col("set") == F.col("_node"), "left")
+        marked = marked.join(small_side(tried, n_met, 24), F.col("set") == F.col("_t"), "left")
+        now = work.stored(marked.select("key", "set", "n", "score", F.coalesce("root", "set").alias("comp"), F.when(F.col("times").isNotNull(), 1).otherwise(0).alias("tried")), "state")
+    return seen.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
