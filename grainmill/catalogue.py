@@ -302,7 +302,7 @@ def q_split_shuffled(spark, d):
 
 def q_named_chunks(spark, d):
     chunks = _chunks(spark, d).withColumn("filename", F.format_string("chunk-0-%d.bin", "chunk"))
-    names = spark.createDataFrame([(0, "chunk-0-1.bin"), (1, "chunk-0-5.bin"), (2, "chunk-0-1.bin")], "ord long, filename string")
+    names = spark.createDataFrame([(0, "chunk-0-1.bin"), (1, "chunk-0-3.bin"), (2, "chunk-0-1.bin")], "ord long, filename string")
     return sampling.named_chunks(chunks, names).select("ord", "chunk", "size")
 
 
@@ -519,7 +519,7 @@ def oracle_sql() -> dict[str, str]:
         "q_upsample": f"with {DOCS} select k copy, doc_id from d, range(3) r(k) where k < 2 or idx < (select floor(count(*) * 0.5) from d)",
         "q_split": f"with {DOCS}, n as (select count(*) n from d), x as (select doc_id, idx, floor(n * 0.7::decimal(4,2))::bigint a, floor(n * 0.2::decimal(4,2))::bigint b, floor(n * 0.1::decimal(4,2))::bigint c from d, n) select case when idx < a then 0 when idx < a + b then 1 else 2 end::bigint part, doc_id from x where idx < a + b + c",
         "q_split_shuffled": "with n as (select count(*) n from documents) select 0::bigint part, floor(n * 0.5)::bigint n, floor(n * 0.5)::bigint different from n union all select 1, floor(n * 0.25)::bigint, floor(n * 0.25)::bigint from n",
-        "q_named_chunks": f"with {DOCS} select v.ord::bigint ord, chunk, size from (values (0, 1), (1, 5), (2, 1)) v(ord, k) join ch on chunk = k",
+        "q_named_chunks": f"with {DOCS} select v.ord::bigint ord, chunk, size from (values (0, 1), (1, 3), (2, 1)) v(ord, k) join ch on chunk = k",
         "q_mix_all": "with r as (select doc_id, row_number() over (partition by lang order by doc_id) r, count(*) over (partition by lang) n from documents) select doc_id, (r - 0.5::double) / n vt from r",
         "q_mix_stop": mix(1),
         "q_mix_per_stream": mix(8),
