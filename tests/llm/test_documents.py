@@ -154,7 +154,9 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, None, ["doc_id"]).collect()} == {"und"}
 
 
-def test_search_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 128])
+def test_search_is_exact(spark, monkeypatch, small):
+    monkeypatch.setattr(search, "SMALL", small)
     monkeypatch.setattr(search, "SHARD_BYTES", 3000)
     monkeypatch.setattr(search, "BLOCK", 3)
     monkeypatch.setattr(search, "FAN", 2)
