@@ -30,7 +30,7 @@ from grainmill.llm.graph import connected_components
 
 #: Bytes of text that are hashed at a time, bytes of input for each range of signatures, shingles in a verified group.
 BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 8 << 20, 8 << 20, 2_000_000
-#: All pairs left are compared once they are at most FEW; stars before, up to STARS rounds.
+#: All pairs left are compared once they are at most FEW, or once a star has linked nothing; stars before, up to STARS rounds.
 FEW, STARS = 100_000, 8
 #: Links that one task makes components of; more are joined in distributed rounds.
 ONE_TASK = 1_000_000
@@ -310,6 +310,7 @@ def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int,
     """The links (a, b) that the buckets' sets have, as many as connect all that links connect."""
     seen = buckets.sparkSession.createDataFrame([], "a long, b long, linked boolean")
     now = buckets.select("key", "set", "n", "score", F.col("set").alias("comp"), F.lit(0).alias("tried"))
+    merged = True
     for star in range(STARS + 1):
         each = now.groupBy("key", "comp").agg(F.count("*").alias("k"))
         left = each.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
@@ -318,7 +319,7 @@ def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int,
         if not total:
             break
         now = now.join(left.select("_key"), F.col("key") == F.col("_key"), "left_semi")  # buckets of one component are done
-        last = total <= FEW or star == STARS
+        last = total <= FEW or star == STARS or not merged
         if last:
             x, y = now.select("key", "set", "n", "comp"), now.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
             pairs = x.join(y, "key").where((F.col("set") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _near_size(F.col("n"), F.col("m"), share))
@@ -334,6 +335,9 @@ def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int,
         seen = seen.union(found)
         if last:
             break
+        merged = not found.where("linked").isEmpty()
+        if not merged:  # stars find no more; what is left is not alike, and each pair is compared to be sure
+            continue
         roots = components(seen.where("linked"), work).select(F.col("node").alias("_node"), "root")
         tried = seen.select(F.col("a").alias("_t")).groupBy("_t").agg(F.count("*").alias("times"))
         marked = now.select("key", "set", "n", "score").join(small_side(roots, n_met, 24), F.col("set") == F.col("_node"), "left")
