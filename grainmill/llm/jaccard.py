@@ -35,6 +35,8 @@ FEW, STARS = 100_000, 8
 #: Links that one task makes components of; more are joined in distributed rounds.
 ONE_TASK = 1_000_000
 KEY_BITS = 48
+#: A set's sketch has its counts in 2^CELL_BITS cells, 2 bytes each.
+CELL_BITS = 9
 
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,7 +199,22 @@ def _contents(width: int):
             names = set_hashes(flat, ends).view(np.int64)
             right = np.flatnonzero((names == batch.column("set").to_numpy()) & (np.diff(ends) > 0))
             blobs = [flat[ends[i] : ends[i + 1]].tobytes() for i in right]
-            yield pa.RecordBatch.from_arrays([pa.array(names[right]), pa.array(blobs, pa.binary())], names=["set", "content"])
+            counts = [np.bincount((flat[ends[i] : ends[i + 1]] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) for i in right]
+            sketches = [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(names[right]), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["set", "content", "sketch"])
+
+    return run
+
+
+def _possible(share: int):
+    """Pairs whose counts in the cells of the universe differ by no more than similar sets' may; the others cannot be similar."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, 1 << CELL_BITS).astype(np.int64) for c in ("one", "other"))
+            may = np.abs(x - y).sum(axis=1) * (100 + share) <= (100 - share) * (x.sum(axis=1) + y.sum(axis=1))
+            may |= (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+            yield batch.select(["a", "b", "n"]).filter(pa.array(may))
 
     return run
 
@@ -219,7 +236,15 @@ def _compare(share: int):
 
 
 def verify(pairs: DataFrame, contents: DataFrame, sizes: DataFrame, share: int, work: Workspace) -> DataFrame:
-    """(a, b, linked) for distinct pairs(a, b, n): each a's partners are compared with it in groups of GROUP_SHINGLES (n is b's size)."""
+    """(a, b, linked) for those of distinct pairs(a, b, n) that can be similar (n is b's size).
+
+    Sketches rule pairs out first, exactly: sets differ by at least as much as their counts do. Then each a's partners
+    are compared with it, whole, in groups of GROUP_SHINGLES.
+    """
+    sketches = contents.select("set", "sketch")
+    one = sketches.join(small_side(pairs, pairs.count(), 40), F.col("set") == F.col("b")).select("a", "b", "n", F.col("sketch").alias("other"))
+    both = one.join(sketches, F.col("a") == F.col("set")).select("a", "b", "n", F.col("sketch").alias("one"), "other")
+    pairs = work.stored(both.mapInArrow(_possible(share), "a long, b long, n long").distinct(), "possible")
     count = pairs.count()
     total = pairs.groupBy("a").agg(F.sum("n").alias("total")).withColumnRenamed("a", "_a")
     dealt = pairs.join(total, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("total") / GROUP_SHINGLES) + 1).alias("chunk"))
@@ -290,7 +315,7 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
         buckets = work.stored(buckets.join(small_side(scored, n_met, 48), "set"), "sized")
         wanted = small_side(met.select(F.col("id").alias("_id"), "set"), n_met, 40)
         texts = rows.join(wanted, F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_id")).select("set", "text")
-        contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary"), "contents", "uncompressed")
+        contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary, sketch binary"), "contents", "uncompressed")
         links = _links(buckets, contents, met, n_met, share, work)
     if links is None:
         labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"), F.lit(0).cast("long").alias("degree"))
@@ -332,7 +357,7 @@ def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int,
         known = seen.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
         pairs = work.stored(pairs.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti"), "candidates")
         found = work.stored(verify(pairs, contents, met, share, work), "verified")
-        seen = seen.union(found)
+        seen = seen.union(found).union(pairs.select("a", "b", F.lit(False)))
         if last:
             break
         merged = not found.where("linked").isEmpty()
