@@ -208,3 +208,12 @@ def slices(texts: pa.Array, most: int):
         to = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
         yield at, to
         at = to
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -29,7 +29,7 @@ ZIPF, UNKNOWN = 2.7, 10.0
 #: Parts of up to so many bytes are searched all at a time; longer ones singly.
 LONG = 48
 #: Bytes of text that are encoded at a time; parts whose ids a worker keeps.
-ENCODE_BYTES, CACHE_ENTRIES = 4 << 20, 300_000
+ENCODE_BYTES, CACHE_ENTRIES = 2 << 20, 150_000
 
 #: Slots that the trie's builder looks at together.
 WINDOW = 64
@@ -298,6 +298,7 @@ def _shared(spark, path: str):
 
 def _encode(content, keep: list[str]):
     def run(batches):
+        pretokens.trim()
         model = load(content)
         for batch in batches:
             texts = pretokens.text_column(batch)
@@ -311,6 +312,7 @@ def _encode(content, keep: list[str]):
                 columns = [batch.column(c).slice(at, to - at) for c in keep]
                 new = [listed, pa.array(np.diff(ends)), pa.array(np.diff(n_bytes)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=[*keep, "ids", "n_ids", "n_byte_ids", "round_trip"])
+            pretokens.trim()
 
     return run
 
