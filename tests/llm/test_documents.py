@@ -186,3 +186,26 @@ def test_search_is_exact(spark, monkeypatch, small):
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
     assert {(q, d) for q, r, d, _ in got if r == 1 and q in (50, 402)} == {(50, 50), (402, 402)}
     assert search.top_k(search.build(docs.limit(0), work), search.like(asked, search.document_frequencies(index), n), 7, work).count() == 0
+
+
+@pytest.mark.parametrize(("small", "lists", "postings"), [(128, 48, 2_000_000), (0, 2, 100), (0, 1000, 100)])
+def test_search_asks_with_whole_texts(spark, monkeypatch, tmp_path, small, lists, postings):
+    for name, value in (("SMALL", small), ("LISTS", lists), ("POSTINGS", postings), ("SHARD_BYTES", 4000), ("QUERIES", 2)):
+        monkeypatch.setattr(search, name, value)
+    rows = [(i, " ".join(WORDS[(i * k + k * k) % 29] + str((i + k) % 7) for k in range(5 + i % 60)) + f" pair{i // 2} own{i}") for i in range(201)] + [(400, None), (402, "few"), (500, "pair3 few FEW")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in search.op2_top_k_search(spark, str(tmp_path)).collect())
+    texts = {i: Counter((t or "").lower().split()) for i, t in rows}
+    df = Counter(w for c in texts.values() for w in c)
+    mean = sum(sum(c.values()) for c in texts.values()) / len(texts)
+    want = []
+    for q in (i for i in texts if i % 50 == 0):
+        found = []
+        for i, c in texts.items():
+            both = texts[q].keys() & c.keys()
+            if both:
+                norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+                found.append((-math.fsum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w in both), i))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:10])]
+    assert [r[:3] for r in got] == [r[:3] for r in want] and (500, 2, 402) in [r[:3] for r in got]
+    assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
