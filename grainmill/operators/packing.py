@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.plans.index import bounds, range_of
+
+#: More items than that are not collected: whole numbers as weights are packed by runs of equal ones.
+DRIVER_ITEMS = 100_000
+
 
 def by_count(df: DataFrame, size: int, order: str = "idx", worker: str | None = None, name: str = "chunk") -> DataFrame:
     """Chunks of size rows each in order, for each worker on its own; order numbers a worker's rows from 0 without gaps if worker is None."""
@@ -51,8 +58,6 @@ def largest_first(weights: list[float], bins: int) -> list[int]:
     """
     if bins <= 0 or any(w <= 0 for w in weights):
         raise ValueError("bins and weights must be positive")
-    import heapq
-
     heap, out = [(0, b) for b in range(bins)], [0] * len(weights)
     for i in sorted(range(len(weights)), key=lambda i: -weights[i]):
         total, b = heapq.heappop(heap)
@@ -61,12 +66,55 @@ def largest_first(weights: list[float], bins: int) -> list[int]:
     return out
 
 
+def largest_first_runs(counts: list[tuple[int, int]], bins: int) -> list[tuple[int, list[int], list[int]]]:
+    """The same as largest_first() of items by number: of (weight, items) each weight, the bins of its first items, and
+    those that the rest take in turn.
+
+    Once the totals differ by less than the weight, an item's bin becomes the fullest: all bins take one each, again and again.
+    """
+    if bins <= 0 or any(w <= 0 for w, _ in counts):
+        raise ValueError("bins and weights must be positive")
+    heap, out = [(0, b) for b in range(bins)], []
+    for w, n in sorted(counts, reverse=True):
+        most, head = max(heap)[0], []
+        while len(head) < n and most - heap[0][0] >= w:
+            total, b = heap[0]
+            head.append(b)
+            heapq.heapreplace(heap, (total + w, b))
+        turns = sorted(heap)
+        whole, rest = divmod(n - len(head), bins)
+        heap = [(total + w * (whole + (i < rest)), b) for i, (total, b) in enumerate(turns)]
+        heapq.heapify(heap)
+        out.append((w, head, [b for _, b in turns]))
+    return out
+
+
 def balanced(items: DataFrame, weight: str, bins: int, order: str) -> DataFrame:
-    """items(order, weight) with their bin."""
-    rows = items.select(order, weight).orderBy(order).collect()
-    placed = [(r[0], b) for r, b in zip(rows, largest_first([r[1] for r in rows], bins), strict=True)]
-    kind = items.schema[order].dataType.simpleString()
-    return items.join(F.broadcast(items.sparkSession.createDataFrame(placed, f"`_k` {kind}, bin long")), F.col(order) == F.col("_k")).drop("_k")
+    """items(order, weight) with their bin.
+
+    Up to DRIVER_ITEMS items are placed one by one. Of more, the driver sees how many have each weight, and an item's
+    place among those of its weight says its bin. Weights that are no whole numbers are always placed one by one.
+    """
+    spark, kinds = items.sparkSession, {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    few = items.count() <= DRIVER_ITEMS
+    if few or kinds[weight] not in ("tinyint", "smallint", "int", "bigint"):
+        rows = items.select(order, weight).orderBy(order).collect()
+        placed = [(r[0], b) for r, b in zip(rows, largest_first([r[1] for r in rows], bins), strict=True)]
+        table = spark.createDataFrame(placed, f"`_k` {kinds[order]}, bin long")
+        return items.join(F.broadcast(table) if few else table, F.col(order) == F.col("_k")).drop("_k")
+    counts = [(r[0], r[1]) for r in items.groupBy(weight).agg(F.count("*")).collect()]
+    runs = largest_first_runs(counts, bins)
+    placed = items.withColumn("_range", range_of(F.col(order), bounds(items, order), kinds[order]))
+    starts = placed.groupBy(weight, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(weight).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(F.col(weight).alias("_w"), F.col("_range").alias("_r"), before.alias("_start"))  # rows: weights times ranges
+    rank = F.row_number().over(Window.partitionBy(weight, "_range").orderBy(order)) - 1
+    placed = placed.withColumn("_rank", rank).join(starts, (F.col(weight) == F.col("_w")) & (F.col("_range") == F.col("_r"))).withColumn("_rank", F.col("_rank") + F.col("_start")).drop("_w", "_r", "_start", "_range")
+    table = spark.createDataFrame(runs, "`_w` bigint, head array<bigint>, turns array<bigint>")
+    first = F.size("head")
+    bin_ = F.when(F.col("_rank") < first, F.get("head", F.col("_rank").cast("int"))).otherwise(F.get("turns", ((F.col("_rank") - first) % bins).cast("int")))
+    placed = placed.join(table, F.col(weight) == F.col("_w")).withColumn("bin", bin_)
+    return placed.select(*[F.col(f"`{c}`") for c in items.columns], "bin")
 
 
 def split_evenly(df: DataFrame, workers: int, order: str = "idx") -> DataFrame:

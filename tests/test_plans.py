@@ -79,6 +79,31 @@ def test_largest_first():
         packing.largest_first([1, 0], 2)
 
 
+def brute_bins(rows, bins):
+    totals, out = [0] * bins, {}
+    for k, w in sorted(rows, key=lambda r: (-r[1], r[0])):
+        out[k] = totals.index(min(totals))
+        totals[out[k]] += w
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_balanced_packs_all_items(spark, monkeypatch, most):
+    monkeypatch.setattr(packing, "DRIVER_ITEMS", most)
+    monkeypatch.setattr(index, "RANGE_ROWS", 40)
+    for bins, weights in ((4, [1 + i * i % 13 for i in range(300)]), (3, [1000, 70, 70, 3, *[1] * 90]), (7, [5, 5])):
+        rows = [(500 - i, w) for i, w in enumerate(weights)]
+        got = packing.balanced(spark.createDataFrame(rows, "k long, w int").repartition(3), "w", bins, "k")
+        assert got.columns == ["k", "w", "bin"] and {r["k"]: r["bin"] for r in got.collect()} == brute_bins(rows, bins)
+
+
+def test_lpt_of_the_whole_table(spark, sf_dir):
+    from grainmill import catalogue
+
+    parts = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()]
+    assert {r["p_partkey"]: r["bin"] for r in catalogue.q_lpt_whole(spark, sf_dir).collect()} == brute_bins(parts, 4)
+
+
 @pytest.mark.parametrize(("workers", "sizes"), [(1, [5]), (2, [2, 3]), (3, [1, 2, 2]), (4, [1, 1, 1, 2])])
 def test_sequential_split(spark, workers, sizes):
     got = packing.split_evenly(spark.range(5).withColumnRenamed("id", "idx"), workers).groupBy("worker").count().orderBy("worker").collect()
