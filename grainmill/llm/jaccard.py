@@ -11,6 +11,7 @@ in empty segments only, their neighbours cannot each differ by two or more, for
 Signatures that two sets share make a bucket. Its sets are compared with one of them first (a star); links make
 components, and then only pairs of different components are left. They are compared in further stars, and when few are
 left, all of them. Every comparison is exact, on whole sets; a group of near copies thus costs rows in its size.
+Links are counted after that: all pairs of a component's sets are compared, in blocks of sets, each block with each.
 64-bit hashes stand for shingles and sets.
 """
 
@@ -34,6 +35,8 @@ BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 8 << 20, 8 << 20, 2_000_000
 FEW, STARS = 100_000, 8
 #: Links that one task makes components of; more are joined in distributed rounds.
 ONE_TASK = 1_000_000
+#: Sets of a block of a component in which links are counted; its shingles are at most about GROUP_SHINGLES.
+BLOCK_SETS = 512
 KEY_BITS = 48
 #: A set's sketch has its counts in 2^CELL_BITS cells, 2 bytes each.
 CELL_BITS = 9
@@ -279,17 +282,67 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return work.stored(links.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_union_find, "node long, root long"), "roots")
 
 
+def _count(share: int):
+    def run(part: pa.Table) -> pa.Table:
+        names, first = np.unique(part.column("set").to_numpy(), return_index=True)  # rows that repeat have a set twice
+        root, block = (part.column(c).to_numpy()[first] for c in ("root", "block"))
+        x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
+        contents = part.column("content").take(pa.array(first)).to_pylist()
+        order = np.argsort(root, kind="stable")
+        links = np.zeros(len(names), dtype=np.int64)
+        for mine in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            sets = [np.frombuffer(contents[i], dtype="<u8") for i in mine]
+            size = np.array([len(s) for s in sets])
+            distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            starts, has = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(distinct), dtype=np.int32)
+            mask = block[mine]
+            for i in np.flatnonzero(mask == x):
+                own = codes[starts[i] : starts[i + 1]]
+                has[own] = 1
+                both = np.add.reduceat(has[codes], starts[:-1])
+                has[own] = 0
+                linked = 100 * both >= share * (size + size[i] - both)
+                linked &= mask == y
+                linked[i] = False
+                links[mine[i]] += linked.sum()
+                if x != y:
+                    links[mine[linked]] += 1
+        return pa.table({"set": pa.array(names), "links": pa.array(links)})
+
+    return run
+
+
+def count_links(roots: DataFrame, contents: DataFrame, met: DataFrame, n_met: int, share: int, work: Workspace) -> DataFrame:
+    """(set, degree): with how many other sets each set of roots(node, root) links.
+
+    Sets that link are in one component, so all pairs of a component are compared. Its sets are dealt to blocks, and two
+    blocks meet in one group; components of one block share groups.
+    """
+    members = roots.join(met.select("set", F.col("n").cast("long").alias("n")), F.col("node") == F.col("set")).select("set", "root", "n")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks"), F.sum("n").alias("total")).withColumnRenamed("root", "_root")
+    blocks = work.stored(blocks, "blocks")
+    pools = F.lit((blocks.agg(F.sum("total")).first()[0] or 0) // GROUP_SHINGLES * 4 + 16)
+    dealt = members.join(blocks, F.col("root") == F.col("_root")).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set"), F.col("blocks"))).otherwise(F.lit(0)))
+    pool = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), pools))
+    dealt = dealt.select("set", "root", "block", pool.alias("pool"), (F.col("blocks") > 1).alias("large"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other").withColumnRenamed("set", "_s")
+    rows = work.stored(dealt, "dealt")
+    rows = contents.select("set", "content").join(small_side(rows, rows.count(), 64), F.col("set") == F.col("_s")).drop("_s")
+    found = rows.groupBy("large", "pool", "x", "y").applyInArrow(_count(share), "set long, links long")
+    return work.stored(found.groupBy("set").agg(F.sum("links").alias("degree")), "degrees")
+
+
 def _near_size(n, other, share: int):
     return (F.least(n, other) * 100) >= (F.greatest(n, other) * share)
 
 
-def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, text_key, class, n_shingles, component_id, n_links for each row of docs(doc_id, text).
+def join(docs: DataFrame, width: int = 5, share: int = 80, counted: bool = True) -> DataFrame:
+    """doc_id, text_key, class, n_shingles, component_id and, if counted, n_links for each row of docs(doc_id, text).
 
     Two rows link when 100 * |x & y| >= share * |x | y| for their sets of width-word shingles (A-Z folded, words
     `[^\\x20\\x09-\\x0D]+`; with fewer words the whole sequence is one shingle). component_id is the smallest doc_id
-    reachable by links, its own included; equal sets link. n_links counts links found between the row's set and
-    different sets; within a component not every one is looked for. class is the component's number, null for an empty
+    reachable by links, its own included; equal sets link. n_links is the number of different sets that the row's set
+    links with, every one, in a component of any size. class is the component's number, null for an empty
     set; text_key is xxhash64(text). A null or empty text, or one without words, has an
     empty set and links with nothing. A null doc_id is no smallest one; a component without another has a null id. Rows
     that repeat each give a row.
@@ -317,18 +370,21 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
         texts = rows.join(wanted, F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_id")).select("set", "text")
         contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary, sketch binary"), "contents", "uncompressed")
         links = _links(buckets, contents, met, n_met, share, work)
+    degree = spark.createDataFrame([], "set long, degree long")
     if links is None:
-        labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"), F.lit(0).cast("long").alias("degree"))
+        labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"))
     else:
         roots = components(links, work)
-        degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
+        if counted:
+            degree = count_links(roots, contents, met, n_met, share, work)
         joined = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
         least = joined.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
-        labels = joined.join(least, F.col("root") == F.col("_root")).join(degree, F.col("set") == F.col("_d"), "left")
-        labels = labels.select(F.col("set").alias("_set"), "component", F.col("root").alias("class"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+        labels = joined.join(least, F.col("root") == F.col("_root")).select(F.col("set").alias("_set"), "component", F.col("root").alias("class"))
+    if counted:
+        labels = labels.join(degree.withColumnRenamed("set", "_d"), F.col("_set") == F.col("_d"), "left").drop("_d")
     labels = work.stored(labels, "labels")
     out = described.join(labels, F.col("set") == F.col("_set"), "left")
-    return out.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("degree", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *([F.coalesce("degree", F.lit(0).cast("long")).alias("n_links")] if counted else []))
 
 
 def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int, share: int, work: Workspace) -> DataFrame:
@@ -379,7 +435,7 @@ def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     docs is (doc_id, text hash) of the rows that go; within its size bound it is broadcast, so that texts are not shuffled.
     """
     work = Workspace(docs.sparkSession)
-    found = work.stored(join(docs.select("doc_id", "text"), width, share).where("n_shingles > 0").select("doc_id", "text_key", "class"), "classes")
+    found = work.stored(join(docs.select("doc_id", "text"), width, share, counted=False).where("n_shingles > 0").select("doc_id", "text_key", "class"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = found.groupBy("class").agg(F.min(order).alias("x"), F.count("*").alias("n"))
     first = work.stored(first.where("n > 1").select(F.col("class").alias("_class"), "x.doc_id", "x.text_key"), "first")
@@ -400,4 +456,4 @@ def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return join(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
+    return join(docs, 4, 85).select("doc_id", "n_shingles", "component_id", "n_links")

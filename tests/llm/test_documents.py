@@ -209,3 +209,18 @@ def test_search_asks_with_whole_texts(spark, monkeypatch, tmp_path, small, lists
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:10])]
     assert [r[:3] for r in got] == [r[:3] for r in want] and (500, 2, 402) in [r[:3] for r in got]
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+
+
+@pytest.mark.parametrize(("few", "sets", "block"), [(None, 512, 2_000_000), (-(10**9), 512, 2_000_000), (-(10**9), 7, 2_000_000), (None, 512, 700)])
+def test_links_are_all_counted(spark, monkeypatch, few, sets, block):
+    if few is not None:
+        monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", block)
+    base = [WORDS[(i * i + 3 * i) % len(WORDS)] + str(i) for i in range(90)]
+    rows = near_copies() + [(1000 + i, " ".join([*base[:i], f"edit{i}", *base[i + 1 :]]), "a") for i in range(0, 80, 2)]  # a group of edited copies
+    rows += [(2000 + i, f"pair {i // 2} " + " ".join(base[i // 2 : i // 2 + 30]) + " x" * (i % 2), "a") for i in range(0, 8)]
+    kinds = [frozenset(shingles(t, 4)) for _, t, _ in rows]
+    want = sorted(((i, len({b for b in kinds if b and a and a != b and 100 * len(a & b) >= 85 * len(a | b)})) for (i, _, _), a in zip(rows, kinds, strict=True)), key=key)
+    got = [(r["doc_id"], r["n_links"]) for r in jaccard.join(documents(spark, rows), 4, 85).select("doc_id", "n_links").collect()]
+    assert sorted(got, key=key) == want and max(n for _, n in want) >= 39
