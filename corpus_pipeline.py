@@ -19,8 +19,9 @@ WORDS, SHARE = 5, 80
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language. Rejected: a null text, one without a letter, and one whose language none is like.
 
-    Learns from the rows with a lang. A row goes only if it is `und`; how sure the prediction is does not matter, so
-    that clean short documents stay. Without any row with a lang, nothing is learned, and only rows without a letter go.
+    Learns from the rows with a lang. A row goes only if it is `und`: its best score is below what nearly all texts of
+    its size in the learned languages have, short ones being held to less. Where too few rows with a lang say what that
+    is, and without any, only rows without a letter go.
     """
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
     model = language_id.learn(rows, F.lit(True)) if "lang" in docs.columns else None

@@ -6,6 +6,11 @@ of their numbers of features. Kernel ridge regression, one language against the
 texts (Nyström): with K the kernels of the sample with the landmarks and W those among the landmarks, the weights of the
 features K W^(-1/2) solve a ridge system of that size. Prediction is batched matrix products: presence rows times
 landmarks, times weights.
+
+A text is rejected if its best score is below the level of its SIZES class. Levels are set on the labelled sample: what its
+texts score that the fit has not seen (two halves, each scored by the other's fit), and what a language's texts score
+if it is left out. Nearly all of the first are at or above a level, and a level is no higher than it must be to be above
+nine tenths of the second; so texts of two learned languages stay.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ SNIPPETS = (12, 40, 160)
 #: Rows and characters of a presence matrix.
 ROWS, CHARACTERS = 256, 4 << 20
 UNKNOWN = "und"
-#: A text of which every language says no as surely as that (-1 is the target of a foreign text) is in none of them.
-LEAST_SCORE = -0.9
+#: Classes of texts by their numbers of features, at most so many and then more; a long text has most of the WIDTH places.
+SIZES = (64, 192, 512, 2048, 5000)
+#: Shares of the sample's own texts below a level and of left-out ones above it, at most; rows that a class needs for one.
+LOST, PASSED, LEAST_ROWS = 0.001, 0.1, 50
 
 
 def has_letter(text: str | None) -> bool:
@@ -85,29 +92,76 @@ def unpacked(bits: np.ndarray) -> np.ndarray:
 
 def fit(bits: np.ndarray, labels: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
     """landmarks' rows (transposed), weights and names, from presence rows as bits, their labels and the landmarks' numbers."""
-    names, rows = sorted(set(labels.tolist())), bits
+    marks, kernels = _kernels(bits, landmarks)
+    weights, names = _solved(kernels, kernels[landmarks], labels)
+    return marks.T.astype(np.float32), weights, names
+
+
+def _kernels(bits: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     marks = normed(unpacked(bits[landmarks]))
-    kernels = np.concatenate([normed(unpacked(bits[at : at + ROWS])) @ marks.T for at in range(0, len(bits), ROWS)]).astype(np.float64)
-    among = (marks @ marks.T).astype(np.float64)
+    return marks, np.concatenate([normed(unpacked(bits[at : at + ROWS])) @ marks.T for at in range(0, len(bits), ROWS)]).astype(np.float64)
+
+
+def _solved(kernels: np.ndarray, among: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, list]:
+    """Weights and names, of the rows' kernels with the landmarks, and the landmarks' own."""
+    names = sorted(set(labels.tolist()))
     value, vector = np.linalg.eigh(among)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    phi = np.hstack([kernels @ root, np.ones((len(rows), 1))])
+    phi = np.hstack([kernels @ root, np.ones((len(kernels), 1))])
     labelled = labels[:, None] == np.array(names)[None, :]
     # Each language weighs the same against the rest, however many rows it has.
     weight = (labelled / np.maximum(labelled.sum(axis=0), 1)).sum(axis=1, keepdims=True)
     target = np.where(labelled, 1.0, -1.0)
     system = phi.T @ (weight * phi) + RIDGE * np.eye(phi.shape[1])
     solved = np.linalg.solve(system, phi.T @ (weight * target))
-    return marks.T.astype(np.float32), np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), names
+    return np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), names
+
+
+def levels(bits: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The level of each class of SIZES, of what fit() gets and the number of the text that each row is of.
+
+    Without LEAST_ROWS rows of both kinds a class has no level, and nothing of it is rejected.
+    """
+    _, kernels = _kernels(bits, landmarks)
+    sizes = np.searchsorted(SIZES, np.bitwise_count(bits).sum(axis=1))
+
+    def best(train: np.ndarray, test: np.ndarray) -> np.ndarray:
+        out, at = np.full(len(bits), np.nan), np.flatnonzero(train[landmarks])
+        if len(at) and test.any():
+            weights, _ = _solved(kernels[np.ix_(train, at)], kernels[np.ix_(landmarks[at], at)], labels[train])
+            out[test] = (kernels[np.ix_(test, at)] @ weights[:-1] + weights[-1]).max(axis=1)
+        return out
+
+    half = text % 2 == 0
+    own = np.where(half, best(~half, half), best(half, ~half))
+    foreign = np.full(len(bits), np.nan)
+    for name in set(labels.tolist()):
+        foreign = np.where(labels == name, best(labels != name, labels == name), foreign)
+    out = np.full(len(SIZES) + 1, -np.inf)
+    for c in range(len(out)):
+        kept, strange = (x[(sizes == c) & ~np.isnan(x)] for x in (own, foreign))
+        if min(len(kept), len(strange)) >= LEAST_ROWS:
+            out[c] = min(np.quantile(kept, LOST, method="lower"), np.quantile(strange, 1 - PASSED))
+    return out
 
 
 def scores(texts: list[str], model) -> np.ndarray:
-    marks, weights, _ = model
-    kernels = normed(presence(texts)) @ marks
+    return _scores(presence(texts), model)
+
+
+def _scores(rows: np.ndarray, model) -> np.ndarray:
+    marks, weights = model[:2]
+    kernels = normed(rows) @ marks
     return kernels @ weights[:-1] + weights[-1]
 
 
+def known(texts: list[str], model) -> np.ndarray:
+    """Whether each text, which has a letter, is in a learned language: its best score is not below its class's level."""
+    rows = presence(texts)
+    return _scores(rows, model).max(axis=1) >= model[3][np.searchsorted(SIZES, rows.sum(axis=1))]
+
+
 def groups(texts: list[str]):
     """Ranges of up to ROWS texts and about CHARACTERS characters."""
     at, n = 0, 0
@@ -137,8 +191,9 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(out, pa.int64())), batch.column("h").take(pa.array(out, pa.int64())), pa.array(packed, pa.binary())], names=["lang", "h", "rows"])
 
 
-def learn(docs: DataFrame, learnable) -> tuple | None:
+def learn(docs: DataFrame, learnable, rejecting: bool = True) -> tuple | None:
     """The model, from a sample of the rows of docs(doc_id, text, lang) for which learnable holds and lang is not null.
+    If it is to reject, with levels.
 
     Presence rows are made where the texts are; what comes to the driver has a bound: SAMPLE rows of WIDTH / 8 bytes, and
     their snippets', for each language. None if there is nothing to learn from.
@@ -163,7 +218,9 @@ def learn(docs: DataFrame, learnable) -> tuple | None:
         if r["k"] <= LANDMARKS:
             marks.append(at + (r["k"] % len(b)))
         at += len(b)
-    return fit(np.concatenate(bits), labels, np.array(marks))
+    text = np.repeat([r["k"] for r in found], [len(b) for b in bits])
+    bits, marks = np.concatenate(bits), np.array(marks)
+    return (*fit(bits, labels, marks), levels(bits, labels, marks, text) if rejecting else None)
 
 
 def _predict(shared, keep: list[str]):
@@ -201,18 +258,18 @@ def _keep_known(shared, at: int):
         model = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            lettered = [i for i, t in enumerate(texts) if has_letter(t)]
             sure = np.zeros(len(texts), dtype=bool)
-            for a, b in groups([texts[i] for i in known]):
-                part = known[a:b]
-                sure[part] = scores([texts[i] for i in part], model).max(axis=1) > LEAST_SCORE
+            for a, b in groups([texts[i] for i in lettered]):
+                part = lettered[a:b]
+                sure[part] = known([texts[i] for i in part], model)
             yield batch.filter(pa.array(sure))
 
     return run
 
 
 def select_known(rows: DataFrame, model) -> DataFrame:
-    """The rows, with all their columns, whose text is in a learned language: it has a letter, and its best score is above LEAST_SCORE."""
+    """The rows, with all their columns, whose text is in a learned language: it has a letter, and its best score is not below its class's level."""
     ship(rows.sparkSession)
     at = [f.name for f in rows.schema.fields].index("text")
     return rows.mapInArrow(_keep_known(rows.sparkSession.sparkContext.broadcast(model), at), rows.schema)
@@ -230,5 +287,5 @@ def learnable(doc_id):
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = learn(docs, learnable(F.col("doc_id")))
+    model = learn(docs, learnable(F.col("doc_id")), rejecting=False)
     return identify(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
