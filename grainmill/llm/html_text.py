@@ -27,8 +27,13 @@ MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
 BROADCAST_PATHS = 2_000_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr keygen frame".split())
-RAW = set("script style noscript template iframe object svg math textarea select canvas audio video title head".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+RAW = set("script style noscript template iframe object svg textarea select canvas audio video title head".split())
+#: Of these, what the page leaves open has no text up to its end, as in browsers; of the others only the tag is passed over.
+TO_THE_END = set("script style iframe textarea title".split())
+MATH = set("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd mstyle mpadded mphantom mspace menclose merror mfenced maction semantics".split())
+#: Also these are inline, with a space before and after.
+SPACED = set("br mtr mtd mspace annotation annotation-xml".split())
+INLINE = MATH | SPACED | set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
@@ -45,6 +50,7 @@ RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=>"'/]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW_TAG = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>", re.I) for tag in RAW}
 RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
@@ -82,6 +88,23 @@ def _is_furniture(tag: str, attributes: dict[str, str], parent: Element | None)
     return any(w in FURNITURE_WORDS for w in words)
 
 
+def _behind(page: str, tag: str, at: int) -> int:
+    """Where the text goes on behind an element of RAW whose tag ends at `at`: behind its own end tag, if it has one."""
+    if tag in TO_THE_END:
+        end = RAW_END[tag].search(page, at)
+        close = page.find(">", end.end()) if end else -1
+        return close + 1 if close >= 0 else len(page)
+    depth = 1
+    for m in RAW_TAG[tag].finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag != "svg" or not m[2].endswith("/"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
     """A page's blocks of text in page order, each with its ancestors, and all its elements. Any text is a page."""
     found, elements, stack, text, at = [], [], [], [], 0
@@ -101,7 +124,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
             continue
         tag = tag.lower()
         if tag in INLINE:
-            if tag == "br":
+            if tag in SPACED:
                 text.append(" ")
             continue
         flush()
@@ -116,9 +139,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
             at = end.end() if end else at
             continue
         if tag in RAW:
-            end = RAW_END[tag].search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else len(page)
+            at = at if tag == "svg" and rest.rstrip().endswith("/") else _behind(page, tag, at)
             continue
         if tag in VOID:
             continue

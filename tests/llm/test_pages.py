@@ -12,6 +12,18 @@ def test_main_text():
         assert html_text.main_text(odd, 0, frozenset()) == want
 
 
+def test_embedded_elements():
+    for page, want in (
+        ("<article><p>a <svg viewBox='0 0 1 1'/> b</p><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p><svg><path d=x><p>b</p></article>", "a\n\nb"),
+        ("<p>a</p><svg><svg><text>x</text></svg><text>y</text></svg><p>b", "a\n\nb"),
+        ("<p>a</p><svg><svg/><text>x</text></svg><p>b", "a\n\nb"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <math/>too</p>", "so x=2 holds too"),
+        ("<p>a</p><video src=x><p>b</p>", "a\n\nb"), ("<p>a</p><script>x = '<p>b</p>'", "a"),
+    ):
+        assert html_text.main_text(page, 0, frozenset()) == want
+
+
 def test_site_style_tree(spark):
     same = "<div class=box>Read our other stories now</div>"
     rows = [(i, f"http://h.net/{i}", f"<body><section>{same}</section><section class=c><p>text {i}</p><p>{'x' * i} y</p></section>") for i in range(30)]
