@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Workspace:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Have the driver drop what it no longer refers to, shuffle files on the executors among it."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES; else as it is, for a shuffled join."""

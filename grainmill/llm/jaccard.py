@@ -3,14 +3,23 @@
 A document's set are its distinct shingles. Sizes fall into bands so that two sets of a Jaccard of SHARE per cent or
 more are in the same band or in neighbouring ones; a set takes part in the instance of its own band and in that of the
 next. In an instance, sets differ by at most H elements if they are similar, and the shingles are hashed into H + 1
-segments. So similar sets agree in a segment wholly: the segment's subset is a signature. What a segment's index list
-costs depends on how much it has in it, and an empty segment's is the longest of all; it is given up, and its neighbour
-takes over with its one-deletion neighbourhood, its subset and the subsets without one element each. If two sets agree
-in empty segments only, their neighbours cannot each differ by two or more, for that would be more than H in all.
-
-Signatures that two sets share make a bucket. Its sets are compared with one of them first (a star); links make
-components, and then only pairs of different components are left. They are compared in further stars, and when few are
-left, all of them. Every comparison is exact, on whole sets; a group of near copies thus costs rows in its size.
+segments. So similar sets agree in a segment wholly: the segment's subset is a signature, and the sets that have it are
+its index list.
+
+Signatures are allocated by what the lists cost, which is their pairs. Any segment can be given up, and its neighbour
+then takes over with its one-deletion neighbourhood: its subset and the subsets without one element each. An empty
+segment is always given up, for its list would be the longest of all. Of the others the lists are counted first; those
+longer than REFINE are tried with the given-up segment's own subset and the neighbour's one-deletion neighbourhood as
+signature, and whichever has fewer pairs in all stays. Nothing is lost: whether a list is given up is the same for all of
+its sets, and if two sets agreed in segments only that both give up, the neighbours of these could not each differ by two
+or more, for that would be more than H in all.
+
+What the lists' sets have in common is found in two steps. The sets of lists longer than STAR are compared with one of
+the list first, the one that is in most lists with others; the links make components. What is left are pairs of different
+components: those of lists up to LIGHT are made once each, ruled out by sketches (sets differ by at least as much as
+their counts in cells of the universe do) and compared whole; longer lists are compared whole, in blocks of sets, block
+with block within a task, which gives back links that join components and no pairs. So rows grow with the lists, and only
+comparisons inside tasks with the square of a group that is alike but does not link.
 Links are counted after that: all pairs of a component's sets are compared, in blocks of sets, each block with each.
 64-bit hashes stand for shingles and sets.
 """
@@ -30,16 +39,17 @@ from grainmill.llm._common import Workspace, input_bytes, ship, small_side, tabl
 from grainmill.llm.graph import connected_components
 
 #: Bytes of text that are hashed at a time, bytes of input for each range of signatures, shingles in a verified group.
-BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 8 << 20, 8 << 20, 2_000_000
-#: All pairs left are compared once they are at most FEW, or once a star has linked nothing; stars before, up to STARS rounds.
-FEW, STARS = 100_000, 8
+BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 2 << 20, 8 << 20, 1_000_000
+#: Signatures that a task gathers before it hands them on in ranges, and bits of one.
+GATHERED, KEY_BITS = 1 << 20, 48
+#: Lists longer than REFINE may be given up; those longer than STAR are first compared with one set; up to LIGHT, by pairs.
+REFINE, STAR, LIGHT = 16, 8, 64
 #: Links that one task makes components of; more are joined in distributed rounds.
 ONE_TASK = 1_000_000
-#: Sets of a block of a component in which links are counted; its shingles are at most about GROUP_SHINGLES.
+#: Sets of a block of a component or list that is compared whole; its shingles are at most about GROUP_SHINGLES.
 BLOCK_SETS = 512
-KEY_BITS = 48
-#: A set's sketch has its counts in 2^CELL_BITS cells, 2 bytes each.
-CELL_BITS = 9
+#: Cells of a sketch, as powers of 2: about half as many as the set has shingles. A cell has 4 bits.
+LEAST_CELLS, MOST_CELLS = 5, 12
 
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,57 +104,153 @@ def bands(share: int, largest: int) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(flat: np.ndarray, ends: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of KEY_BITS bits, and the number of the set that each belongs to."""
-    size = np.diff(ends)
-    full = np.flatnonzero(size > 0)
-    keys, owners = [], []
-    if not len(full):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    tops = bands(share, int(size.max()))
-    own = np.searchsorted(tops, size)
-    row = np.repeat(np.arange(len(size)), size)
-    value = mix(flat + C1)
-    low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    for step in (0, 1):
-        instance = own + step
+class Instance:
+    """The segments of sets in the instance of their own band (step 0) or of the next one (1).
+
+    Segments are numbered through: set i has parts[i] of them from base[i] on; holder has the set of each, place its number
+    in the set, segment the one of each shingle, count and sums how many shingles it has and the sums that tell subsets apart.
+    """
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray, share: int, step: int):
+        tops = bands(share, int(size.max()))
+        instance = np.searchsorted(tops, size) + step
+        row = np.repeat(np.arange(len(size)), size)
+        value = mix(flat + C1)
+        self.halves = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
         # |x ^ y| <= (1 - s) / (1 + s) * (|x| + |y|), and both are at most the band's upper end.
-        parts = np.where(size > 0, 2 * (100 - share) * tops[instance] // (100 + share) + 1, 0)
-        base = np.cumsum(parts) - parts
+        self.parts = np.where(size > 0, 2 * (100 - share) * tops[instance] // (100 + share) + 1, 0)
+        self.base = np.cumsum(self.parts) - self.parts
         seed = mix(instance.astype(np.uint64) + C3)
         spread = mix(flat ^ seed[row]) >> np.uint64(32)
-        segment = base[row] + ((spread * parts[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        n = int(parts.sum())
-        count = np.bincount(segment, minlength=n)
-        sums = [np.bincount(segment, weights=x, minlength=n).astype(np.uint64) for x in (low, high)]
-        holder = np.repeat(np.arange(len(size)), parts)
-        place = np.arange(n) - base[holder]
-        name = mix(seed[holder] * C1 + place.astype(np.uint64))
-        there = np.flatnonzero(count > 0)
-        keys.append(mix(mix(sums[0][there] * C3 + sums[1][there]) ^ name[there]))
-        owners.append(holder[there])
-        empty = np.flatnonzero(count == 0)
-        if not len(empty):
-            continue
-        # The neighbour, in the empty segment's name: its subset, and its subsets without one element.
-        after = base[holder[empty]] + (place[empty] + 1) % parts[holder[empty]]
-        name = mix(name[empty] + C2)
-        keys.append(mix(mix(sums[0][after] * C3 + sums[1][after]) ^ name))
-        owners.append(holder[empty])
-        wanted = np.zeros(n, dtype=bool)
+        self.segment = self.base[row] + ((spread * self.parts[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        self.n = int(self.parts.sum())
+        self.count = np.bincount(self.segment, minlength=self.n)
+        self.sums = [np.bincount(self.segment, weights=x, minlength=self.n).astype(np.uint64) for x in self.halves]
+        self.holder = np.repeat(np.arange(len(size)), self.parts)
+        self.place = np.arange(self.n) - self.base[self.holder]
+        self.name = mix(seed[self.holder] * C1 + self.place.astype(np.uint64))
+
+    def subsets(self, which: np.ndarray, names: np.ndarray) -> np.ndarray:
+        return mix(mix(self.sums[0][which] * C3 + self.sums[1][which]) ^ names)
+
+    def neighbourhoods(self, given_up: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the neighbours of segments: their subsets and these without one element each, in names; and whose they are."""
+        after = self.base[self.holder[given_up]] + (self.place[given_up] + 1) % self.parts[self.holder[given_up]]
+        wanted = np.zeros(self.n, dtype=bool)
         wanted[after] = True
-        mine = np.flatnonzero(wanted[segment])
-        mine = mine[np.argsort(segment[mine], kind="stable")]
-        starts = np.searchsorted(segment[mine], np.arange(n + 1)) if n < 4 * len(mine) + 1024 else None
-        first = starts[after] if starts is not None else np.searchsorted(segment[mine], after)
-        at, k = pretokens.ragged(first, count[after], np.arange(len(after)))
+        mine = np.flatnonzero(wanted[self.segment])
+        mine = mine[np.argsort(self.segment[mine], kind="stable")]
+        first = np.searchsorted(self.segment[mine], after)
+        at, k = pretokens.ragged(first, self.count[after], np.arange(len(after)))
         which, element = np.repeat(np.arange(len(after)), k), mine[at]
-        less = [s[after][which] - x[element].astype(np.uint64) for s, x in zip(sums, (low, high), strict=True)]
-        keys.append(mix(mix(less[0] * C3 + less[1]) ^ name[which]))
-        owners.append(holder[empty][which])
+        less = [s[after][which] - x[element].astype(np.uint64) for s, x in zip(self.sums, self.halves, strict=True)]
+        keys = [self.subsets(after, names), mix(mix(less[0] * C3 + less[1]) ^ names[which])]
+        return np.concatenate(keys), np.concatenate([np.arange(len(after)), which])
+
+
+def signatures(flat: np.ndarray, ends: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of KEY_BITS bits, and the number of the set that each belongs to: subsets, and neighbourhoods for empty segments."""
+    size = np.diff(ends)
+    keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for step in (0, 1) if size.any() else ():
+        of = Instance(flat, size, share, step)
+        there, empty = np.flatnonzero(of.count > 0), np.flatnonzero(of.count == 0)
+        near, whose = of.neighbourhoods(empty, mix(of.name[empty] + C2))
+        keys += [of.subsets(there, of.name[there]), near]
+        owners += [of.holder[there], of.holder[empty][whose]]
     return np.concatenate(keys) >> np.uint64(64 - KEY_BITS), np.concatenate(owners)
 
 
+def refined(flat: np.ndarray, ends: np.ndarray, share: int, keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the signatures (keys[i] of set owners[i]) that are subsets: the key, the keys instead, and the set.
+
+    Those instead are of the subset and its neighbour's one-deletion neighbourhood together.
+    """
+    size, out = np.diff(ends), []
+    wanted = np.sort(mix(keys * C3 + owners.astype(np.uint64)))
+    for step in (0, 1) if size.any() else ():
+        of = Instance(flat, size, share, step)
+        there = np.flatnonzero(of.count > 0)
+        own = of.subsets(there, of.name[there]) >> np.uint64(64 - KEY_BITS)
+        given_up = np.isin(mix(own * C3 + of.holder[there].astype(np.uint64)), wanted)
+        there, own = there[given_up], own[given_up]
+        near, whose = of.neighbourhoods(there, mix(own + C2))
+        out.append((own[whose], near, of.holder[there][whose]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (keys[:0], keys[:0], owners[:0])
+
+
+def sketches(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each set the counts of its shingles in equal cells of the universe, two to a byte; 15 stands for 15 or more."""
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        bits = min(max((b - a).bit_length() - 1, LEAST_CELLS), MOST_CELLS)
+        cells = np.minimum(np.bincount((flat[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+        out.append((cells[::2] | cells[1::2] << 4).tobytes())
+    return out
+
+
+def _cells(packed: list[bytes]) -> np.ndarray:
+    """Counts of sketches of one size, a row each."""
+    both = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
+    return np.stack([both & 15, both >> 4], axis=2).reshape(len(packed), -1)
+
+
+def may_link(one: list[bytes], other: list[bytes], share: int) -> np.ndarray:
+    """Which pairs of sketches can be of similar sets: their sets differ by no less than the counts do."""
+    may = np.ones(len(one), dtype=bool)
+    lengths = np.array([[len(x) for x in one], [len(x) for x in other]]).reshape(2, -1)
+    for n, m in np.unique(lengths, axis=1).T.tolist():
+        rows = np.flatnonzero((lengths[0] == n) & (lengths[1] == m))
+        for some in np.split(rows, np.arange(4096, len(rows), 4096)):
+            x, y = _cells([one[i] for i in some]), _cells([other[i] for i in some])
+            full = (x == 15).any(axis=1) | (y == 15).any(axis=1)
+            x, y = (z.reshape(len(some), min(n, m) * 2, -1).sum(axis=2, dtype=np.int32) for z in (x, y))
+            may[some] = full | (np.abs(x - y).sum(axis=1) * (100 + share) <= (100 - share) * (x.sum(axis=1) + y.sum(axis=1)))
+    return may
+
+
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common, as a square matrix.
+
+    Elements that many sets have are counted by a matrix product, a chunk of them at a time, others by their pairs of sets.
+    """
+    k = len(sets)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    times = np.diff(np.append(first, len(flat)))
+    both = np.zeros((k, k), dtype=np.float64)
+    many = max(8, k // 16)
+    dense = np.flatnonzero(times >= many)
+    for some in np.split(dense, np.arange(1024, len(dense), 1024)):
+        at, n = pretokens.ragged(first, times, some)
+        has = np.zeros((k, len(some)), dtype=np.float32)
+        has[owner[at], np.repeat(np.arange(len(some)), n)] = 1
+        both += has @ has.T
+    codes, n_codes = [], 0
+
+    def add():
+        pairs = np.bincount(np.concatenate(codes), minlength=k * k).reshape(k, k)
+        return pairs + pairs.T
+
+    for f in np.unique(times[(times > 1) & (times < many)]).tolist():
+        i, j = np.triu_indices(f, 1)
+        step = 500_000 // len(i) + 1
+        at = first[times == f]
+        for some in np.split(at, np.arange(step, len(at), step)):
+            rows = owner[some[:, None] + np.arange(f)]
+            codes.append((rows[:, i] * k + rows[:, j]).ravel())
+            n_codes += len(codes[-1])
+            if n_codes > 500_000:
+                both += add()
+                codes, n_codes = [], 0
+    if codes:
+        both += add()
+    return both.astype(np.int64)
+
+
 def _slices(batches):
     for batch in batches:
         texts = pretokens.text_column(batch)
@@ -157,105 +263,145 @@ def _describe(width: int):
         for batch, texts in _slices(batches):
             flat, ends = shingle_sets(texts, width)
             n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(set_hashes(flat, ends).view(np.int64), mask=n == 0)], names=["doc_id", "text_key", "n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(set_hashes(flat, ends).view(np.int64), mask=n == 0), pa.array(sketches(flat, ends), pa.binary())], names=["doc_id", "text_key", "n", "set", "sketch"])
+        pretokens.trim()
 
     return run
 
 
 def _sign(width: int, share: int, ranges: int):
+    def handed_on(gathered):
+        keys, owner = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        part = (keys * np.uint64(ranges)) >> np.uint64(KEY_BITS)
+        order = np.argsort(part, kind="stable")
+        keys, owner, part = keys[order], owner[order], part[order]
+        some, first = np.unique(part, return_index=True)
+        low, high, cuts = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u2"), [*first.tolist(), len(keys)]
+        blobs = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (low, high, owner)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "low", "high", "sets"])
+
     def run(batches):
+        gathered, n_gathered = [], 0
         for _, texts in _slices(batches):
             flat, ends = shingle_sets(texts, width)
             names = set_hashes(flat, ends)
             _, once = np.unique(names, return_index=True)  # copies in a block have the same signatures
-            lengths = np.diff(ends)
-            at, n = pretokens.ragged(ends[:-1], lengths, once)
+            at, n = pretokens.ragged(ends[:-1], np.diff(ends), once)
             keys, owner = signatures(flat[at], np.concatenate([[0], np.cumsum(n)]), share)
-            part = (keys * np.uint64(ranges)) >> np.uint64(KEY_BITS)
-            order = np.argsort(part, kind="stable")
-            keys, owner, part = keys[order], names[once][owner[order]], part[order]
-            cuts = np.searchsorted(part, np.arange(ranges + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            blobs = [(keys[a:b].astype("<u4").tobytes(), (keys[a:b] >> np.uint64(32)).astype("<u2").tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array([b[i] for b in blobs], pa.binary()) for i in range(3)]], names=["part", "low", "high", "sets"])
+            gathered.append((keys, names[once][owner]))
+            n_gathered += len(keys)
+            if n_gathered > GATHERED:
+                yield handed_on(gathered)
+                gathered, n_gathered = [], 0
+        if gathered:
+            yield handed_on(gathered)
+        pretokens.trim()
 
     return run
 
 
-def _buckets(part: pa.Table) -> pa.Table:
-    """(key, set) of the keys of a range that two sets or more have."""
+def _lists(part: pa.Table) -> pa.Table:
+    """(key, set, k) of the keys of a range that k sets have, two or more."""
     low, high, sets = (np.concatenate([np.frombuffer(x, dtype=t) for x in part.column(c).to_pylist()]) for c, t in (("low", "<u4"), ("high", "<u2"), ("sets", "<u8")))
     keys = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    order = np.lexsort((sets, keys))
+    order = np.argsort(keys, kind="stable")
     keys, sets = keys[order], sets[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])
-    keys, sets = keys[new], sets[new]
     same = keys[1:] == keys[:-1]
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return pa.table({"key": pa.array(keys[shared].view(np.int64)), "set": pa.array(sets[shared].view(np.int64))})
+    keys, sets = keys[shared], sets[shared]
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])[: len(keys)]
+    keys, sets = keys[new], sets[new]
+    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    k = times[which] if len(keys) else np.zeros(0, dtype=np.int64)
+    two = k > 1
+    pretokens.trim()
+    return pa.table({"key": pa.array(keys[two].view(np.int64)), "set": pa.array(sets[two].view(np.int64)), "k": pa.array(k[two], pa.int64())})
+
+
+def _right_sets(batch: pa.RecordBatch, texts: pa.Array, width: int):
+    """The batch's sets that are those its column set names (another row may have their doc_id), one after the other."""
+    flat, ends = shingle_sets(texts, width)
+    names = set_hashes(flat, ends).view(np.int64)
+    right = np.flatnonzero((names == batch.column("set").to_numpy()) & (np.diff(ends) > 0))
+    at, n = pretokens.ragged(ends[:-1], np.diff(ends), right)
+    return right, names[right], flat[at], np.concatenate([[0], np.cumsum(n)])
+
+
+def _refine(width: int, share: int):
+    def run(batches):
+        for batch, texts in _slices(batches):
+            right, names, flat, ends = _right_sets(batch, texts, width)
+            lists = batch.column("keys").take(pa.array(right))
+            keys, owners = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(right)), lists.value_lengths().to_numpy())
+            before, key, owner = refined(flat, ends, share, keys, owners)
+            yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(key.view(np.int64)), pa.array(names[owner])], names=["before", "key", "set"])
+        pretokens.trim()
+
+    return run
 
 
 def _contents(width: int):
     def run(batches):
         for batch, texts in _slices(batches):
-            flat, ends = shingle_sets(texts, width)
-            names = set_hashes(flat, ends).view(np.int64)
-            right = np.flatnonzero((names == batch.column("set").to_numpy()) & (np.diff(ends) > 0))
-            blobs = [flat[ends[i] : ends[i + 1]].tobytes() for i in right]
-            counts = [np.bincount((flat[ends[i] : ends[i + 1]] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) for i in right]
-            sketches = [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(names[right]), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["set", "content", "sketch"])
+            _, names, flat, ends = _right_sets(batch, texts, width)
+            blobs = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["set", "content"])
+        pretokens.trim()
 
     return run
 
 
 def _possible(share: int):
-    """Pairs whose counts in the cells of the universe differ by no more than similar sets' may; the others cannot be similar."""
-
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, 1 << CELL_BITS).astype(np.int64) for c in ("one", "other"))
-            may = np.abs(x - y).sum(axis=1) * (100 + share) <= (100 - share) * (x.sum(axis=1) + y.sum(axis=1))
-            may |= (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+            may = may_link(batch.column("one").to_pylist(), batch.column("other").to_pylist(), share)
             yield batch.select(["a", "b", "n"]).filter(pa.array(may))
 
     return run
 
 
+def possible(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b, n) for those of pairs(a, b) whose sketches do not rule out that they link; n is b's size."""
+    known = sets.select("set", "n", "sketch")
+    one = pairs.join(known, F.col("set") == F.col("b")).select("a", "b", "n", F.col("sketch").alias("other"))
+    both = one.join(known.select("set", "sketch"), F.col("set") == F.col("a")).select("a", "b", "n", F.col("sketch").alias("one"), "other")
+    return both.mapInArrow(_possible(share), "a long, b long, n long")
+
+
 def _compare(share: int):
     def run(group: pa.Table) -> pa.Table:
+        a, b = (group.column(c).to_pylist() for c in ("a", "b"))
         sets = [np.frombuffer(x, dtype="<u8") for x in group.column("content").to_pylist()]
-        others = group.column("other").to_pylist()
-        center = next((s for s, o in zip(sets, others, strict=True) if o is None), None)
-        a, b, linked = group.column("center").to_pylist(), [], []
-        for s, o in zip(sets, others, strict=True):
-            if o is not None and center is not None:
-                both = len(np.intersect1d(center, s, assume_unique=True))
-                b.append(o)
-                linked.append(100 * both >= share * (len(center) + len(s) - both))
-        return pa.table({"a": pa.array(a[: len(b)], pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+        centers = {x: s for x, y, s in zip(a, b, sets, strict=True) if y is None}
+        links = []
+        for x, y, s in zip(a, b, sets, strict=True):
+            if y is not None and (c := centers.get(x)) is not None:
+                place = np.searchsorted(c, s)
+                both = int((c[np.minimum(place, len(c) - 1)] == s).sum())
+                if 100 * both >= share * (len(c) + len(s) - both):
+                    links.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def verify(pairs: DataFrame, contents: DataFrame, sizes: DataFrame, share: int, work: Workspace) -> DataFrame:
-    """(a, b, linked) for those of distinct pairs(a, b, n) that can be similar (n is b's size).
+def verify(pairs: DataFrame, contents: DataFrame, share: int, work: Workspace) -> DataFrame:
+    """Those of distinct pairs(a, b, n) that link (n is b's size).
 
-    Sketches rule pairs out first, exactly: sets differ by at least as much as their counts do. Then each a's partners
-    are compared with it, whole, in groups of GROUP_SHINGLES.
+    Each a is compared with its partners, whole, in groups of about GROUP_SHINGLES; an a with more has several groups,
+    those with fewer share one.
     """
-    sketches = contents.select("set", "sketch")
-    one = sketches.join(small_side(pairs, pairs.count(), 40), F.col("set") == F.col("b")).select("a", "b", "n", F.col("sketch").alias("other"))
-    both = one.join(sketches, F.col("a") == F.col("set")).select("a", "b", "n", F.col("sketch").alias("one"), "other")
-    pairs = work.stored(both.mapInArrow(_possible(share), "a long, b long, n long").distinct(), "possible")
-    count = pairs.count()
-    total = pairs.groupBy("a").agg(F.sum("n").alias("total")).withColumnRenamed("a", "_a")
-    dealt = pairs.join(total, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("total") / GROUP_SHINGLES) + 1).alias("chunk"))
-    dealt = work.stored(dealt, "pairs")
-    partners = contents.join(small_side(dealt, count, 40), contents["set"] == F.col("b")).select(F.col("a").alias("center"), "chunk", F.col("b").alias("other"), "content")
-    heads = dealt.select("a", "chunk").distinct()
-    centers = contents.join(small_side(heads, count, 32), contents["set"] == F.col("a")).select(F.col("a").alias("center"), "chunk", F.lit(None).cast("long").alias("other"), "content")
-    return partners.union(centers).groupBy("center", "chunk").applyInArrow(_compare(share), "a long, b long, linked boolean")
+    n_pairs = pairs.count()
+    total = pairs.groupBy("a").agg(F.sum("n").alias("total"))
+    pools = F.lit(int(total.agg(F.sum("total")).first()[0] or 0) // GROUP_SHINGLES * 2 + 16)
+    many = F.floor(F.col("total") / GROUP_SHINGLES) + 1
+    pool = F.when(many > 1, F.xxhash64("a", F.pmod(F.xxhash64("b"), many))).otherwise(F.pmod(F.xxhash64("a"), pools))
+    dealt = work.stored(pairs.join(total.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", "b", pool.alias("pool")), "pairs")
+    partners = contents.join(small_side(dealt, n_pairs, 100), contents["set"] == F.col("b")).select("pool", "a", "b", "content")
+    centers = contents.join(small_side(dealt.select("pool", "a").distinct(), n_pairs, 100), contents["set"] == F.col("a")).select("pool", "a", F.lit(None).cast("long").alias("b"), "content")
+    return work.stored(partners.union(centers).groupBy("pool").applyInArrow(_compare(share), "a long, b long"), "verified")
 
 
 def _union_find(links: pa.Table) -> pa.Table:
@@ -282,6 +428,78 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return work.stored(links.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_union_find, "node long, root long"), "roots")
 
 
+def _pairs(part: pa.Table) -> pa.Table:
+    """Each pair of sets of different components that are in one of the lists of a part, once."""
+    key, sets, comp = (part.column(c).to_numpy() for c in ("key", "set", "comp"))
+    order = np.lexsort((sets, key))
+    key, sets, comp = key[order], sets[order], comp[order]
+    names, code = np.unique(sets, return_inverse=True)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times, found = np.diff(np.append(first, len(key))), []
+    for k in np.unique(times[times > 1]).tolist():
+        i, j = np.triu_indices(k, 1)
+        at = first[times == k]
+        for some in np.split(at, np.arange(1_000_000 // len(i) + 1, len(at), 1_000_000 // len(i) + 1)):
+            rows = some[:, None] + np.arange(k)
+            one, other = rows[:, i].ravel(), rows[:, j].ravel()
+            apart = (comp[one] != comp[other]) & (sets[one] != sets[other])
+            found.append(np.unique(code[one[apart]] * len(names) + code[other[apart]]))
+    a, b = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64), max(len(names), 1))
+    pretokens.trim()
+    return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
+
+
+def _unlike(share: int):
+    def run(part: pa.Table) -> pa.Table:
+        """Links between sets of two blocks of a list, as many as join what all their links join."""
+        names, first = np.unique(part.column("set").to_numpy(), return_index=True)
+        comp, block = (part.column(c).to_numpy()[first] for c in ("comp", "block"))
+        sets = [np.frombuffer(x, dtype="<u8") for x in part.column("content").take(pa.array(first)).to_pylist()]
+        size, both = np.array([len(s) for s in sets]), in_common(sets)
+        linked = (100 * both >= share * (size[:, None] + size - both)) & (comp[:, None] != comp)
+        if part.column("x")[0] != part.column("y")[0]:
+            linked &= block[:, None] != block
+        a, b, root = [], [], dict(zip(comp.tolist(), comp.tolist(), strict=True))
+
+        def find(x: int) -> int:
+            while (up := root[x]) != x:
+                root[x] = x = root[up]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[x] = y
+                a.append(names[i])
+                b.append(names[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def compare_lists(lists: DataFrame, contents: DataFrame, share: int, work: Workspace) -> DataFrame:
+    """Links (a, b) between sets of different components in lists(key, set, n, comp), enough to join what they join.
+
+    A list's sets are dealt to blocks, those of a large component to blocks of their own, and two blocks meet in one group
+    unless they are of one component.
+    """
+    each = lists.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    share_of = lambda k, s: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(s / (GROUP_SHINGLES / 2)))
+    each = each.withColumn("own", F.when((F.col("k") >= BLOCK_SETS) | (F.col("s") >= GROUP_SHINGLES / 2), share_of(F.col("k"), F.col("s"))).otherwise(F.lit(0)))
+    rest = each.where("own = 0").groupBy("key").agg(share_of(F.sum("k"), F.sum("s")).alias("blocks")).withColumnRenamed("key", "_key")
+    each = each.join(rest, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_key"), F.col("comp").alias("_comp"), "own", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    dealt = lists.join(each, (F.col("key") == F.col("_key")) & (F.col("comp") == F.col("_comp")))
+    block = F.when(F.col("own") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.col("own")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("blocks")))
+    dealt = work.stored(dealt.select("key", "set", "comp", block.alias("block"), (F.col("own") > 0).alias("pure")), "blocks")
+    blocks = dealt.groupBy("key", "block").agg(F.max(F.when(F.col("pure"), F.col("comp"))).alias("of"))
+    x, y = blocks.toDF("_key", "x", "p"), blocks.toDF("_k", "y", "q")
+    met = x.join(y, F.col("_key") == F.col("_k")).where("x <= y and not coalesce(p = q, false)").select("_key", "x", "y")
+    met = work.stored(met.withColumn("mine", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))), "meetings")
+    rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y")
+    rows = contents.select("set", "content").join(rows, F.col("set") == F.col("_s")).drop("_s")
+    return rows.groupBy("key", "x", "y").applyInArrow(_unlike(share), "a long, b long")
+
+
 def _count(share: int):
     def run(part: pa.Table) -> pa.Table:
         names, first = np.unique(part.column("set").to_numpy(), return_index=True)  # rows that repeat have a set twice
@@ -292,48 +510,65 @@ def _count(share: int):
         links = np.zeros(len(names), dtype=np.int64)
         for mine in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
             sets = [np.frombuffer(contents[i], dtype="<u8") for i in mine]
-            size = np.array([len(s) for s in sets])
-            distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            starts, has = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(distinct), dtype=np.int32)
-            mask = block[mine]
-            for i in np.flatnonzero(mask == x):
-                own = codes[starts[i] : starts[i + 1]]
-                has[own] = 1
-                both = np.add.reduceat(has[codes], starts[:-1])
-                has[own] = 0
-                linked = 100 * both >= share * (size + size[i] - both)
-                linked &= mask == y
-                linked[i] = False
-                links[mine[i]] += linked.sum()
-                if x != y:
-                    links[mine[linked]] += 1
+            size, both = np.array([len(s) for s in sets]), in_common(sets)
+            linked = 100 * both >= share * (size[:, None] + size - both)
+            np.fill_diagonal(linked, False)
+            if x != y:
+                linked &= block[mine][:, None] != block[mine]
+            links[mine] = linked.sum(axis=1)
         return pa.table({"set": pa.array(names), "links": pa.array(links)})
 
     return run
 
 
-def count_links(roots: DataFrame, contents: DataFrame, met: DataFrame, n_met: int, share: int, work: Workspace) -> DataFrame:
+def count_links(roots: DataFrame, contents: DataFrame, sets: DataFrame, share: int, work: Workspace) -> DataFrame:
     """(set, degree): with how many other sets each set of roots(node, root) links.
 
     Sets that link are in one component, so all pairs of a component are compared. Its sets are dealt to blocks, and two
     blocks meet in one group; components of one block share groups.
     """
-    members = roots.join(met.select("set", F.col("n").cast("long").alias("n")), F.col("node") == F.col("set")).select("set", "root", "n")
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks"), F.sum("n").alias("total")).withColumnRenamed("root", "_root")
+    members = roots.join(sets.select("set", "n"), F.col("node") == F.col("set")).select("set", "root", "n")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / (GROUP_SHINGLES / 2))).alias("blocks"), F.sum("n").alias("total")).withColumnRenamed("root", "_root")
     blocks = work.stored(blocks, "blocks")
-    pools = F.lit((blocks.agg(F.sum("total")).first()[0] or 0) // GROUP_SHINGLES * 4 + 16)
+    pools = F.lit((blocks.agg(F.sum("total")).first()[0] or 0) // GROUP_SHINGLES * 2 + 16)
     dealt = members.join(blocks, F.col("root") == F.col("_root")).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set"), F.col("blocks"))).otherwise(F.lit(0)))
     pool = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), pools))
     dealt = dealt.select("set", "root", "block", pool.alias("pool"), (F.col("blocks") > 1).alias("large"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other").withColumnRenamed("set", "_s")
     rows = work.stored(dealt, "dealt")
-    rows = contents.select("set", "content").join(small_side(rows, rows.count(), 64), F.col("set") == F.col("_s")).drop("_s")
+    rows = contents.select("set", "content").join(small_side(rows, rows.count(), 100), F.col("set") == F.col("_s")).drop("_s")
     found = rows.groupBy("large", "pool", "x", "y").applyInArrow(_count(share), "set long, links long")
     return work.stored(found.groupBy("set").agg(F.sum("links").alias("degree")), "degrees")
 
 
-def _near_size(n, other, share: int):
-    return (F.least(n, other) * 100) >= (F.greatest(n, other) * share)
+def index_lists(rows: DataFrame, sets: DataFrame, width: int, share: int, ranges: int, work: Workspace) -> DataFrame:
+    """(key, set, k): the index lists of two sets or more, with their lengths, after allocation by cost."""
+    signed = rows.select("text").mapInArrow(_sign(width, share, ranges), "part int, low binary, high binary, sets binary")
+    lists = work.stored(signed.groupBy("part").applyInArrow(_lists, "key long, set long, k long"), "lists")
+    long = lists.where(F.col("k") > REFINE)
+    keys = work.stored(long.groupBy("set").agg(F.collect_list("key").alias("keys")), "long lists")
+    n_long = keys.count()
+    if not n_long:
+        return lists
+    texts = texts_of(rows, keys, n_long, sets, "keys")
+    instead = work.stored(texts.mapInArrow(_refine(width, share), "before long, key long, set long"), "refined")
+    each = work.stored(instead.groupBy("before", "key").agg(F.count("*").alias("k")), "refined lists")
+    after = each.groupBy("before").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("cost"))
+    before = long.select(F.col("key").alias("_key"), "k").distinct()
+    given_up = before.join(after, F.col("_key") == F.col("before")).where("cost < k * (k - 1)").select("_key")
+    given_up = work.stored(given_up, "given up")
+    n_given_up = given_up.count()
+    stay = lists.join(small_side(given_up, n_given_up, 24), F.col("key") == F.col("_key"), "left_anti")
+    several = each.where("k > 1").join(given_up, F.col("before") == F.col("_key"), "left_semi").select(F.col("before").alias("_before"), F.col("key").alias("_key"), "k")
+    finer = instead.join(several, (F.col("key") == F.col("_key")) & (F.col("before") == F.col("_before"))).select("key", "set", "k")
+    return work.stored(stay.union(finer), "lists")
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame, n_wanted: int, sets: DataFrame, *more: str) -> DataFrame:
+    """A text for each of wanted(set, *more), from the row with the least doc_id that has the set; rows that repeat each give one."""
+    ids = wanted.join(sets.select(F.col("set").alias("_set"), "id", "text_key"), F.col("set") == F.col("_set")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "set", *more)
+    here = (F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return rows.join(small_side(ids, n_wanted, 400 if more else 64), here).select("set", "text", *more)
 
 
 def join(docs: DataFrame, width: int = 5, share: int = 80, counted: bool = True) -> DataFrame:
@@ -344,39 +579,28 @@ def join(docs: DataFrame, width: int = 5, share: int = 80, counted: bool = True)
     reachable by links, its own included; equal sets link. n_links is the number of different sets that the row's set
     links with, every one, in a component of any size. class is the component's number, null for an empty
     set; text_key is xxhash64(text). A null or empty text, or one without words, has an
-    empty set and links with nothing. A null doc_id is no smallest one; a component without another has a null id. Rows
-    that repeat each give a row.
+    empty set and links with nothing; a very long one is a set like any. A null doc_id is no smallest one; a component
+    without another has a null id. Rows that repeat each give a row. No rows: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = work.stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(width), "doc_id long, text_key long, n long, set long"), "documents")
-    sets = work.stored(described.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-1 << 63))).alias("id")), "sets")
+    described = work.stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(width), "doc_id long, text_key long, n long, set long, sketch binary"), "documents")
+    row = F.min(F.struct(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "text_key"))
+    sets = described.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), row.alias("row"), F.min("sketch").alias("sketch"))
+    sets = work.stored(sets.select("set", "n", "least", "row.id", "row.text_key", "sketch"), "sets")
     ranges = max(8, input_bytes(docs) // RANGE_BYTES)
-    signed = rows.select("text").mapInArrow(_sign(width, share, ranges), "part int, low binary, high binary, sets binary")
-    buckets = work.stored(signed.groupBy("part").applyInArrow(_buckets, "key long, set long"), "buckets")
-    n_rows = buckets.count()
-    links = None
-    if n_rows:
-        met = work.stored(buckets.select("set").distinct().join(sets, "set").select("set", "n", "id"), "met")
-        n_met = met.count()
-        # A set that shares much with many is the better center: of copies with edits, the original.
-        each = buckets.groupBy("key").agg((F.count("*") - 1).alias("others")).withColumnRenamed("key", "_key")
-        score = buckets.join(each, F.col("key") == F.col("_key")).groupBy("set").agg(F.sum("others").alias("score"))
-        scored = work.stored(met.select("set", "n").join(score, "set"), "scores")
-        buckets = work.stored(buckets.join(small_side(scored, n_met, 48), "set"), "sized")
-        wanted = small_side(met.select(F.col("id").alias("_id"), "set"), n_met, 40)
-        texts = rows.join(wanted, F.coalesce("doc_id", F.lit(-1 << 63)) == F.col("_id")).select("set", "text")
-        contents = work.stored(texts.mapInArrow(_contents(width), "set long, content binary, sketch binary"), "contents", "uncompressed")
-        links = _links(buckets, contents, met, n_met, share, work)
+    lists = index_lists(rows, sets, width, share, ranges, work)
+    work.tidy()
+    found = _links(rows, lists, sets, width, share, ranges, work) if not lists.isEmpty() else None
     degree = spark.createDataFrame([], "set long, degree long")
-    if links is None:
+    if found is None:
         labels = sets.select(F.col("set").alias("_set"), F.col("least").alias("component"), F.col("set").alias("class"))
     else:
-        roots = components(links, work)
+        roots, contents = found
         if counted:
-            degree = count_links(roots, contents, met, n_met, share, work)
+            degree = count_links(roots, contents, sets, share, work)
         joined = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
         least = joined.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "_root")
         labels = joined.join(least, F.col("root") == F.col("_root")).select(F.col("set").alias("_set"), "component", F.col("root").alias("class"))
@@ -387,44 +611,38 @@ def join(docs: DataFrame, width: int = 5, share: int = 80, counted: bool = True)
     return out.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *([F.coalesce("degree", F.lit(0).cast("long")).alias("n_links")] if counted else []))
 
 
-def _links(buckets: DataFrame, contents: DataFrame, met: DataFrame, n_met: int, share: int, work: Workspace) -> DataFrame:
-    """The links (a, b) that the buckets' sets have, as many as connect all that links connect."""
-    seen = buckets.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-    now = buckets.select("key", "set", "n", "score", F.col("set").alias("comp"), F.lit(0).alias("tried"))
-    merged = True
-    for star in range(STARS + 1):
-        each = now.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        left = each.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-        left = work.stored(left.where("n * n > s").select(F.col("key").alias("_key"), ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")), "open")
-        total = left.agg(F.sum("pairs")).first()[0] or 0
-        if not total:
-            break
-        now = now.join(left.select("_key"), F.col("key") == F.col("_key"), "left_semi")  # buckets of one component are done
-        last = total <= FEW or star == STARS or not merged
-        if last:
-            x, y = now.select("key", "set", "n", "comp"), now.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = x.join(y, "key").where((F.col("set") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _near_size(F.col("n"), F.col("m"), share))
-            pairs = pairs.select(F.col("set").alias("a"), "b", F.col("m").alias("n")).distinct()
-        else:
-            order = F.struct("tried", -F.col("score"), F.col("set").alias("center"), F.col("comp").alias("comp2"), F.col("n").alias("m"))
-            centers = now.groupBy("key").agg(F.min(order).alias("c")).select(F.col("key").alias("_key"), "c.center", "c.comp2", "c.m")
-            pairs = now.join(centers, F.col("key") == F.col("_key")).where((F.col("comp") != F.col("comp2")) & _near_size(F.col("n"), F.col("m"), share))
-            pairs = pairs.select(F.col("center").alias("a"), F.col("set").alias("b"), "n").distinct()
-        known = seen.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-        pairs = work.stored(pairs.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti"), "candidates")
-        found = work.stored(verify(pairs, contents, met, share, work), "verified")
-        seen = seen.union(found).union(pairs.select("a", "b", F.lit(False)))
-        if last:
-            break
-        merged = not found.where("linked").isEmpty()
-        if not merged:  # stars find no more; what is left is not alike, and each pair is compared to be sure
-            continue
-        roots = components(seen.where("linked"), work).select(F.col("node").alias("_node"), "root")
-        tried = seen.select(F.col("a").alias("_t")).groupBy("_t").agg(F.count("*").alias("times"))
-        marked = now.select("key", "set", "n", "score").join(small_side(roots, n_met, 24), F.col("set") == F.col("_node"), "left")
-        marked = marked.join(small_side(tried, n_met, 24), F.col("set") == F.col("_t"), "left")
-        now = work.stored(marked.select("key", "set", "n", "score", F.coalesce("root", "set").alias("comp"), F.when(F.col("times").isNotNull(), 1).otherwise(0).alias("tried")), "state")
-    return seen.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share: int, ranges: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components that the links of the lists' sets make, and the contents(set, content) of these sets."""
+
+    def contents_of(wanted: DataFrame) -> DataFrame:
+        wanted = work.stored(wanted.distinct(), "wanted")
+        n = wanted.count()
+        found = work.stored(texts_of(rows, wanted, n, sets).mapInArrow(_contents(width), "set long, content binary"), "contents")
+        return found if found.count() == n else work.stored(found.dropDuplicates(["set"]), "contents")  # rows repeat
+
+    # First the sets of longer lists with one of the list: the one that shares most lists with others, of copies with edits the original.
+    longer = lists.where(F.col("k") > STAR)
+    score = lists.groupBy("set").agg(F.sum(F.col("k") - 1).alias("score")).withColumnRenamed("set", "_set")
+    scored = longer.join(score, F.col("set") == F.col("_set")).select("key", "set", "score")
+    center = scored.groupBy("key").agg(F.max_by("set", F.struct("score", "set")).alias("a")).withColumnRenamed("key", "_key")
+    stars = longer.join(center, F.col("key") == F.col("_key")).where("a <> set").select("a", F.col("set").alias("b")).distinct()
+    stars = work.stored(possible(stars, sets, share), "stars")
+    contents = contents_of(stars.select("a").union(stars.select("b")).toDF("set"))
+    found = verify(stars, contents, share, work)
+    roots = components(found, work).withColumnRenamed("node", "_node")
+    # Then what is left in lists of more than one component.
+    now = lists.join(roots, F.col("set") == F.col("_node"), "left").select("key", "set", "k", F.coalesce("root", "set").alias("comp"))
+    apart = now.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select(F.col("key").alias("_key"))
+    now = work.stored(now.join(apart, F.col("key") == F.col("_key"), "left_semi"), "left")
+    dealt = now.where(F.col("k") <= LIGHT).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges)))
+    pairs = dealt.select("part", "key", "set", "comp").groupBy("part").applyInArrow(_pairs, "a long, b long").distinct()
+    pairs = work.stored(possible(pairs, sets, share), "possible")
+    heavy = now.where(F.col("k") > LIGHT)
+    heavy = heavy.join(sets.select(F.col("set").alias("_s"), "n"), F.col("set") == F.col("_s")).select("key", "set", "n", "comp")
+    more = pairs.select("a").union(pairs.select("b")).union(heavy.select("set")).toDF("set")
+    contents = contents.union(contents_of(more.join(contents.select(F.col("set").alias("_s")), F.col("set") == F.col("_s"), "left_anti")))
+    found = found.union(verify(pairs, contents, share, work)).union(compare_lists(heavy, contents, share, work))
+    return components(found, work), contents
 
 
 def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:

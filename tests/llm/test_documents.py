@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from grainmill.llm import fingerprint, jaccard, language_id, mixing, search
@@ -50,12 +51,13 @@ def key(row):
     return tuple((x is not None, x or 0) for x in row)
 
 
-@pytest.mark.parametrize(("width", "share", "few", "stars"), [(4, 85, None, None), (5, 80, None, None), (2, 60, None, None), (4, 85, -(10**9), 2)])
-def test_jaccard_join(spark, monkeypatch, width, share, few, stars):
-    if few is not None:  # go by stars, and by distributed components
+@pytest.mark.parametrize(("width", "share", "refine", "star", "light"), [(4, 85, None, None, None), (5, 80, None, None, None), (2, 60, None, None, None), (4, 85, 2, 2, 3), (4, 85, 1, 10**9, 1), (2, 60, 3, 10**9, 2)])
+def test_jaccard_join(spark, monkeypatch, width, share, refine, star, light):
+    if refine is not None:  # lists are given up, go by stars and by blocks, and components are distributed
         monkeypatch.setattr(jaccard, "ONE_TASK", 0)
-        monkeypatch.setattr(jaccard, "FEW", few)
-        monkeypatch.setattr(jaccard, "STARS", stars)
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+        for name, value in (("REFINE", refine), ("STAR", star), ("LIGHT", light)):
+            monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, rows), width, share).collect()]
     assert sorted(got, key=key) == sorted(brute(rows, width, share), key=key)
@@ -211,10 +213,9 @@ def test_search_asks_with_whole_texts(spark, monkeypatch, tmp_path, small, lists
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
-@pytest.mark.parametrize(("few", "sets", "block"), [(None, 512, 2_000_000), (-(10**9), 512, 2_000_000), (-(10**9), 7, 2_000_000), (None, 512, 700)])
-def test_links_are_all_counted(spark, monkeypatch, few, sets, block):
-    if few is not None:
-        monkeypatch.setattr(jaccard, "FEW", few)
+@pytest.mark.parametrize(("light", "sets", "block"), [(64, 512, 2_000_000), (2, 512, 2_000_000), (2, 7, 2_000_000), (64, 512, 700)])
+def test_links_are_all_counted(spark, monkeypatch, light, sets, block):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
     monkeypatch.setattr(jaccard, "GROUP_SHINGLES", block)
     base = [WORDS[(i * i + 3 * i) % len(WORDS)] + str(i) for i in range(90)]
@@ -224,3 +225,65 @@ def test_links_are_all_counted(spark, monkeypatch, few, sets, block):
     want = sorted(((i, len({b for b in kinds if b and a and a != b and 100 * len(a & b) >= 85 * len(a | b)})) for (i, _, _), a in zip(rows, kinds, strict=True)), key=key)
     got = [(r["doc_id"], r["n_links"]) for r in jaccard.join(documents(spark, rows), 4, 85).select("doc_id", "n_links").collect()]
     assert sorted(got, key=key) == want and max(n for _, n in want) >= 39
+
+
+def random_sets(rng, n):
+    """Sets of hashes around a few bases, with few or many elements in common."""
+    bases, out = [rng.integers(0, 2**63, size, dtype=np.uint64) for size in (3, 12, 40, 41, 150)], []
+    for i in range(n):
+        base = bases[i % len(bases)]
+        own = rng.integers(0, 2**63, int(rng.integers(0, len(base) // 6 + 2)), dtype=np.uint64)
+        out.append(np.unique(np.concatenate([rng.permutation(base)[len(own) * int(rng.integers(0, 2)) :], own])))
+    return out
+
+
+@pytest.mark.parametrize("share", [80, 85, 60])
+def test_given_up_lists_lose_no_pair(share):
+    sets = random_sets(np.random.default_rng(5), 400)
+    flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    both = jaccard.in_common(sets)
+    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(0, 400, 7) for j in range(400) if i != j}
+    assert all(both[i, j] == n for (i, j), n in want.items())
+    size = np.diff(ends)
+    linked = np.argwhere(np.triu(100 * both >= share * (size[:, None] + size - both), 1))
+    keys, owners = jaccard.signatures(flat, ends, share)
+    before, instead, whose = jaccard.refined(flat, ends, share, keys, owners)
+    mine, finer = [set() for _ in sets], [{} for _ in sets]
+    for k, o in zip(keys.tolist(), owners.tolist(), strict=True):
+        mine[o].add(k)
+    for b, k, o in zip(before.tolist(), instead.tolist(), whose.tolist(), strict=True):
+        finer[o].setdefault(b, set()).add(k)
+    subsets = set(before.tolist())
+    assert len(linked) > 500
+    for given_up in (set(), subsets, {k for k in subsets if k % 2}, {k for k in subsets if k % 3}):
+        for i, j in linked.tolist():
+            common = mine[i] & mine[j]
+            assert any(k not in given_up or finer[i][k] & finer[j][k] for k in common)
+    packed = jaccard.sketches(flat, ends)
+    a, b = np.triu_indices(400, 1)
+    may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], share)
+    assert may[[i * 400 - i * (i + 1) // 2 + j - i - 1 for i, j in linked.tolist()]].all() and may.mean() < 0.9
+
+
+def lines(n):
+    return [(i, " ".join([f"w{(i * 31 + k * k * 7) % 9973}" for k in range(3 + i % 17)] + [f"common{k}" for k in range(18)]), "a") for i in range(n)]
+
+
+def edited(n):
+    base = [f"{WORDS[k % len(WORDS)]}{k}" for k in range(200)]
+    return [(i, " ".join(w if (k * 13 + i * 29) % 33 else f"own{i}x{k}" for k, w in enumerate(base)), "a") for i in range(n)]
+
+
+@pytest.mark.parametrize("texts", [lines, edited])
+def test_candidates_grow_with_the_rows(spark, monkeypatch, texts):
+    """Documents with one line in common, and copies with so many edits that they do not link: no rows as pairs of a group."""
+    made = []
+    monkeypatch.setattr(jaccard, "possible", lambda pairs, *rest, f=jaccard.possible: made.append(pairs.count()) or f(pairs, *rest))
+    for n in (400, 800):
+        made.append(0)
+        docs = documents(spark, texts(n))
+        kinds = jaccard.join(docs, 4, 85).select("component_id").distinct().count()
+        want = len({c for _, _, c in brute(texts(n), 4, 85)}) if n == 400 else kinds
+        assert kinds == want
+    small, large = sum(made[1:3]), sum(made[4:6])
+    assert large <= 2.6 * small + 1000
