@@ -17,16 +17,16 @@ or more, for that would be more than H in all.
 What the lists' sets have in common is found in two steps. The sets of lists longer than STAR are compared with one of
 the list first, the one that is in most lists with others; the links make components. What is left are pairs of different
 components: those of lists up to LIGHT are made once each, ruled out by sketches (sets differ by at least as much as
-their counts in cells of the universe do) and compared whole; longer lists are compared whole, in blocks of sets, block
-with block within a task, which gives back links that join components and no pairs. So rows grow with the lists, and only
-comparisons inside tasks with the square of a group that is alike but does not link.
+their counts in cells of the universe do) and compared whole; in longer lists blocks of sets meet, block with block within a
+task, at first their sketches, then whole sets, which gives back links that join components and no pairs. So rows grow
+with the lists, and only comparisons inside tasks with the square of a group that is alike but does not link.
 Links are counted after that: all pairs of a component's sets are compared, in blocks of sets, each block with each.
 64-bit hashes stand for shingles and sets.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +209,30 @@ def may_link(one: list[bytes], other: list[bytes], share: int) -> np.ndarray:
     return may
 
 
+def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Which of some sets have another of another component, and block if there are two, that their sketches do not rule out."""
+    n_cells = 2 * min(map(len, packed))
+    cells, full = np.zeros((len(packed), n_cells), dtype=np.int32), np.zeros(len(packed), dtype=bool)
+    lengths = np.array([len(x) for x in packed])
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        each = _cells([packed[i] for i in rows])
+        full[rows] = (each == 15).any(axis=1)
+        cells[rows] = each.reshape(len(rows), n_cells, -1).sum(axis=2)
+    size, partners = cells.sum(axis=1), np.zeros(len(packed), dtype=bool)
+    names, which, times = np.unique(comp, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(which != times.argmax()).tolist():  # one of a pair is not of the largest component
+        apart = comp != comp[i]
+        if block.min() < block.max():
+            apart &= block != block[i]
+        rows = np.flatnonzero(apart)
+        far = np.abs(cells[rows] - cells[i]).sum(axis=1) * (100 + share) > (100 - share) * (size[rows] + size[i])
+        rows = rows[~far | full[rows] | full[i]]
+        partners[rows] = True
+        partners[i] |= len(rows) > 0
+    return partners
+
+
 def in_common(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two of the sets have in common, as a square matrix.
 
@@ -449,6 +473,15 @@ def _pairs(part: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
 
 
+def _partners(share: int):
+    def run(part: pa.Table) -> pa.Table:
+        comp, block = (part.column(c).to_numpy() for c in ("comp", "block"))
+        found = with_partners(part.column("sketch").to_pylist(), share, comp, block)
+        return part.drop_columns(["sketch"]).filter(pa.array(found))
+
+    return run
+
+
 def _unlike(share: int):
     def run(part: pa.Table) -> pa.Table:
         """Links between sets of two blocks of a list, as many as join what all their links join."""
@@ -477,11 +510,11 @@ def _unlike(share: int):
     return run
 
 
-def compare_lists(lists: DataFrame, contents: DataFrame, share: int, work: Workspace) -> DataFrame:
-    """Links (a, b) between sets of different components in lists(key, set, n, comp), enough to join what they join.
+def compare_lists(lists: DataFrame, extended, share: int, work: Workspace) -> DataFrame:
+    """Links (a, b) between sets of different components in lists(key, set, n, sketch, comp), enough to join what they join.
 
     A list's sets are dealt to blocks, those of a large component to blocks of their own, and two blocks meet in one group
-    unless they are of one component.
+    unless they are of one component. First only their sketches meet; sets that these leave a partner are compared whole.
     """
     each = lists.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     share_of = lambda k, s: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(s / (GROUP_SHINGLES / 2)))
@@ -490,13 +523,15 @@ def compare_lists(lists: DataFrame, contents: DataFrame, share: int, work: Works
     each = each.join(rest, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_key"), F.col("comp").alias("_comp"), "own", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     dealt = lists.join(each, (F.col("key") == F.col("_key")) & (F.col("comp") == F.col("_comp")))
     block = F.when(F.col("own") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.col("own")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("blocks")))
-    dealt = work.stored(dealt.select("key", "set", "comp", block.alias("block"), (F.col("own") > 0).alias("pure")), "blocks")
+    dealt = work.stored(dealt.select("key", "set", "comp", "sketch", block.alias("block"), (F.col("own") > 0).alias("pure")), "blocks")
     blocks = dealt.groupBy("key", "block").agg(F.max(F.when(F.col("pure"), F.col("comp"))).alias("of"))
     x, y = blocks.toDF("_key", "x", "p"), blocks.toDF("_k", "y", "q")
     met = x.join(y, F.col("_key") == F.col("_k")).where("x <= y and not coalesce(p = q, false)").select("_key", "x", "y")
     met = work.stored(met.withColumn("mine", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))), "meetings")
-    rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y")
-    rows = contents.select("set", "content").join(rows, F.col("set") == F.col("_s")).drop("_s")
+    rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y", "sketch")
+    rows = work.stored(rows.groupBy("key", "x", "y").applyInArrow(_partners(share), "key long, _s long, comp long, block long, x long, y long"), "partners")
+    contents = extended(rows.select(F.col("_s").alias("set")))
+    rows = contents.join(rows, F.col("set") == F.col("_s")).drop("_s")
     return rows.groupBy("key", "x", "y").applyInArrow(_unlike(share), "a long, b long")
 
 
@@ -614,11 +649,19 @@ def join(docs: DataFrame, width: int = 5, share: int = 80, counted: bool = True)
 def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share: int, ranges: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the components that the links of the lists' sets make, and the contents(set, content) of these sets."""
 
-    def contents_of(wanted: DataFrame) -> DataFrame:
-        wanted = work.stored(wanted.distinct(), "wanted")
-        n = wanted.count()
-        found = work.stored(texts_of(rows, wanted, n, sets).mapInArrow(_contents(width), "set long, content binary"), "contents")
-        return found if found.count() == n else work.stored(found.dropDuplicates(["set"]), "contents")  # rows repeat
+    tables: list[DataFrame] = []
+
+    def extended(wanted: DataFrame | None = None) -> DataFrame:
+        """The contents so far, with those of the sets wanted."""
+        if wanted is not None:
+            wanted = wanted.distinct()
+            for known in tables:
+                wanted = wanted.join(known.select(F.col("set").alias("_s")), F.col("set") == F.col("_s"), "left_anti")
+            wanted = work.stored(wanted, "wanted")
+            n = wanted.count()
+            more = work.stored(texts_of(rows, wanted, n, sets).mapInArrow(_contents(width), "set long, content binary"), "contents")
+            tables.append(more if more.count() == n else work.stored(more.dropDuplicates(["set"]), "contents"))  # else rows repeat
+        return reduce(DataFrame.union, tables)
 
     # First the sets of longer lists with one of the list: the one that shares most lists with others, of copies with edits the original.
     longer = lists.where(F.col("k") > STAR)
@@ -627,22 +670,23 @@ def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share
     center = scored.groupBy("key").agg(F.max_by("set", F.struct("score", "set")).alias("a")).withColumnRenamed("key", "_key")
     stars = longer.join(center, F.col("key") == F.col("_key")).where("a <> set").select("a", F.col("set").alias("b")).distinct()
     stars = work.stored(possible(stars, sets, share), "stars")
-    contents = contents_of(stars.select("a").union(stars.select("b")).toDF("set"))
-    found = verify(stars, contents, share, work)
-    roots = components(found, work).withColumnRenamed("node", "_node")
-    # Then what is left in lists of more than one component.
-    now = lists.join(roots, F.col("set") == F.col("_node"), "left").select("key", "set", "k", F.coalesce("root", "set").alias("comp"))
+    found = verify(stars, extended(stars.select("a").union(stars.select("b")).toDF("set")), share, work)
+    # Then what is left in lists of more than one component: first in those up to LIGHT, then in longer ones.
+    light = _apart(lists.where(F.col("k") <= LIGHT), components(found, work), work)
+    dealt = light.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("part", "key", "set", "comp")
+    pairs = work.stored(possible(dealt.groupBy("part").applyInArrow(_pairs, "a long, b long").distinct(), sets, share), "possible")
+    found = found.union(verify(pairs, extended(pairs.select("a").union(pairs.select("b")).toDF("set")), share, work))
+    heavy = _apart(lists.where(F.col("k") > LIGHT), components(found, work), work)
+    heavy = heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp")
+    found = found.union(compare_lists(heavy, extended, share, work))
+    return components(found, work), extended()
+
+
+def _apart(lists: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """(key, set, k, comp) of those lists(key, set, k) that have sets of more than one component."""
+    now = lists.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "k", F.coalesce("root", "set").alias("comp"))
     apart = now.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select(F.col("key").alias("_key"))
-    now = work.stored(now.join(apart, F.col("key") == F.col("_key"), "left_semi"), "left")
-    dealt = now.where(F.col("k") <= LIGHT).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges)))
-    pairs = dealt.select("part", "key", "set", "comp").groupBy("part").applyInArrow(_pairs, "a long, b long").distinct()
-    pairs = work.stored(possible(pairs, sets, share), "possible")
-    heavy = now.where(F.col("k") > LIGHT)
-    heavy = heavy.join(sets.select(F.col("set").alias("_s"), "n"), F.col("set") == F.col("_s")).select("key", "set", "n", "comp")
-    more = pairs.select("a").union(pairs.select("b")).union(heavy.select("set")).toDF("set")
-    contents = contents.union(contents_of(more.join(contents.select(F.col("set").alias("_s")), F.col("set") == F.col("_s"), "left_anti")))
-    found = found.union(verify(pairs, contents, share, work)).union(compare_lists(heavy, contents, share, work))
-    return components(found, work), contents
+    return work.stored(now.join(apart, F.col("key") == F.col("_key"), "left_semi"), "apart")
 
 
 def keep_first(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:

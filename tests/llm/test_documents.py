@@ -263,6 +263,10 @@ def test_given_up_lists_lose_no_pair(share):
     a, b = np.triu_indices(400, 1)
     may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], share)
     assert may[[i * 400 - i * (i + 1) // 2 + j - i - 1 for i, j in linked.tolist()]].all() and may.mean() < 0.9
+    alone, one = np.arange(400), np.zeros(400, dtype=np.int64)
+    assert jaccard.with_partners(packed, share, alone, one)[np.unique(linked)].all()
+    comp = alone // 3
+    assert jaccard.with_partners(packed, share, comp, alone % 2)[[i for i, j in linked.tolist() if comp[i] != comp[j] and (i - j) % 2]].all()
 
 
 def lines(n):
