@@ -25,8 +25,8 @@ from grainmill.llm._common import ship, table
 
 SPECTRUM, WIDTH = (1, 2, 3, 4), 1 << 13
 #: The bounded sample of labelled rows that the classifier is fitted on, for each language, by hash of doc_id; and how
-#: many of them, for each language, are landmarks.
-SAMPLE, LANDMARKS, RIDGE = 800, 64, 1e-3
+#: many of them, for each language, are landmarks; with many languages fewer of each, so that the model stays in bounds.
+SAMPLE, LANDMARKS, MOST_LANDMARKS, RIDGE = 800, 64, 2048, 1e-3
 #: Of each sampled text, also so many characters from a hashed place: short texts must be told as well as long ones.
 SNIPPETS = (12, 40, 160)
 #: Rows and characters of a presence matrix.
@@ -44,10 +44,13 @@ def has_letter(text: str | None) -> bool:
 
 def presence(texts: list[str]) -> np.ndarray:
     """A row of 0 and 1 for each text: which places its n-grams hash to. Runs of non-letters count as one space."""
-    codes = np.frombuffer("\0".join(["", *[t.lower() for t in texts], ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return _presence(codes, len(texts))
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return _presence(np.insert(codes, np.cumsum([0, *map(len, lower)]), END), len(texts))
 
 
+#: Stands between texts; no code point has this number.
+END = 0x110000
 _LETTER = None
 
 
@@ -55,17 +58,17 @@ def _letters() -> np.ndarray:
     """Which code points are letters, a table made once for a worker."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+        _LETTER = np.fromiter((i < END and chr(i).isalpha() for i in range(END + 1)), dtype=bool, count=END + 1)
     return _LETTER
 
 
 def _presence(codes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, WIDTH), dtype=np.float32)
-    ends = codes == 0
+    ends = codes == END
     codes = np.where(_letters()[codes] | ends, codes, 32)
     kept = ~((codes[1:] == 32) & (codes[:-1] == 32))
     codes = codes[np.concatenate([[True], kept])].astype(np.uint64)
-    text = np.cumsum(codes == 0) - 1
+    text = np.cumsum(codes == END) - 1
     flat = out.reshape(-1)
     mixed = codes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
     gram, inside = np.zeros(len(codes), dtype=np.uint64), np.ones(len(codes), dtype=bool)
@@ -74,7 +77,7 @@ def _presence(codes: np.ndarray, n: int) -> np.ndarray:
             break
         m = len(codes) - size + 1
         gram = (gram[:m] ^ mixed[size - 1 :]) * np.uint64(0xBF58476D1CE4E5B9)
-        inside = inside[:m] & (codes[size - 1 :] != 0)
+        inside = inside[:m] & (codes[size - 1 :] != END)
         if size in SPECTRUM:
             place = ((gram ^ gram >> np.uint64(29)) * np.uint64(0x94D049BB133111EB + size * 2)) >> np.uint64(64 - WIDTH.bit_length() + 1)
             flat[(text[:m] * WIDTH + place.astype(np.int64))[inside]] = 1
@@ -196,7 +199,7 @@ def learn(docs: DataFrame, learnable, rejecting: bool = True) -> tuple | None:
     If it is to reject, with levels.
 
     Presence rows are made where the texts are; what comes to the driver has a bound: SAMPLE rows of WIDTH / 8 bytes, and
-    their snippets', for each language. None if there is nothing to learn from.
+    their snippets', for each language. None if there is nothing to learn from. Of a very long text the whole is one row.
     """
     labelled = docs.where(learnable & F.col("lang").isNotNull()).select("lang", "doc_id", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -213,9 +216,9 @@ def learn(docs: DataFrame, learnable, rejecting: bool = True) -> tuple | None:
     bits = [np.frombuffer(r["rows"], dtype=np.uint8).reshape(-1, WIDTH // 8) for r in found]
     labels = np.array([r["lang"] for r, b in zip(found, bits, strict=True) for _ in range(len(b))])
     marks = []
-    at = 0
+    at, most = 0, max(1, min(LANDMARKS, MOST_LANDMARKS // len(sizes)))
     for r, b in zip(found, bits, strict=True):
-        if r["k"] <= LANDMARKS:
+        if r["k"] <= most:
             marks.append(at + (r["k"] % len(b)))
         at += len(b)
     text = np.repeat([r["k"] for r in found], [len(b) for b in bits])
@@ -248,7 +251,7 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     Without a model (nothing to learn from) all rows are `und`. Rows are predicted one by one, so repeated rows agree.
     """
     ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # (languages * LANDMARKS) * WIDTH floats, whatever the corpus
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # up to MOST_LANDMARKS (or one for each language) * WIDTH floats, 64 MB, whatever the corpus
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields]
     return rows.select(*keep, "text").mapInArrow(_predict(shared, keep), ", ".join([*kept, "lang_pred string", "score double"]))
 
@@ -285,6 +288,8 @@ def learnable(doc_id):
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row of documents; extra columns are not read. A null text, or one without
+    a letter, is `und` with 0; a null doc_id is not learnt from. Rows that repeat each give a row, and equal texts equal ones."""
     ship(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = learn(docs, learnable(F.col("doc_id")), rejecting=False)

@@ -227,6 +227,46 @@ def test_links_are_all_counted(spark, monkeypatch, light, sets, block):
     assert sorted(got, key=key) == want and max(n for _, n in want) >= 39
 
 
+def plain_places(text):
+    """A text's n-grams as strings, runs of non-letters as one space, with the ends of the text outside."""
+    clean = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    return {clean[i : i + n] for n in language_id.SPECTRUM for i in range(len(clean) - n + 1)}
+
+
+def test_kernels_and_ridge_by_plain_computation():
+    texts = ["The cat\0sat", "le chat \x00 est la", "", "\0", "el gato, 12 el gato", "the dog sat on the mat", "x" * 5000, "un chat"]
+    rows = language_id.presence(texts)
+    for i, a in enumerate(map(plain_places, texts)):
+        assert len(a) * 0.97 - 1 <= rows[i].sum() <= len(a)
+        for j, b in enumerate(map(plain_places, texts)):
+            assert abs(rows[i] @ rows[j] - len(a & b)) <= 2  # places are hashed: few meet by chance
+    labels = np.array(["en", "fr", "fr", "en", "es", "en", "en", "fr"])
+    bits, marks = np.packbits(rows.astype(bool), axis=1), np.array([0, 1, 4, 5])
+    model = language_id.fit(bits, labels, marks)
+    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    k, w = unit @ unit[marks].T, unit[marks] @ unit[marks].T
+    value, vector = np.linalg.eigh(w.astype(np.float64))
+    phi = np.hstack([k @ vector / np.sqrt(value), np.ones((8, 1))])
+    want = np.zeros((8, 3))
+    for c, name in enumerate(model[2]):
+        y = np.where(labels == name, 1.0, -1.0)
+        weigh = np.diag([1 / (labels == x).sum() for x in labels])
+        want[:, c] = phi @ np.linalg.solve(phi.T @ weigh @ phi + language_id.RIDGE * np.eye(5), phi.T @ weigh @ y)
+    assert np.allclose(language_id.scores(texts, model), want, atol=1e-3)
+    assert np.array_equal(language_id.scores([texts[1], texts[0], texts[1]], model)[0], language_id.scores([texts[1]], model)[0])
+
+
+def test_very_long_texts_are_named(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, F.lit(True))
+    for lang in model[2]:
+        text = " ".join(r["text"] for r in docs.where(F.col("lang") == lang).collect())
+        for size in (20_000, 400_000):
+            long = (text * (size // len(text) + 1))[:size] + "\0" * 3
+            assert model[2][int(language_id.scores([long], model)[0].argmax())] == lang
+            assert language_id.known([long], model).all()
+
+
 def random_sets(rng, n):
     """Sets of hashes around a few bases, with few or many elements in common."""
     bases, out = [rng.integers(0, 2**63, size, dtype=np.uint64) for size in (3, 12, 40, 41, 150)], []
