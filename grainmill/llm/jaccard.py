@@ -18,7 +18,7 @@ What the lists' sets have in common is found in two steps. The sets of lists lon
 the list first, the one that is in most lists with others; the links make components. What is left are pairs of different
 components: those of lists up to LIGHT are made once each, ruled out by sketches (sets differ by at least as much as
 their counts in cells of the universe do) and compared whole; in longer lists blocks of sets meet, block with block within a
-task, at first their sketches, then whole sets, which gives back links that join components and no pairs. So rows grow
+task, at first their sketches, then, unless few pairs are left, whole sets, which gives back links that join components and no pairs. So rows grow
 with the lists, and only comparisons inside tasks with the square of a group that is alike but does not link.
 Links are counted after that: all pairs of a component's sets are compared, in blocks of sets, each block with each.
 64-bit hashes stand for shingles and sets.
@@ -48,6 +48,8 @@ REFINE, STAR, LIGHT = 16, 8, 64
 ONE_TASK = 1_000_000
 #: Sets of a block of a component or list that is compared whole; its shingles are at most about GROUP_SHINGLES.
 BLOCK_SETS = 512
+#: Pairs for each of its sets that sketches may leave two blocks to go by pairs.
+PAIRS = 2
 #: Cells of a sketch, as powers of 2: about half as many as the set has shingles. A cell has 4 bits.
 LEAST_CELLS, MOST_CELLS = 5, 12
 
@@ -209,8 +211,10 @@ def may_link(one: list[bytes], other: list[bytes], share: int) -> np.ndarray:
     return may
 
 
-def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Which of some sets have another of another component, and block if there are two, that their sketches do not rule out."""
+def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which of some sets have another of another component, and block if there are two, that their sketches do not rule out;
+    and the pairs of these, if there are no more than PAIRS for each set."""
+    pairs, n_pairs = [], 0
     n_cells = 2 * min(map(len, packed))
     cells, full = np.zeros((len(packed), n_cells), dtype=np.int32), np.zeros(len(packed), dtype=bool)
     lengths = np.array([len(x) for x in packed])
@@ -230,7 +234,10 @@ def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.n
         rows = rows[~far | full[rows] | full[i]]
         partners[rows] = True
         partners[i] |= len(rows) > 0
-    return partners
+        n_pairs += len(rows)
+        if n_pairs <= PAIRS * len(packed):
+            pairs.append(np.stack([np.full(len(rows), i), rows]))
+    return partners, np.concatenate(pairs, axis=1) if pairs and n_pairs <= PAIRS * len(packed) else None
 
 
 def in_common(sets: list[np.ndarray]) -> np.ndarray:
@@ -475,9 +482,13 @@ def _pairs(part: pa.Table) -> pa.Table:
 
 def _partners(share: int):
     def run(part: pa.Table) -> pa.Table:
-        comp, block = (part.column(c).to_numpy() for c in ("comp", "block"))
-        found = with_partners(part.column("sketch").to_pylist(), share, comp, block)
-        return part.drop_columns(["sketch"]).filter(pa.array(found))
+        comp, block, names = (part.column(c).to_numpy() for c in ("comp", "block", "_s"))
+        found, pairs = with_partners(part.column("sketch").to_pylist(), share, comp, block)
+        if pairs is None:
+            rows = part.drop_columns(["sketch"]).filter(pa.array(found))
+            return rows.append_column("_b", pa.nulls(len(rows), pa.int64()))
+        rows = part.drop_columns(["sketch"]).take(pa.array(pairs[0]))
+        return rows.append_column("_b", pa.array(names[pairs[1]]))
 
     return run
 
@@ -510,11 +521,12 @@ def _unlike(share: int):
     return run
 
 
-def compare_lists(lists: DataFrame, extended, share: int, work: Workspace) -> DataFrame:
+def compare_lists(lists: DataFrame, sets: DataFrame, extended, share: int, work: Workspace) -> DataFrame:
     """Links (a, b) between sets of different components in lists(key, set, n, sketch, comp), enough to join what they join.
 
     A list's sets are dealt to blocks, those of a large component to blocks of their own, and two blocks meet in one group
-    unless they are of one component. First only their sketches meet; sets that these leave a partner are compared whole.
+    unless they are of one component. First only their sketches meet. If these leave few pairs, they are compared once each;
+    if many, the sets that have a partner left meet whole.
     """
     each = lists.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     share_of = lambda k, s: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(s / (GROUP_SHINGLES / 2)))
@@ -529,10 +541,13 @@ def compare_lists(lists: DataFrame, extended, share: int, work: Workspace) -> Da
     met = x.join(y, F.col("_key") == F.col("_k")).where("x <= y and not coalesce(p = q, false)").select("_key", "x", "y")
     met = work.stored(met.withColumn("mine", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))), "meetings")
     rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y", "sketch")
-    rows = work.stored(rows.groupBy("key", "x", "y").applyInArrow(_partners(share), "key long, _s long, comp long, block long, x long, y long"), "partners")
-    contents = extended(rows.select(F.col("_s").alias("set")))
+    rows = work.stored(rows.groupBy("key", "x", "y").applyInArrow(_partners(share), "key long, _s long, comp long, block long, x long, y long, _b long"), "partners")
+    pairs = rows.where("_b is not null").select(F.least("_s", "_b").alias("a"), F.greatest("_s", "_b").alias("b")).distinct()
+    pairs = work.stored(pairs.join(sets.select("set", "n"), F.col("b") == F.col("set")).select("a", "b", "n"), "some")
+    rows = rows.where("_b is null").drop("_b")
+    contents = extended(rows.select(F.col("_s").alias("set")).union(pairs.select("a")).union(pairs.select("b")))
     rows = contents.join(rows, F.col("set") == F.col("_s")).drop("_s")
-    return rows.groupBy("key", "x", "y").applyInArrow(_unlike(share), "a long, b long")
+    return verify(pairs, contents, share, work).union(rows.groupBy("key", "x", "y").applyInArrow(_unlike(share), "a long, b long"))
 
 
 def _count(share: int):
@@ -677,8 +692,9 @@ def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share
     pairs = work.stored(possible(dealt.groupBy("part").applyInArrow(_pairs, "a long, b long").distinct(), sets, share), "possible")
     found = found.union(verify(pairs, extended(pairs.select("a").union(pairs.select("b")).toDF("set")), share, work))
     heavy = _apart(lists.where(F.col("k") > LIGHT), components(found, work), work)
-    heavy = heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp")
-    found = found.union(compare_lists(heavy, extended, share, work))
+    heavy = work.stored(heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp"), "long")
+    work.tidy()
+    found = found.union(compare_lists(heavy, sets, extended, share, work))
     return components(found, work), extended()
 
 

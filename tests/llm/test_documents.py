@@ -51,11 +51,12 @@ def key(row):
     return tuple((x is not None, x or 0) for x in row)
 
 
-@pytest.mark.parametrize(("width", "share", "refine", "star", "light"), [(4, 85, None, None, None), (5, 80, None, None, None), (2, 60, None, None, None), (4, 85, 2, 2, 3), (4, 85, 1, 10**9, 1), (2, 60, 3, 10**9, 2)])
+@pytest.mark.parametrize(("width", "share", "refine", "star", "light"), [(4, 85, None, None, None), (5, 80, None, None, None), (2, 60, None, None, None), (4, 85, 2, 2, 3), (2, 60, 3, 10**9, 2)])
 def test_jaccard_join(spark, monkeypatch, width, share, refine, star, light):
     if refine is not None:  # lists are given up, go by stars and by blocks, and components are distributed
         monkeypatch.setattr(jaccard, "ONE_TASK", 0)
         monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+        monkeypatch.setattr(jaccard, "PAIRS", 0 if width == 2 else 2)
         for name, value in (("REFINE", refine), ("STAR", star), ("LIGHT", light)):
             monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
@@ -278,7 +279,7 @@ def random_sets(rng, n):
 
 
 @pytest.mark.parametrize("share", [80, 85, 60])
-def test_given_up_lists_lose_no_pair(share):
+def test_given_up_lists_lose_no_pair(monkeypatch, share):
     sets = random_sets(np.random.default_rng(5), 400)
     flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     both = jaccard.in_common(sets)
@@ -304,9 +305,14 @@ def test_given_up_lists_lose_no_pair(share):
     may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], share)
     assert may[[i * 400 - i * (i + 1) // 2 + j - i - 1 for i, j in linked.tolist()]].all() and may.mean() < 0.9
     alone, one = np.arange(400), np.zeros(400, dtype=np.int64)
-    assert jaccard.with_partners(packed, share, alone, one)[np.unique(linked)].all()
+    assert jaccard.with_partners(packed, share, alone, one)[0][np.unique(linked)].all()
     comp = alone // 3
-    assert jaccard.with_partners(packed, share, comp, alone % 2)[[i for i, j in linked.tolist() if comp[i] != comp[j] and (i - j) % 2]].all()
+    apart = [(i, j) for i, j in linked.tolist() if comp[i] != comp[j] and (i - j) % 2]
+    partners, pairs = jaccard.with_partners(packed, share, comp, alone % 2)
+    assert partners[[i for i, _ in apart]].all() and pairs is None
+    monkeypatch.setattr(jaccard, "PAIRS", 10**6)
+    pairs = jaccard.with_partners(packed, share, comp, alone % 2)[1]
+    assert set(apart) <= {(min(p), max(p)) for p in pairs.T.tolist()}
 
 
 def lines(n):
