@@ -9,12 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.shipping import ship  # noqa: F401  for the operators
+from grainmill.functions import shipping
+
+#: Rows of an Arrow batch, at most: texts are long, and a batch is in memory on both sides.
+BATCH_ROWS = 2000
 
 #: A side of a join is broadcast only up to so many bytes, as counted from its rows; beyond, the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """The code to the executors, and the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +48,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, shared_folder(spark), 0
+        self.paths: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -44,9 +56,17 @@ class Workspace:
 
     def stored(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = self.path(name)
+        self.paths.setdefault(name, []).append(path)
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def discard(self, *names: str) -> None:
+        """Delete the tables stored under these names so far, which nothing will read again, and tidy()."""
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tidy()
+
     def tidy(self) -> None:
         """Have the driver drop what it no longer refers to, shuffle files on the executors among it."""
         gc.collect()

@@ -50,7 +50,7 @@ ONE_TASK = 1_000_000
 BLOCK_SETS = 512
 #: Pairs for each of its sets that sketches may leave two blocks to go by pairs.
 PAIRS = 2
-#: Cells of a sketch, as powers of 2: about half as many as the set has shingles. A cell has 4 bits.
+#: Cells of a sketch, as powers of 2: about half as many as the set has shingles. A cell has 2 bits.
 LEAST_CELLS, MOST_CELLS = 5, 12
 
 C1, C2, C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -182,48 +182,50 @@ def refined(flat: np.ndarray, ends: np.ndarray, share: int, keys: np.ndarray, ow
 
 
 def sketches(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Of each set the counts of its shingles in equal cells of the universe, two to a byte; 15 stands for 15 or more."""
+    """Of each set the counts of its shingles in equal cells of the universe, four to a byte; 3 stands for 3 or more."""
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         bits = min(max((b - a).bit_length() - 1, LEAST_CELLS), MOST_CELLS)
-        cells = np.minimum(np.bincount((flat[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
-        out.append((cells[::2] | cells[1::2] << 4).tobytes())
+        cells = np.minimum(np.bincount((flat[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8)
+        out.append((cells[::4] | cells[1::4] << 2 | cells[2::4] << 4 | cells[3::4] << 6).tobytes())
     return out
 
 
 def _cells(packed: list[bytes]) -> np.ndarray:
     """Counts of sketches of one size, a row each."""
-    both = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
-    return np.stack([both & 15, both >> 4], axis=2).reshape(len(packed), -1)
+    four = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
+    return np.stack([four >> i & 3 for i in (0, 2, 4, 6)], axis=2).reshape(len(packed), -1)
 
 
-def may_link(one: list[bytes], other: list[bytes], share: int) -> np.ndarray:
-    """Which pairs of sketches can be of similar sets: their sets differ by no less than the counts do."""
+def _folded(cells: np.ndarray, n_cells: int) -> np.ndarray:
+    """Counts in fewer cells; 3 stands for 3 or more again, as otherwise counts of 3 or more would be less than they are."""
+    return np.minimum(cells.reshape(len(cells), n_cells, -1).sum(axis=2, dtype=np.int32), 3)
+
+
+def may_link(one: list[bytes], other: list[bytes], n: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
+    """Which pairs of sketches, of sets of n and m shingles, can be of similar sets: sets differ by no less than the counts do,
+    and counts by no less than the lesser of them and 3 do."""
     may = np.ones(len(one), dtype=bool)
     lengths = np.array([[len(x) for x in one], [len(x) for x in other]]).reshape(2, -1)
-    for n, m in np.unique(lengths, axis=1).T.tolist():
-        rows = np.flatnonzero((lengths[0] == n) & (lengths[1] == m))
+    for p, q in np.unique(lengths, axis=1).T.tolist():
+        rows = np.flatnonzero((lengths[0] == p) & (lengths[1] == q))
         for some in np.split(rows, np.arange(4096, len(rows), 4096)):
-            x, y = _cells([one[i] for i in some]), _cells([other[i] for i in some])
-            full = (x == 15).any(axis=1) | (y == 15).any(axis=1)
-            x, y = (z.reshape(len(some), min(n, m) * 2, -1).sum(axis=2, dtype=np.int32) for z in (x, y))
-            may[some] = full | (np.abs(x - y).sum(axis=1) * (100 + share) <= (100 - share) * (x.sum(axis=1) + y.sum(axis=1)))
+            x, y = (_folded(_cells([z[i] for i in some]), min(p, q) * 4) for z in (one, other))
+            may[some] = np.abs(x - y).sum(axis=1) * (100 + share) <= (100 - share) * (n[some] + m[some])
     return may
 
 
-def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+def with_partners(packed: list[bytes], size: np.ndarray, share: int, comp: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Which of some sets have another of another component, and block if there are two, that their sketches do not rule out;
     and the pairs of these, if there are no more than PAIRS for each set."""
     pairs, n_pairs = [], 0
-    n_cells = 2 * min(map(len, packed))
-    cells, full = np.zeros((len(packed), n_cells), dtype=np.int32), np.zeros(len(packed), dtype=bool)
+    n_cells = 4 * min(map(len, packed))
+    cells = np.zeros((len(packed), n_cells), dtype=np.int32)
     lengths = np.array([len(x) for x in packed])
     for n in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == n)
-        each = _cells([packed[i] for i in rows])
-        full[rows] = (each == 15).any(axis=1)
-        cells[rows] = each.reshape(len(rows), n_cells, -1).sum(axis=2)
-    size, partners = cells.sum(axis=1), np.zeros(len(packed), dtype=bool)
+        cells[rows] = _folded(_cells([packed[i] for i in rows]), n_cells)
+    partners = np.zeros(len(packed), dtype=bool)
     names, which, times = np.unique(comp, return_inverse=True, return_counts=True)
     for i in np.flatnonzero(which != times.argmax()).tolist():  # one of a pair is not of the largest component
         apart = comp != comp[i]
@@ -231,7 +233,7 @@ def with_partners(packed: list[bytes], share: int, comp: np.ndarray, block: np.n
             apart &= block != block[i]
         rows = np.flatnonzero(apart)
         far = np.abs(cells[rows] - cells[i]).sum(axis=1) * (100 + share) > (100 - share) * (size[rows] + size[i])
-        rows = rows[~far | full[rows] | full[i]]
+        rows = rows[~far]
         partners[rows] = True
         partners[i] |= len(rows) > 0
         n_pairs += len(rows)
@@ -387,7 +389,8 @@ def _contents(width: int):
 def _possible(share: int):
     def run(batches):
         for batch in batches:
-            may = may_link(batch.column("one").to_pylist(), batch.column("other").to_pylist(), share)
+            one, other = (batch.column(c).to_pylist() for c in ("one", "other"))
+            may = may_link(one, other, batch.column("m").to_numpy(), batch.column("n").to_numpy(), share)
             yield batch.select(["a", "b", "n"]).filter(pa.array(may))
 
     return run
@@ -397,7 +400,7 @@ def possible(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(a, b, n) for those of pairs(a, b) whose sketches do not rule out that they link; n is b's size."""
     known = sets.select("set", "n", "sketch")
     one = pairs.join(known, F.col("set") == F.col("b")).select("a", "b", "n", F.col("sketch").alias("other"))
-    both = one.join(known.select("set", "sketch"), F.col("set") == F.col("a")).select("a", "b", "n", F.col("sketch").alias("one"), "other")
+    both = one.join(known.withColumnRenamed("n", "m"), F.col("set") == F.col("a")).select("a", "b", "n", "m", F.col("sketch").alias("one"), "other")
     return both.mapInArrow(_possible(share), "a long, b long, n long")
 
 
@@ -483,11 +486,11 @@ def _pairs(part: pa.Table) -> pa.Table:
 def _partners(share: int):
     def run(part: pa.Table) -> pa.Table:
         comp, block, names = (part.column(c).to_numpy() for c in ("comp", "block", "_s"))
-        found, pairs = with_partners(part.column("sketch").to_pylist(), share, comp, block)
+        found, pairs = with_partners(part.column("sketch").to_pylist(), part.column("n").to_numpy(), share, comp, block)
         if pairs is None:
-            rows = part.drop_columns(["sketch"]).filter(pa.array(found))
+            rows = part.drop_columns(["sketch", "n"]).filter(pa.array(found))
             return rows.append_column("_b", pa.nulls(len(rows), pa.int64()))
-        rows = part.drop_columns(["sketch"]).take(pa.array(pairs[0]))
+        rows = part.drop_columns(["sketch", "n"]).take(pa.array(pairs[0]))
         return rows.append_column("_b", pa.array(names[pairs[1]]))
 
     return run
@@ -535,12 +538,12 @@ def compare_lists(lists: DataFrame, sets: DataFrame, extended, share: int, work:
     each = each.join(rest, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_key"), F.col("comp").alias("_comp"), "own", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     dealt = lists.join(each, (F.col("key") == F.col("_key")) & (F.col("comp") == F.col("_comp")))
     block = F.when(F.col("own") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("set"), F.col("own")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("blocks")))
-    dealt = work.stored(dealt.select("key", "set", "comp", "sketch", block.alias("block"), (F.col("own") > 0).alias("pure")), "blocks")
+    dealt = work.stored(dealt.select("key", "set", "n", "comp", "sketch", block.alias("block"), (F.col("own") > 0).alias("pure")), "blocks")
     blocks = dealt.groupBy("key", "block").agg(F.max(F.when(F.col("pure"), F.col("comp"))).alias("of"))
     x, y = blocks.toDF("_key", "x", "p"), blocks.toDF("_k", "y", "q")
     met = x.join(y, F.col("_key") == F.col("_k")).where("x <= y and not coalesce(p = q, false)").select("_key", "x", "y")
     met = work.stored(met.withColumn("mine", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))), "meetings")
-    rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y", "sketch")
+    rows = dealt.join(met, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("mine"))).select("key", F.col("set").alias("_s"), "comp", "block", "x", "y", "n", "sketch")
     rows = work.stored(rows.groupBy("key", "x", "y").applyInArrow(_partners(share), "key long, _s long, comp long, block long, x long, y long, _b long"), "partners")
     pairs = rows.where("_b is not null").select(F.least("_s", "_b").alias("a"), F.greatest("_s", "_b").alias("b")).distinct()
     pairs = work.stored(pairs.join(sets.select("set", "n"), F.col("b") == F.col("set")).select("a", "b", "n"), "some")
@@ -611,7 +614,9 @@ def index_lists(rows: DataFrame, sets: DataFrame, width: int, share: int, ranges
     stay = lists.join(small_side(given_up, n_given_up, 24), F.col("key") == F.col("_key"), "left_anti")
     several = each.where("k > 1").join(given_up, F.col("before") == F.col("_key"), "left_semi").select(F.col("before").alias("_before"), F.col("key").alias("_key"), "k")
     finer = instead.join(several, (F.col("key") == F.col("_key")) & (F.col("before") == F.col("_before"))).select("key", "set", "k")
-    return work.stored(stay.union(finer), "lists")
+    out = work.stored(stay.union(finer), "allocated")
+    work.discard("lists", "long lists", "refined", "refined lists", "given up")
+    return out
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame, n_wanted: int, sets: DataFrame, *more: str) -> DataFrame:
@@ -685,11 +690,13 @@ def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share
     center = scored.groupBy("key").agg(F.max_by("set", F.struct("score", "set")).alias("a")).withColumnRenamed("key", "_key")
     stars = longer.join(center, F.col("key") == F.col("_key")).where("a <> set").select("a", F.col("set").alias("b")).distinct()
     stars = work.stored(possible(stars, sets, share), "stars")
+    work.tidy()
     found = verify(stars, extended(stars.select("a").union(stars.select("b")).toDF("set")), share, work)
     # Then what is left in lists of more than one component: first in those up to LIGHT, then in longer ones.
     light = _apart(lists.where(F.col("k") <= LIGHT), components(found, work), work)
     dealt = light.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("part", "key", "set", "comp")
     pairs = work.stored(possible(dealt.groupBy("part").applyInArrow(_pairs, "a long, b long").distinct(), sets, share), "possible")
+    work.discard("apart", "stars")
     found = found.union(verify(pairs, extended(pairs.select("a").union(pairs.select("b")).toDF("set")), share, work))
     heavy = _apart(lists.where(F.col("k") > LIGHT), components(found, work), work)
     heavy = work.stored(heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp"), "long")

@@ -29,8 +29,10 @@ ZIPF, UNKNOWN = 2.7, 10.0
 #: Parts of up to so many bytes are searched all at a time; longer ones singly.
 LONG = 48
 #: Bytes of text that are encoded at a time; parts whose ids a worker keeps.
-ENCODE_BYTES, CACHE_ENTRIES = 2 << 20, 150_000
+ENCODE_BYTES, CACHE_ENTRIES = 1 << 20, 150_000
 
+#: Parts that are searched at a time.
+STEP = 8_192
 #: Slots that the trie's builder looks at together.
 WINDOW = 64
 
@@ -131,6 +133,7 @@ class Unigram:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in (pieces[i] for i in listed)):
             raise ValueError("a piece crosses the places where texts are cut")
         self.cache: dict[str, int] = {}
+        self.lists: list[list] | None = None
         self.start = self.length = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
@@ -146,7 +149,9 @@ class Unigram:
 
     def _single(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """best and back of the Viterbi search through one part."""
-        n, base, check, value, score = len(text), self.base.tolist(), self.check.tolist(), self.value.tolist(), self.score.tolist()
+        if self.lists is None:  # plain lists are faster to step through; made once
+            self.lists = [x.tolist() for x in (self.base, self.check, self.value, self.score)]
+        n, (base, check, value, score) = len(text), self.lists
         best, back = [-np.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for s in range(n):
@@ -252,8 +257,8 @@ class Unigram:
             self.start, self.length = self.start[:half], self.length[:half]
             self.flat = self.flat[: int(self.start[-1] + self.length[-1])].copy()
             new = [p for p in parts if p not in self.cache]
-        for at in range(0, len(new), 32_768):
-            part = new[at : at + 32_768]
+        for at in range(0, len(new), STEP):
+            part = new[at : at + STEP]
             ids = self._trace([p.encode() for p in part])
             n = np.array([len(x) for x in ids], dtype=np.int64)
             self.cache.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))

@@ -302,16 +302,16 @@ def test_given_up_lists_lose_no_pair(monkeypatch, share):
             assert any(k not in given_up or finer[i][k] & finer[j][k] for k in common)
     packed = jaccard.sketches(flat, ends)
     a, b = np.triu_indices(400, 1)
-    may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], share)
+    may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], size[a], size[b], share)
     assert may[[i * 400 - i * (i + 1) // 2 + j - i - 1 for i, j in linked.tolist()]].all() and may.mean() < 0.9
     alone, one = np.arange(400), np.zeros(400, dtype=np.int64)
-    assert jaccard.with_partners(packed, share, alone, one)[0][np.unique(linked)].all()
+    assert jaccard.with_partners(packed, size, share, alone, one)[0][np.unique(linked)].all()
     comp = alone // 3
     apart = [(i, j) for i, j in linked.tolist() if comp[i] != comp[j] and (i - j) % 2]
-    partners, pairs = jaccard.with_partners(packed, share, comp, alone % 2)
+    partners, pairs = jaccard.with_partners(packed, size, share, comp, alone % 2)
     assert partners[[i for i, _ in apart]].all() and pairs is None
     monkeypatch.setattr(jaccard, "PAIRS", 10**6)
-    pairs = jaccard.with_partners(packed, share, comp, alone % 2)[1]
+    pairs = jaccard.with_partners(packed, size, share, comp, alone % 2)[1]
     assert set(apart) <= {(min(p), max(p)) for p in pairs.T.tolist()}
 
 
