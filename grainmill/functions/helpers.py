@@ -14,15 +14,13 @@ UNITS = {"kb": 1000, "mb": 1000**2, "gb": 1000**3, "tb": 1000**4}
 # Element type codes of array leaves.
 TORCH_DTYPES = {
     0: "float32", 1: "float", 2: "float64", 3: "double", 4: "complex64", 5: "cfloat", 6: "complex128", 7: "cdouble", 8: "float16", 9: "half",
-    10: "uint8", 11: "int8", 12: "int16", 13: "short", 14: "int32", 15: "int", 16: "int64", 17: "long", 18: "bool", 19: "bfloat16",
+    10: "bfloat16", 11: "uint8", 12: "int8", 13: "int16", 14: "short", 15: "int32", 16: "int", 17: "int64", 18: "long", 19: "bool",
 }
 NUMPY_DTYPES = {
     0: "int8", 1: "int16", 2: "int32", 3: "int64", 4: "uint8", 5: "uint16", 6: "uint32", 7: "uint64", 8: "float16", 9: "float32",
     10: "float64", 11: "complex64", 12: "complex128", 13: "bool", 14: "object", 15: "bytes", 16: "str", 17: "void",
 }
 
-SPARK_TYPES = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "float16": "float", "float32": "float", "float64": "double", "bool": "boolean"}
-
 
 def bytes_of(size: str) -> int:
     """`64MB` as a number; decimal units kb to tb in any case, with a fraction if need be. A bare `b` is no unit."""

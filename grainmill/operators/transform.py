@@ -5,9 +5,10 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from grainmill.operators.packing import balanced, split_evenly
 from grainmill.operators.sampling import first_rows
@@ -17,12 +18,12 @@ TRIAL_ROWS = 10
 
 
 def flat_map(df: DataFrame, fn: Callable, schema: str, skip_errors: bool = False) -> DataFrame:
-    """fn of each row (a dict): the dict it returns, none for None, or all that a generator yields. Errors end the job unless they are skipped."""
+    """fn of each row (a dict of plain Python values, nulls as None): the dict it returns, none for None, or all that a generator yields. Errors end the job unless they are skipped."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     made = fn(row)
                     if inspect.isgenerator(made):
@@ -32,10 +33,10 @@ def flat_map(df: DataFrame, fn: Callable, schema: str, skip_errors: bool = False
                 except Exception:
                     if not skip_errors:
                         raise
-            yield pd.DataFrame(out, columns=names)
+            yield from pa.Table.from_pylist(out, schema=shape).to_batches()
 
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
-    return df.mapInPandas(run, schema)
+    shape = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return df.mapInArrow(run, schema)
 
 
 def dealt(inputs: DataFrame, workers: int, order: str, weight: str | None = None) -> DataFrame:
@@ -85,17 +86,17 @@ def _numbered(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """fn's rows with the worker and the place (idx, sub) of their input."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 made = fn({k: v for k, v in row.items() if k not in ("idx", "worker")})
                 made = made if inspect.isgenerator(made) else [] if made is None else [made]
                 out.extend({**m, "_worker": row["worker"], "_idx": row["idx"], "_sub": i} for i, m in enumerate(made))
-            yield pd.DataFrame(out, columns=names)
+            yield from pa.Table.from_pylist(out, schema=shape).to_batches()
 
-    fields = rows.sparkSession.createDataFrame([], schema).schema.fields
-    names = [*[f.name for f in fields], "_worker", "_idx", "_sub"]
-    return rows.mapInPandas(run, f"{schema}, _worker long, _idx long, _sub long")
+    schema = f"{schema}, _worker long, _idx long, _sub long"
+    shape = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return rows.mapInArrow(run, schema)
 
 
 def run_for_files(inputs: DataFrame, fn: Callable, output: str, workers: int, order: str) -> None:
@@ -103,11 +104,11 @@ def run_for_files(inputs: DataFrame, fn: Callable, output: str, workers: int, or
     rows = with_last(dealt(inputs, workers, order)).repartition(workers, "worker").sortWithinPartitions("idx")
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
+        for batch in batches:
+            for row in batch.to_pylist():
                 last = bool(row.pop("is_last"))
                 if fn({k: v for k, v in row.items() if k not in ("idx", "worker")}, output, last) is not None:
                     raise ValueError("a function for files must return None")
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
 
-    rows.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -1,8 +1,9 @@
 """Row chunks in one binary layout, as a Spark data source of the name `chunkbin`.
 
 A chunk is: the number of items, their offsets (one more than items, from the start of the file), and the items. An item
-is the sizes of its leaves, then the leaves; all numbers are unsigned 32-bit little-endian. Options: path, a folder that
-driver and executors share; compression, a codec's name.
+is the sizes of its leaves, then the leaves; all numbers are unsigned 32-bit little-endian. A null leaf has the size NULL
+and no bytes. Options: path, a folder that driver and executors share; compression, a codec's name; chunk_size, rows.
+A write in append mode adds its chunks behind those that are there, overwrite replaces them once the new ones are whole.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ import glob
 import json
 import os
 import struct
+import uuid
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from grainmill.functions import codecs
 
 KEYS = {"string": "str", "boolean": "bool", "bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "binary": "bytes"}
+#: The size of a leaf that is null; no leaf is as long.
+NULL = (1 << 32) - 1
 TYPES = {"str": "string", "bool": "boolean", "int": "bigint", "float": "double", "bytes": "binary", "pickle": "binary"}
 
 
-def packed(items: list[list[bytes]]) -> bytes:
-    rows = [struct.pack(f"<{len(x)}I", *map(len, x)) + b"".join(x) for x in items]
+def packed(items: list[list[bytes | None]]) -> bytes:
+    rows = [struct.pack(f"<{len(x)}I", *[NULL if leaf is None else len(leaf) for leaf in x]) + b"".join(leaf or b"" for leaf in x) for x in items]
     at, offsets = 4 + 4 * (len(rows) + 1), []
     for r in rows:
         offsets.append(at)
@@ -29,13 +33,13 @@ def packed(items: list[list[bytes]]) -> bytes:
     return struct.pack(f"<{len(rows) + 2}I", len(rows), *offsets, at) + b"".join(rows)
 
 
-def item(data: bytes, i: int, leaves: int) -> list[bytes]:
+def item(data: bytes, i: int, leaves: int) -> list[bytes | None]:
     """The leaves of item i, found by its offset alone."""
     a, b = struct.unpack_from("<2I", data, 4 + 4 * i)
     sizes, at, out = struct.unpack_from(f"<{leaves}I", data, a), a + 4 * leaves, []
     for n in sizes:
-        out.append(data[at : at + n])
-        at += n
+        out.append(None if n == NULL else data[at : at + n])
+        at += 0 if n == NULL else n
     assert at == b
     return out
 
@@ -59,7 +63,7 @@ class _Reader(DataSourceReader):
             data = expand(f.read())
         decode = [codecs.codec(k)[1] for k in keys]
         for i in range(partition.rows):
-            yield tuple(d(x) for d, x in zip(decode, item(data, i, len(keys)), strict=True))
+            yield tuple(None if x is None else d(x) for d, x in zip(decode, item(data, i, len(keys)), strict=True))
 
 
 class _Done(WriterCommitMessage):
@@ -72,6 +76,14 @@ class _Writer(DataSourceWriter):
         self.folder, self.names, self.overwrite = folder, schema.names, overwrite
         self.keys = [KEYS[f.dataType.simpleString()] for f in schema.fields]
         self.compression, self.size = options.get("compression"), int(options.get("chunk_size", 1024))
+        self.run, self.old = uuid.uuid4().hex[:8], []
+        if os.path.exists(there := os.path.join(folder, "index.json")):
+            with open(there) as f:
+                index = json.load(f)
+            config = index["config"]
+            if not overwrite and (config["data_format"], config.get("data_spec"), config["compression"]) != (self.keys, self.names, self.compression):
+                raise ValueError(f"{folder} has another format")
+            self.old = index["chunks"]
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -81,7 +93,7 @@ class _Writer(DataSourceWriter):
         suffix = f".{self.compression.partition(':')[0]}" if self.compression else ""
 
         def close():
-            name = f"chunk-{rank}-{len(made)}{suffix}.bin"
+            name = f"chunk-{self.run}-{rank}-{len(made)}{suffix}.bin"
             data = packed(waiting)
             beside = os.path.join(self.folder, f".{name}.{TaskContext.get().taskAttemptId()}")
             os.makedirs(self.folder, exist_ok=True)
@@ -92,7 +104,7 @@ class _Writer(DataSourceWriter):
             waiting.clear()
 
         for row in rows:
-            waiting.append([e(v) for e, v in zip(encode, row, strict=True)])
+            waiting.append([None if v is None else e(v) for e, v in zip(encode, row, strict=True)])
             if len(waiting) == self.size:
                 close()
         if waiting:
@@ -102,12 +114,16 @@ class _Writer(DataSourceWriter):
     def commit(self, messages):
         made = sorted((c for m in messages if m for c in m.chunks), key=lambda c: (c["rank"], c["number"]))
         os.makedirs(self.folder, exist_ok=True)
-        index = {"chunks": made, "config": {"data_format": self.keys, "data_spec": self.names, "compression": self.compression, "chunk_size": self.size, "chunk_bytes": None, "encryption": None, "item_loader": "pytree"}}
-        with open(os.path.join(self.folder, "index.json"), "w") as f:
-            json.dump(index, f)
+        config = {"data_format": self.keys, "data_spec": self.names, "compression": self.compression, "chunk_size": self.size, "chunk_bytes": None, "encryption": None, "item_loader": "pytree"}
+        index, beside = os.path.join(self.folder, "index.json"), os.path.join(self.folder, f".index-{self.run}")
+        with open(beside, "w") as f:
+            json.dump({"chunks": [*([] if self.overwrite else self.old), *made], "config": config}, f)
+        os.replace(beside, index)
+        for c in self.old if self.overwrite else ():
+            os.remove(os.path.join(self.folder, c["filename"]))
 
     def abort(self, messages):
-        for path in glob.glob(os.path.join(self.folder, ".chunk-*")):
+        for path in [p for shape in (".chunk-", "chunk-") for p in glob.glob(os.path.join(self.folder, f"{shape}{self.run}-*"))]:
             os.remove(path)
 
 

@@ -60,18 +60,27 @@ def _value_bytes(df: DataFrame):
 
 
 def write_chunks(rows: DataFrame, folder: str, chunk_size: int | None, chunk_bytes: int | None, mode: str | None, compression: str | None) -> DataFrame:
-    """Write rows(_worker, _idx, _sub, columns) as Parquet chunks of each worker and the manifest; the table of chunks."""
+    """Write rows(_worker, _idx, _sub, columns) as Parquet chunks of each worker and the manifest; the table of chunks.
+
+    rows are made once, into a staging table of the folder; what numbers, packs and counts them reads that. An overwrite
+    replaces the manifest when the new chunks are whole, and only then are the old ones deleted.
+    """
     from grainmill.operators.packing import by_weight
 
     spark = rows.sparkSession
     there = exists(spark, f"{folder}/{INDEX}")
     if there and mode is None:
         raise ValueError(f"{folder} has a dataset; say append or overwrite")
-    old = read_index(spark, folder) if there and mode == "append" else None
-    if there and mode == "overwrite":
-        fs, p = _path(spark, folder)
-        fs.delete(p, True)
+    before = read_index(spark, folder) if there else None
+    old = before if mode == "append" else None
     names = [c for c in rows.columns if not c.startswith("_")]
+    config = {"data_format": [f"{n}:{t}" for n, t in rows.select(names).dtypes], "compression": compression, "chunk_size": chunk_size, "chunk_bytes": chunk_bytes, "encryption": None, "item_loader": "parquet"}
+    if old and (old["config"]["data_format"] != config["data_format"] or old["config"]["compression"] != compression):
+        raise ValueError("the dataset has another format")
+    run = uuid.uuid4().hex[:8]
+    staging = f"{folder}/_staging-{run}"
+    rows.write.parquet(staging)
+    rows = spark.read.schema(rows.schema).parquet(staging)
     first = {c.get("rank", 0): c["number"] for c in sorted(old["chunks"], key=lambda c: c["number"])} if old else {}
     place = Window.partitionBy("_worker").orderBy("_idx", "_sub")
     ordered = rows.withColumn("_bytes", _value_bytes(rows)).withColumn("_place", F.row_number().over(place).cast("long") - 1)
@@ -82,18 +91,18 @@ def write_chunks(rows: DataFrame, folder: str, chunk_size: int | None, chunk_byt
         packed = ordered.join(numbers, ["_worker", "_place"])
     start = F.create_map(*[F.lit(x) for r, n in first.items() for x in (r, n + 1)])[F.col("_worker")] if first else F.lit(None)
     packed = packed.withColumn("_number", F.col("_number") + F.coalesce(start, F.lit(0)))
-    run = uuid.uuid4().hex[:8]
     target = f"{folder}/run-{run}"
     dealt = packed.repartition("_worker", "_number").sortWithinPartitions("_worker", "_number", "_place")
     writer = dealt.select(*names, "_place", F.col("_worker").alias("rank"), F.col("_number").alias("number")).write
     writer.option("compression", compression or "snappy").partitionBy("rank", "number").parquet(target)
     stats = packed.groupBy("_worker", "_number").agg(F.count("*").alias("n"), F.sum("_bytes").alias("b")).orderBy("_worker", "_number").collect()
-    config = {"data_format": [f"{n}:{t}" for n, t in rows.select(names).dtypes], "compression": compression, "chunk_size": chunk_size, "chunk_bytes": chunk_bytes, "encryption": None, "item_loader": "parquet"}
-    if old and (old["config"]["data_format"] != config["data_format"] or old["config"]["compression"] != compression):
-        raise ValueError("the dataset has another format")
     made = [{"rank": r["_worker"], "number": r["_number"], "filename": f"run-{run}/rank={r['_worker']}/number={r['_number']}", "chunk_size": r["n"], "chunk_bytes": r["b"], "dim": None} for r in stats]
     # By rank and number as numbers; an appended run comes after what is there.
     save_index(spark, folder, {"chunks": [*(old["chunks"] if old else []), *made], "config": config, "updated_at": str(time.time())})
+    gone = {c["filename"].partition("/")[0] for c in before["chunks"]} if mode == "overwrite" and before else set()
+    for name in (f"_staging-{run}", *gone):
+        fs, p = _path(spark, f"{folder}/{name}")
+        fs.delete(p, True)
     return chunks(spark, folder)
 
 

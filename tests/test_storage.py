@@ -87,3 +87,67 @@ def test_sizes():
     assert helpers.bytes_of("64MB") == 64_000_000 and helpers.bytes_of("1.5kb") == 1500
     with pytest.raises(ValueError):
         helpers.bytes_of("12b")
+
+
+def test_chunkbin_modes_and_nulls(spark, tmp_path):
+    chunkbin.register(spark)
+    folder = str(tmp_path / "bin")
+
+    def write(lo, hi, mode, **options):
+        rows = spark.range(lo, hi).selectExpr("id", "if(id % 7 = 0, null, concat('v', id)) v", "cast(null as binary) b", "if(id % 5 = 0, null, id / 2) d")
+        rows.write.format("chunkbin").options(path=folder, chunk_size=30, **options).mode(mode).save()
+
+    def read():
+        return sorted(tuple(r) for r in spark.read.format("chunkbin").option("path", folder).load().collect())
+
+    want = [(i, None if i % 7 == 0 else f"v{i}", None, None if i % 5 == 0 else i / 2) for i in range(200)]
+    write(0, 100, "append")
+    write(100, 150, "append")
+    assert read() == want[:150]
+    with pytest.raises(Exception, match="another format"):
+        write(0, 5, "append", compression="zstd")
+    assert read() == want[:150]
+    write(150, 200, "overwrite")
+    assert read() == want[150:]
+    assert len(list((tmp_path / "bin").glob("chunk-*"))) == len(spark.read.format("chunkbin").option("path", folder).load().rdd.glom().collect())
+
+
+def test_a_function_runs_once_for_a_row(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        calls.add(1)
+        return {"id": row["id"], "big": None if row["id"] % 3 == 0 else (1 << 60) + row["id"]}
+
+    for options in ({"chunk_size": 3}, {"chunk_bytes": 40}):
+        before = calls.value
+        folder = str(tmp_path / next(iter(options)))
+        transform.optimize(spark.range(20).toDF("id"), count, "id long, big long", folder, "id", **options)
+        assert calls.value - before == 20
+        got = sorted((r["id"], r["big"]) for r in manifest.read_rows(spark, folder).collect())
+        assert got == [(i, None if i % 3 == 0 else (1 << 60) + i) for i in range(20)]
+    seen = transform.flat_map(spark.range(4).selectExpr("id", "if(id = 1, null, id + (1L << 60)) x"), lambda row: {"kind": type(row["x"]).__name__, "x": row["x"]}, "kind string, x long").collect()
+    assert sorted((r["kind"], r["x"]) for r in seen if r["x"] is not None) == [("int", (1 << 60) + i) for i in (0, 2, 3)]
+    assert [r["kind"] for r in seen if r["x"] is None] == ["NoneType"]
+
+
+def test_overwrite_of_what_is_read(spark, tmp_path):
+    folder = str(tmp_path / "o")
+    transform.optimize(spark.range(10).toDF("id"), same, "id long", folder, "id", chunk_size=4)
+    rows = manifest.read_rows(spark, folder).selectExpr("id + 100 id")
+    transform.optimize(rows, same, "id long", folder, "id", chunk_size=5, mode="overwrite")
+    assert sorted(r["id"] for r in manifest.read_rows(spark, folder).collect()) == list(range(100, 110))
+    assert len([p for p in (tmp_path / "o").iterdir() if p.is_dir()]) == 1
+
+    def fails(row):
+        raise ValueError("no")
+
+    with pytest.raises(Exception):
+        transform.optimize(spark.range(3).toDF("id"), fails, "id long", folder, "id", chunk_size=5, mode="overwrite")
+    assert manifest.read_rows(spark, folder).count() == 10
+
+
+def test_dtype_codes():
+    """Fixed values of the format."""
+    assert [helpers.TORCH_DTYPES[i] for i in (9, 10, 11, 13, 17, 19)] == ["half", "bfloat16", "uint8", "int16", "int64", "bool"]
+    assert [helpers.NUMPY_DTYPES[i] for i in (0, 4, 10, 13)] == ["int8", "uint8", "float64", "bool"]
