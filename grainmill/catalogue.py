@@ -147,13 +147,8 @@ def q_sequential_split(spark, d):
     return packing.split_evenly(rows, 7).groupBy("worker").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-def q_lpt(spark, d):
-    parts = _t(spark, d, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
-    return packing.balanced(parts, "p_size", 4, "p_partkey").select("p_partkey", "bin")
-
-
 def q_lpt_whole(spark, d):
-    """q_lpt over all parts."""
+    """All parts in four bins of equal weight."""
     return packing.balanced(_t(spark, d, "part").select("p_partkey", "p_size"), "p_size", 4, "p_partkey").select("p_partkey", "bin")
 
 
@@ -498,7 +493,6 @@ def oracle_sql() -> dict[str, str]:
         "q_token_blocks": "with t as (select lang, doc_id, unnest(string_split(text, ' ')) tok, generate_subscripts(string_split(text, ' '), 1) i from documents), p as (select lang chunk, tok, row_number() over (partition by lang order by doc_id, i) - 1 p from t) select chunk, p // 128 block, md5(string_agg(tok, ' ' order by p)) digest from p group by chunk, p // 128 having count(*) = 128",
         "q_out_of_order": "select l_orderkey % 1000 idx, count(*) n from lineitem group by 1 having count(*) > 1",
         "q_sequential_split": f"with {DOCS}, n as (select count(*) n from d), s as (select doc_id, case when idx < (7 - n % 7) * (n // 7) then idx // (n // 7) else 7 - n % 7 + (idx - (7 - n % 7) * (n // 7)) // (n // 7 + 1) end worker from d, n) select worker::bigint worker, count(*) n, min(doc_id) first from s group by worker",
-        "q_lpt": "with recursive i as (select p_partkey, p_size, row_number() over (order by p_size desc, p_partkey) rn from part where p_partkey <= 60), r as (select 0::bigint rn, 0::bigint k, 0::bigint bin, [0, 0, 0, 0]::bigint[] t union all select i.rn, i.p_partkey, list_position(r.t, list_min(r.t)) - 1, list_transform(r.t, lambda x, j: case when j = list_position(r.t, list_min(r.t)) then x + i.p_size else x end) from r join i on i.rn = r.rn + 1) select k p_partkey, bin from r where rn > 0",
         "q_lpt_whole": "with recursive i as (select p_partkey, p_size, row_number() over (order by p_size desc, p_partkey) rn from part), r as (select 0::bigint rn, 0::bigint k, 0::bigint bin, [0, 0, 0, 0]::bigint[] t union all select i.rn, i.p_partkey, list_position(r.t, list_min(r.t)) - 1, list_transform(r.t, lambda x, j: case when j = list_position(r.t, list_min(r.t)) then x + i.p_size else x end) from r join i on i.rn = r.rn + 1) select k p_partkey, bin from r where rn > 0",
         "q_batch_inputs": "with s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 i from supplier) select i // 8 batch, count(*) n, string_agg(s_suppkey::varchar, ',' order by i) keys from s group by 1",
         "q_is_last": f"with {DOCS} select g::bigint worker, doc_id from d, (select count(*) n from d), range(5) r(g) where idx = (g + 1) * (n // 5) + greatest(0, g + 1 - (5 - n % 5)) - 1",
