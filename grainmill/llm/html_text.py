@@ -5,7 +5,8 @@ element two things vary from page to page: its presentation, the tags of its chi
 text below it. The importance of an element is composed of the entropy of its presentations and of how little its
 contents repeat; branches that look and read alike on many pages of a host are furniture and are taken out of each page.
 What HTML itself declares (menus, footers, asides, forms, adverts and comments by tag, role or class) has no importance
-on any page; the element `article`, else `main`, has all of it where a page has one.
+on any page; the element `article`, else `main`, has all of it where a page has one, unless main has MUCH more text beside
+its articles. A class or a form is a weak sign: a page that has no other text keeps what only such signs would take.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from grainmill.llm._common import ship, table
 
 #: A branch goes if it is on MIN_PAGES different pages of the host or more, and its importance is below LEAST.
 MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
+#: Times the text of its articles that main has beside them, and characters at least, to count as the page's text itself.
+MUCH, MUCH_CHARS = 4, 500
 #: Furniture paths up to this number are broadcast (8 bytes each); more are joined by host.
 BROADCAST_PATHS = 2_000_000
 
@@ -50,17 +53,22 @@ RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"']++)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=>"'/]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Raw elements that stand in running text: what is before and after them is one block. (A drawing is a block of its own.)
+IN_TEXT = RAW - {"title", "head", "svg"}
+#: Furniture by tag that can also be around a page's text.
+WEAK_TAGS = {"form", "fieldset"}
 RAW_TAG = {tag: re.compile(rf"<(/?){tag}(?![a-z0-9:-])((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>", re.I) for tag in RAW}
 RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "furniture", "place", "children", "fixed")
+    __slots__ = ("tag", "path", "furniture", "strong", "place", "children", "fixed")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, furniture: bool):
+    def __init__(self, tag: str, label: str, parent: Element | None, furniture: bool, strong: bool = True):
         self.tag = tag
         self.path = zlib.crc32(label.encode(), parent.path if parent else 0) | (zlib.adler32(label.encode(), (parent.path >> 32 if parent else 1) or 1) << 32)
         self.furniture = furniture or (parent is not None and parent.furniture)
+        self.strong = (furniture and strong) or (parent is not None and parent.strong)
         self.place = 2 if tag == "article" else max(parent.place if parent else 0, 1 if tag == "main" else 0)
         self.children: list[str] = []
         self.fixed = tag in WHOLE or (self.place > 0 and tag in RUNNING and label == ">" + tag)
@@ -75,17 +83,21 @@ def _words(attributes: dict[str, str]) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()) if w]
 
 
-def _is_furniture(tag: str, attributes: dict[str, str], parent: Element | None) -> bool:
-    if tag in FURNITURE_TAGS or attributes.get("role", "").lower() in FURNITURE_ROLES:
+def _is_furniture(tag: str, attributes: dict[str, str], parent: Element | None) -> tuple[bool, bool]:
+    """Whether an element is declared to be furniture, and whether by more than its class, its id or by being a form."""
+    strong = _is_strong(tag, attributes, parent)
+    words = set(_words(attributes))
+    if tag in WHOLE:
+        return strong or (tag == "article" and bool(words & {"comment", "comments", "reply"})), strong or tag == "article"
+    return strong or tag in WEAK_TAGS or (tag != "header" and bool(words & FURNITURE_WORDS)), strong
+
+
+def _is_strong(tag: str, attributes: dict[str, str], parent: Element | None) -> bool:
+    if (tag in FURNITURE_TAGS and tag not in WEAK_TAGS) or attributes.get("role", "").lower() in FURNITURE_ROLES:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    if tag == "header":
-        return not (parent and parent.place)
-    words = _words(attributes)
-    if tag in WHOLE:
-        return tag == "article" and any(w in ("comment", "comments", "reply") for w in words)
-    return any(w in FURNITURE_WORDS for w in words)
+    return tag == "header" and not (parent and parent.place)
 
 
 def _behind(page: str, tag: str, at: int) -> int:
@@ -127,6 +139,9 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
             if tag in SPACED:
                 text.append(" ")
             continue
+        if tag in IN_TEXT:
+            at = at if closing else _behind(page, tag, at)
+            continue
         flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -139,7 +154,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
             at = end.end() if end else at
             continue
         if tag in RAW:
-            at = at if tag == "svg" and rest.rstrip().endswith("/") else _behind(page, tag, at)
+            at = at if rest.rstrip().endswith("/") else _behind(page, tag, at)
             continue
         if tag in VOID:
             continue
@@ -159,7 +174,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
         attributes = _attributes(rest)
         parent = stack[-1] if stack else None
         label = ">" + ".".join([tag, *sorted(set(_words(attributes)))])
-        element = Element(tag, label, parent, _is_furniture(tag, attributes, parent))
+        element = Element(tag, label, parent, *_is_furniture(tag, attributes, parent))
         if parent:
             parent.children.append(label)
         elements.append(element)
@@ -177,10 +192,15 @@ def main_text(page: str | None, host_key: int, furniture) -> str:
         return ""
     found, _ = blocks(page)
     named = [(t, a) for t, a in found if not (a and a[-1].furniture)]
+    if not named:  # all of it is in a form, or in an element of a telling class
+        named = [(t, a) for t, a in found if not (a and a[-1].strong)]
     rows = [(t, a) for t, a in named if not any(_key(host_key, e.path) in furniture for e in a if not e.fixed)] if furniture else named
     rows = rows or named  # a site of one repeated text still has that text
-    most = max((a[-1].place if a else 0 for _, a in rows), default=0)
-    return "\n\n".join(t for t, a in rows if (a[-1].place if a else 0) == most)
+    size = [sum(len(t) for t, a in rows if (a[-1].place if a else 0) == place) for place in range(3)]
+    most = 2 if size[2] else 1 if size[1] else 0
+    if most == 2 and size[1] > max(MUCH * size[2], MUCH_CHARS):  # an article that is only a teaser
+        most = 1
+    return "\n\n".join(t for t, a in rows if (a[-1].place if a else 0) >= most)
 
 
 def _key(host_key: int, path: int) -> int:

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from grainmill.llm import html_text, url_filter
 
@@ -61,3 +62,22 @@ def test_aliases(spark):
         assert got[7] == got[8] == ("allow", "alias", None)  # an allowed member outweighs a blocked one
     assert {r["verdict"] for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
     assert url_filter.filter_urls(df.limit(0), url_filter.RULES).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>body</p></article></div>', "body"),
+        ('<article><div class="elementor-widget-container"><p>body</p></div></article>', "body"),
+        ("<form><div><p>one</p><p>two</p></div></form>", "one\n\ntwo"),
+        ("<main><p>" + "long text " * 100 + "</p><article class=teaser>see also</article></main>", "long text " * 99 + "long text\n\nsee also"),
+        ("<main><p>short</p><article>the article</article></main>", "the article"),
+        ("<p>Let <script>x</script>it<select><option>1</select> be</p>", "Let it be"),
+        ("<article><p>a</p><svg class=i /><p>b</p><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p></article><form>name</form><nav>menu</nav>", "a"),
+        ("<nav>menu</nav><footer>foot</footer>", ""),
+        ("<article><p>" + "word " * 200_000 + "</p></article>", ("word " * 200_000).strip()),
+    ],
+)
+def test_weak_signs(page, text):
+    assert html_text.main_text(page, 1, frozenset()) == text
