@@ -31,10 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or under an own folder where that is unset."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or under an own folder where that is unset.
+
+    Raises RuntimeError where it is unset and executors are on other machines: what they wrote there would be missed silently.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="grainmill-"))
         base = sc.getCheckpointDir()
     folder = f"{base.rstrip('/')}/grainmill-{uuid.uuid4().hex}"
