@@ -5,8 +5,8 @@ to stay as near to "every document once" as the targets allow: they minimise sum
 sum of r_i size_i = target_s for each source, and r_i <= cap. The dual has one variable a source; its solution is
 exponentially tilted, r_i = min(cap, exp(lambda_s * size_i / mean size of s)). All sources' Newton steps are taken at
 once by sums over (source, size, count) rows. The rates become whole copies by one shift a source of hashed uniform
-numbers, found by two rounds of binned weighted sums; then a few documents a source are turned the other way, so that
-the words taken meet the target up to a few words where the source has documents enough.
+numbers, found by two rounds of binned weighted sums; then documents of a source are turned the other way, one in each
+round, until none would bring the words taken nearer to the target.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from grainmill.llm._common import Workspace, small_side, words_of
 TOLERANCE, ROUNDS = 1e-10, 60
 #: Bins of each of the two rounds that place a source's rounding shift.
 BINS = 4096
-#: Documents a source whose rounding is turned to meet the target more closely.
-FLIPS = 6
+#: Documents a source whose rounding is turned to meet the target more closely, at most. The shift leaves a source less
+#: than one document off, so large sources are done after a few rounds; small ones with a few long texts need more.
+FLIPS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -89,9 +90,9 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def _threshold(size: Column, rate: Column, u: Column) -> Column:
-    """The shift at which a document gets its next copy: u + shift >= 1 - (rate - floor(rate)). Null if it has no words."""
-    return F.when(size > 0, 1.0 - (rate - F.floor(rate)) - u)
+def _threshold(size: Column, rate: Column, u: Column, cap: float) -> Column:
+    """The shift at which a document gets its next copy: u + shift >= 1 - (rate - floor(rate)). Null if it has no words, or cannot get one more."""
+    return F.when((size > 0) & (F.floor(rate) < int(cap)), 1.0 - (rate - F.floor(rate)) - u)
 
 
 def _copies(rate: Column, threshold: Column, shift: Column, flipped: Column, cap: float) -> Column:
@@ -102,12 +103,13 @@ def _copies(rate: Column, threshold: Column, shift: Column, flipped: Column, cap
 def flip_best(rows: DataFrame, plan: DataFrame, n_sources: int, cap: float, work: Workspace) -> DataFrame:
     """plan with flips, up to FLIPS hashes of documents whose rounding is turned the other way, and got brought up to date.
 
-    Each time it is the document whose gained or lost copy brings the words of its source nearest to the target, if any does.
+    Each time it is the document whose gained or lost copy brings the words of its source nearest to the target, if any
+    does. A source without one in a round has none later; the rounds end when no source has one.
     """
     plan = plan.withColumn("flips", F.array().cast("array<double>"))
     for i in range(FLIPS):
-        now = small_side(plan.select("sid", "shift", "flips", (F.col("target") - F.col("got")).alias("rest")), n_sources, 64)
-        free = rows.where(F.col("threshold").isNotNull() & (F.col("rate") < cap)).join(now, "sid").where(~F.array_contains("flips", F.col("u")))
+        now = small_side(plan.where(F.size("flips") == i).select("sid", "shift", "flips", (F.col("target") - F.col("got")).alias("rest")), n_sources, 64 + 8 * i)
+        free = rows.where("threshold is not null").join(now, "sid").where(~F.array_contains("flips", F.col("u")))
         change = F.when(F.col("threshold") < F.col("shift"), -F.col("size")).otherwise(F.col("size"))
         left = F.abs(F.col("rest") - change)
         best = free.where(left < F.abs(F.col("rest"))).groupBy("sid").agg(F.min(F.struct(left.alias("left"), change.alias("change"), "u")).alias("x"))
@@ -116,6 +118,8 @@ def flip_best(rows: DataFrame, plan: DataFrame, n_sources: int, cap: float, work
         plan = plan.withColumn("flips", F.when(F.col("u").isNull(), F.col("flips")).otherwise(F.concat("flips", F.array("u"))))
         plan = plan.withColumn("got", F.col("got") + F.coalesce("change", F.lit(0))).drop("_sid", "change", "u")
         plan = work.stored(plan, f"flips-{i}")
+        if (plan.agg(F.max(F.size("flips"))).first()[0] or 0) <= i:
+            break
     return plan
 
 
@@ -168,16 +172,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     names = small_side(plan.select("sid", F.col("source").alias("_source"), "mean", "lam"), n_sources, 200)
     rate = _rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
     rows = sizes.join(names, sizes["source"].eqNullSafe(F.col("_source"))).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(1.0))
-    rows = rows.select("sid", "size", "rate", "u", _threshold(F.col("size"), F.col("rate"), F.col("u")).alias("threshold"))
+    rows = rows.select("sid", "size", "rate", "u", _threshold(F.col("size"), F.col("rate"), F.col("u"), cap).alias("threshold"))
     plan = flip_best(rows, place_shifts(rows, plan, n_sources, work), n_sources, cap, work)
     fact = F.struct(F.col("source").alias("name"), "source_size", "target", "mean", "lam", "shift", "flips")
-    facts = small_side(plan.select(fact.alias("_fact")), n_sources, 200)
+    facts = small_side(plan.select(fact.alias("_fact")), n_sources, 200 + 8 * FLIPS)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = out.withColumn("_size", words_of(F.col("row.text"))).withColumn("_u", _uniform(F.lit(8), F.col("row.doc_id"), F.col("row.text")))
     out = out.join(facts, F.col("row.source").cast("string").eqNullSafe(F.col("_fact.name")))
     rate = _rate(F.col("_fact.lam"), F.col("_size"), F.col("_fact.mean"), cap)
     out = out.withColumn("_rate", F.when(F.col("_size") > 0, rate).otherwise(1.0))
-    copies = _copies(F.col("_rate"), _threshold(F.col("_size"), F.col("_rate"), F.col("_u")), F.col("_fact.shift"), F.array_contains("_fact.flips", F.col("_u")), cap)
+    copies = _copies(F.col("_rate"), _threshold(F.col("_size"), F.col("_rate"), F.col("_u"), cap), F.col("_fact.shift"), F.array_contains("_fact.flips", F.col("_u")), cap)
     out = out.withColumn("_copies", copies)
     result = F.struct(F.col("_size").alias("size"), F.col("_fact.source_size").alias("source_size"), F.col("_fact.target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
     return out.select("row", result.alias("mix"))

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -114,6 +115,23 @@ def test_mixing(spark):
     assert mixing.mix(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_mixing_of_small_sources_with_long_texts(spark):
+    """Sources of 20 documents, a few of them long and at the cap: no document's other rounding would come nearer to the target."""
+    rng = random.Random(5)
+    sizes = [(s, rng.choice([1500, 2500, 4000]) if i % 10 == 0 else rng.randint(20, 160)) for s in range(4) for i in range(20)]
+    rows = [(i, " ".join(["w"] * n), f"s{s:02}") for i, (s, n) in enumerate(sizes)]
+    got = mixing.mix(documents(spark, rows)).select("row.source", "mix.*").collect()
+    assert any(r["rate"] == 2 for r in got)
+    for source in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == source]
+        rest = own[0]["target"] - sum(r["taken"] for r in own)
+        assert abs(rest) < 0.05 * own[0]["target"]
+        for r in own:
+            if r["rate"] < 2:
+                change = r["size"] if r["copies"] == math.floor(r["rate"]) else -r["size"]
+                assert abs(rest - change) >= abs(rest)
+
+
 def test_fingerprints_of_edits(spark):
     rows = [(5, "x\ny\nz w v u t"), (5, "x\ny\nz w v u t"), (7, ""), (9, None), (11, "z w v u t\nx\ny"), (12, "é" * 9), (None, "first"), (20, "long line " * 3000)]
     got = fingerprint.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
