@@ -83,6 +83,13 @@ def reshuffled_in_nodes(plan: DataFrame, seed: int, epoch: int, workers_per_node
     return each.select("node", "chunk", (F.row_number().over(Window.partitionBy("node").orderBy(shuffle_key(seed, epoch, F.col("chunk")), "chunk")).cast("long") - 1).alias("ord"))
 
 
+def node_regions(plan: DataFrame, workers_per_node: int) -> DataFrame:
+    """(node, chunk, roi_start, roi_end): the rows of a chunk that a node reads. A node's share is an interval of the row
+    order, so they are one run; where two nodes share a chunk, each has its own."""
+    node = F.floor(F.col("w") / workers_per_node).cast("long")
+    return plan.groupBy(node.alias("node"), "chunk").agg(F.min("start").alias("roi_start"), F.max("end").alias("roi_end"))
+
+
 def plan(chunks: DataFrame, world_size: int, num_workers: int, batch_size: int = 1, drop_last: bool | None = None, shuffle: bool = False, seed: int = 42, epoch: int = 1, num_nodes: int = 1) -> DataFrame:
     """The plan of an epoch for chunks(chunk, size[, roi_start, roi_end])."""
     rows = shuffled(chunks, seed, epoch, num_nodes) if shuffle else chunks
@@ -91,8 +98,8 @@ def plan(chunks: DataFrame, world_size: int, num_workers: int, batch_size: int =
     if not (shuffle and num_nodes > 1 and epoch > 1):
         return first
     per_node = world_size * num_workers // num_nodes
-    again = reshuffled_in_nodes(first, seed, epoch, per_node)
-    joined = rows.drop("ord").join(again, "chunk")
+    again = reshuffled_in_nodes(first, seed, epoch, per_node).join(node_regions(first, per_node), ["node", "chunk"])
+    joined = rows.drop("ord", "roi_start", "roi_end").join(again, "chunk")
     spans = intervals(joined.withColumn("chunk_order", F.col("node") * (1 << 40) + F.col("ord")), ["chunk_order"])
     return assign(spans, budgets(spans, world_size, num_workers, batch_size, drop_last))
 

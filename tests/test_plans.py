@@ -55,6 +55,26 @@ def test_node_shuffle_lists_a_chunk_once(spark):
     assert sum(r["n"] for r in planner.lengths(plan).collect()) <= 63 + 7
 
 
+@pytest.mark.parametrize(("sizes", "nodes", "drop", "missing"), [([10] * 9, 2, True, 2), ([10] * 9, 2, False, 0), ([7, 1, 30, 2, 11], 4, False, 0)])
+def test_node_shuffle_reads_a_row_once(spark, sizes, nodes, drop, missing):
+    """Chunks that nodes share are read in parts, in every epoch the same rows by the same node."""
+
+    def read(epoch):
+        plan = planner.plan(chunks(spark, sizes), 4, 2, drop_last=drop, shuffle=True, num_nodes=nodes, epoch=epoch)
+        return [(r["w"] * nodes // 8, r["chunk"], i) for r in plan.collect() for i in range(r["start"], r["end"])]
+
+    first, third = read(1), read(3)
+    assert len(third) == len({x[1:] for x in third}) == sum(sizes) - missing
+    assert sorted(first) == sorted(third)
+
+
+def test_node_shuffle_keeps_regions(spark):
+    rows = [(i, 10, 2, 9) for i in range(9)]
+    table = spark.createDataFrame(rows, "chunk long, size long, roi_start long, roi_end long")
+    plan = planner.plan(table, 4, 2, drop_last=False, shuffle=True, num_nodes=2, epoch=3).collect()
+    assert sorted((r["chunk"], i) for r in plan for i in range(r["start"], r["end"])) == [(c, i) for c in range(9) for i in range(2, 9)]
+
+
 def test_epochs_permute_and_cover(spark):
     orders = [[r["chunk"] for r in planner.shuffled(chunks(spark, [3] * 20), 1, e).orderBy("ord").collect()] for e in (1, 2)]
     assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1]) == list(range(20))
