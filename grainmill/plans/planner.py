@@ -1,7 +1,7 @@
 """Read plans: which rows of which chunks each worker of each rank reads, and in what order.
 
 All of it is relational, on the small table of chunks: a worker's share of the global row order is an interval, and so is
-a chunk; the plan is the join of intervals that overlap. Windows without partitions here run over chunks or workers only.
+a chunk; a plan is made in one run over the ends of both. Windows without partitions here run over chunks or workers only.
 """
 
 from __future__ import annotations
@@ -61,11 +61,16 @@ def assign(spans: DataFrame, shares: DataFrame) -> DataFrame:
 
     Empty chunks and workers have no rows to overlap in; they do not join.
     """
-    c, b = spans.where("lo < hi"), shares.where("blo < bhi")
-    met = F.broadcast(b).join(c, (c["lo"] < b["bhi"]) & (c["hi"] > b["blo"]))
-    start = F.greatest("lo", "blo") - F.col("lo") + F.col("roi_start")
+    held = spans.where("lo < hi").select(F.col("lo").alias("at"), F.struct("chunk", "lo", "hi", "roi_start").alias("c"))
+    due = shares.where("blo < bhi").select(F.col("blo").alias("at"), F.struct("rank", "worker", "w", "bhi").alias("b"))
+    # Both rows of intervals are in order and without gaps: wherever one of either kind begins, a piece of a plan begins.
+    ends = held.unionByName(due, allowMissingColumns=True).groupBy("at").agg(F.first("c", ignorenulls=True).alias("c"), F.first("b", ignorenulls=True).alias("b"))
+    run = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.select("at", F.last("c", ignorenulls=True).over(run).alias("c"), F.last("b", ignorenulls=True).over(run).alias("b"))
+    met = met.where((F.col("at") < F.col("c.hi")) & (F.col("at") < F.col("b.bhi"))).select("at", "c.*", "b.*")
+    start = F.col("at") - F.col("lo") + F.col("roi_start")
     end = F.least("hi", "bhi") - F.col("lo") + F.col("roi_start")
-    pos = F.row_number().over(Window.partitionBy("w").orderBy("lo")).cast("long") - 1
+    pos = F.row_number().over(Window.partitionBy("w").orderBy("at")).cast("long") - 1
     return met.select("rank", "worker", "w", "chunk", pos.alias("pos"), start.cast("long").alias("start"), end.cast("long").alias("end"))
 
 
