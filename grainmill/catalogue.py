@@ -12,7 +12,7 @@ from grainmill.functions import codecs, helpers
 from grainmill.functions.shipping import ship
 from grainmill.operators import combining, packing, sampling, transform
 from grainmill.plans import index, planner
-from grainmill.sources import chunkbin, manifest, tokens
+from grainmill.sources import chunkbin, manifest, readers, tokens
 from grainmill.streaming import ingest, loader
 
 CHUNK = 64
@@ -108,6 +108,25 @@ def q_walk(spark, d):
     return manifest.walk(spark, folder).where("path like '%.parquet'").agg(F.count("*").alias("files"))
 
 
+def q_pieces(spark, d):
+    return readers.pieces(spark, f"{d}/documents.parquet", 150).select("start", "end")
+
+
+def q_reshard(spark, d):
+    source, folder = _scratch(spark), _scratch(spark)
+    _t(spark, d, "nation").orderBy("n_nationkey").coalesce(1).write.parquet(source)
+    readers.reshard(spark, source, folder, 10)
+    return spark.read.parquet(folder).withColumn("piece", F.regexp_extract("piece", r"^(\d+_\d+)_", 1)).groupBy("piece").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("keys"))
+
+
+def q_file_weights(spark, d):
+    folder = _scratch(spark)
+    _t(spark, d, "region").select("r_regionkey", "r_name").repartition("r_regionkey").write.partitionBy("r_regionkey").text(folder)
+    files = manifest.walk(spark, folder).withColumn("r_regionkey", F.regexp_extract("path", r"r_regionkey=(\d+)", 1).cast("long"))
+    inputs = files.where("path like '%.txt'").select("r_regionkey", "path")
+    return readers.file_weights(inputs, ["path"], files.select("path", "length"), "r_regionkey").select("r_regionkey", "weight")
+
+
 # Packing
 
 
@@ -359,6 +378,14 @@ def q_resume(spark, d):
     return loader.resumed(_read(spark, d), 100, 3, 16).select("w", "rn", "doc_id")
 
 
+def q_resume_batches(spark, d):
+    return loader.going_on(_read(spark, d), 70, 3, 16).select("batch", "turn", "w", "rn", "doc_id")
+
+
+def q_collate(spark, d):
+    return loader.collated(loader.batches(_read(spark, d), 16), ["doc_id", "lang"], lambda _, a: F.array_join(a, " "))
+
+
 # Helpers, codecs, round trips
 
 
@@ -487,6 +514,9 @@ def oracle_sql() -> dict[str, str]:
         "q_parquet_index": "select count(*) n_rows, 1::bigint files from orders",
         "q_parquet_glob": "select count(*)::bigint n_rows from nation",
         "q_walk": "select 1::bigint files",
+        "q_pieces": "select s::bigint as start, least(s + 150, n)::bigint as end from (select count(*) n from documents) t, range(0, 100000000, 150) r(s) where s < n",
+        "q_reshard": "select k || '_' || least(k + 10, 25) piece, count(*) n, sum(n_nationkey)::bigint keys from (select *, (row_number() over (order by n_nationkey) - 1) // 10 * 10 k from nation) t group by k",
+        "q_file_weights": "select r_regionkey::bigint r_regionkey, strlen(r_name) + 1 weight from region",
         "q_chunk_count": f"with {DOCS} select chunk, count(*) n, min(doc_id) first, max(doc_id) last from c group by chunk",
         "q_chunk_bytes": _greedy_sql("strlen(text)", 20_000),
         "q_chunk_tokens": _greedy_sql("len(string_split(text, ' '))", 2_048),
@@ -529,6 +559,8 @@ def oracle_sql() -> dict[str, str]:
         "q_replay": "select n, w worker, (n // 20) * 5 + least(5, greatest(0, n % 20 - w * 5)) used from range(60) a(n), range(4) b(w)",
         "q_chunk_cursor": f"with {DOCS}, {_plan_sql(1, 3, 1, True)}, s2 as (select *, sum(e - s) over (partition by w order by pos) - (e - s) a, sum(e - s) over (partition by w order by pos) b, w * 40 + 70 n from plan) select w, pos, chunk, (n - a)::bigint as offset from s2 where a <= n and n < b",
         "q_resume": read + " select w, rn, doc_id from rr where rn > (100 // 48) * 16 + least(16, greatest(0, 100 % 48 - wk * 16))",
+        "q_resume_batches": read + ", l as (select *, (rn - 1) // 16 lb from rr), b as (select *, dense_rank() over (order by lb, w) - 1 g from l) select g - 4 batch, (w + 2) % 3 turn, w, rn, doc_id from b where g > 4 or (g = 4 and (rn - 1) % 16 >= 6)",
+        "q_collate": read + ", l as (select *, (rn - 1) // 16 lb from rr), b as (select *, dense_rank() over (order by lb, w) - 1 batch from l) select batch, count(*) n, string_agg(b.doc_id::varchar, ' ' order by rn) doc_id, string_agg(c.lang, ' ' order by rn) lang from b join c on b.doc_id = c.doc_id group by batch",
         "q_bytes_of": "select * from (values ('64MB', 64000000::bigint), ('1.5gb', 1500000000), ('10 kb', 10000), ('2TB', 2000000000000), ('12b', null), ('x', null)) v(s, n)",
         "q_human_bytes": "select doc_id, case when n_chars < 1000 then printf('%d.0 B', n_chars) else printf('%d.%d KB', (n_chars + 50) // 1000, ((n_chars + 50) // 100) % 10) end h from documents",
         "q_file_names": "select * from (values ('chunk-3-14.bin', 3::bigint, 14::bigint, 'chunk-3-14.bin'), ('chunk-0-2.zstd.bin', 0, 2, 'chunk-0-2.zstd.bin'), ('checkpoint-0-123e4567-e89b-12d3-a456-426614174000.json', null, null, 'checkpoint-0.json'), ('index.json', null, null, 'index.json')) v(s, r, i, plain)",

@@ -15,6 +15,9 @@ from grainmill.operators.sampling import first_rows
 from grainmill.plans.index import with_position
 
 TRIAL_ROWS = 10
+#: Lots of inputs that a run with a checkpoint ends one after the other.
+LOTS = 16
+CHECKPOINT = "_checkpoint"
 
 
 def flat_map(df: DataFrame, fn: Callable, schema: str, skip_errors: bool = False) -> DataFrame:
@@ -57,11 +60,13 @@ def with_last(inputs: DataFrame, worker: str = "worker", order: str = "idx") ->
     return inputs.withColumn("is_last", F.lead(order).over(Window.partitionBy(worker).orderBy(order)).isNull())
 
 
-def optimize(inputs: DataFrame, fn: Callable, schema: str, output: str, order: str, chunk_size: int | None = None, chunk_bytes: int | str | None = None, workers: int = 1, weight: str | None = None, mode: str | None = None, fast_dev_run: bool | int = False, batch_size: int | None = None, compression: str | None = None) -> DataFrame:
+def optimize(inputs: DataFrame, fn: Callable, schema: str, output: str, order: str, chunk_size: int | None = None, chunk_bytes: int | str | None = None, workers: int = 1, weight: str | None = None, mode: str | None = None, fast_dev_run: bool | int = False, batch_size: int | None = None, compression: str | None = None, use_checkpoint: bool = False) -> DataFrame:
     """Apply fn to the inputs and write its rows as chunks with a manifest; the table of chunks.
 
     Workers have consecutive shares of the inputs, or shares of equal weight. A chunk has up to chunk_size rows, or up
     to chunk_bytes bytes of values; one of the two must be given. mode: None (the output must not be there), append, overwrite.
+    With use_checkpoint, what fn made of a lot of inputs stays in the output's folder until the manifest is there, and a
+    run of the same inputs and workers that follows a lost one goes on with the next lot.
     """
     from grainmill.functions.helpers import bytes_of
     from grainmill.sources import manifest
@@ -77,9 +82,38 @@ def optimize(inputs: DataFrame, fn: Callable, schema: str, output: str, order: s
         rows = first_rows(rows, TRIAL_ROWS if fast_dev_run is True else int(fast_dev_run), "worker", "idx")
     if batch_size:
         rows = batched(rows, batch_size).withColumn("idx", F.col("batch")).withColumn("worker", F.col("items")[0]["worker"])
-    made = _numbered(rows, fn, schema)
     limit = bytes_of(chunk_bytes) if isinstance(chunk_bytes, str) else chunk_bytes
-    return manifest.write_chunks(made, output, chunk_size, limit, mode, compression)
+    if not use_checkpoint:
+        return manifest.write_chunks(_numbered(rows, fn, schema), output, chunk_size, limit, mode, compression)
+    if mode is None and manifest.exists(rows.sparkSession, f"{output}/{manifest.INDEX}"):
+        raise ValueError(f"{output} has a dataset; say append or overwrite")
+    made = _lot_by_lot(rows, fn, schema, f"{output}/{CHECKPOINT}")
+    table = manifest.write_chunks(made, output, chunk_size, limit, mode, compression)
+    manifest.remove(rows.sparkSession, f"{output}/{CHECKPOINT}")
+    return table
+
+
+def _lot_by_lot(rows: DataFrame, fn: Callable, schema: str, folder: str) -> DataFrame:
+    """fn's rows of all lots of rows(idx, worker, ...), from files; lots that folder has whole are not made again."""
+    from grainmill.sources import manifest
+
+    spark = rows.sparkSession
+    n, last, digest = rows.agg(F.count("*"), F.max("idx"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)"))).first()
+    now = {"schema": schema, "inputs": [str(n), str(last), str(digest)]}
+    if manifest.exists(spark, f"{folder}/{manifest.INDEX}"):
+        if manifest.read_index(spark, folder) != now:
+            raise ValueError(f"{folder} is of other inputs or workers")
+    else:
+        rows.withColumn("_lot", F.floor(F.col("idx") * LOTS / (last + 1)).cast("int")).write.mode("overwrite").partitionBy("_lot").parquet(f"{folder}/inputs")
+        manifest.save_index(spark, folder, now)
+    ended = []
+    for i in range(LOTS):
+        if not manifest.exists(spark, f"{folder}/inputs/_lot={i}"):
+            continue
+        ended.append(f"{folder}/made-{i}")
+        if not manifest.exists(spark, f"{ended[-1]}/_SUCCESS"):
+            _numbered(spark.read.schema(rows.schema).parquet(f"{folder}/inputs/_lot={i}"), fn, schema).write.mode("overwrite").parquet(ended[-1])
+    return spark.read.schema(f"{schema}, _worker long, _idx long, _sub long").parquet(*ended)
 
 
 def _numbered(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:

@@ -27,6 +27,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def read_index(spark: SparkSession, folder: str) -> dict:
     text = spark.read.text(f"{folder}/{INDEX}", wholetext=True).first()
     return json.loads(text[0])
@@ -101,8 +106,7 @@ def write_chunks(rows: DataFrame, folder: str, chunk_size: int | None, chunk_byt
     save_index(spark, folder, {"chunks": [*(old["chunks"] if old else []), *made], "config": config, "updated_at": str(time.time())})
     gone = {c["filename"].partition("/")[0] for c in before["chunks"]} if mode == "overwrite" and before else set()
     for name in (f"_staging-{run}", *gone):
-        fs, p = _path(spark, f"{folder}/{name}")
-        fs.delete(p, True)
+        remove(spark, f"{folder}/{name}")
     return chunks(spark, folder)
 
 
@@ -164,5 +168,5 @@ def index_parquet(spark: SparkSession, path: str, glob: str | None = None) -> Da
 
 
 def walk(spark: SparkSession, folder: str) -> DataFrame:
-    """path and length of every file under folder; contents are not read."""
+    """path and length of every file under folder that is not empty; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")

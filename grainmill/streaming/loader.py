@@ -44,6 +44,29 @@ def resumed(rows: DataFrame, n: int, num_workers: int, batch_size: int) -> DataF
     return rows.where(F.col("rn") > consumed(F.lit(n), F.col("worker"), num_workers, batch_size))
 
 
+def going_on(rows: DataFrame, n: int, num_workers: int, batch_size: int) -> DataFrame:
+    """The batches that are left of rows(w, rn, ...) when n rows were given, numbered on from 0.
+
+    The first is the worker's whose turn it is, so their order is that of a read without a break. Of a batch that was
+    given in part the rest comes first. Batches must be full but for each worker's last.
+    """
+    out = batches(rows, batch_size)
+    first = n // batch_size
+    left = (F.col("batch") > first) | ((F.col("batch") == first) & ((F.col("rn") - 1) % batch_size >= n % batch_size))
+    return out.where(left).withColumn("batch", F.col("batch") - first).withColumn("turn", F.pmod(F.col("w") - first % num_workers, F.lit(num_workers)))
+
+
+def collated(rows: DataFrame, columns: list[str], collate=None) -> DataFrame:
+    """One row for each batch of rows(batch, rn, ...): batch, n, and an array of each column in the order of rn.
+
+    collate(name, array column) may make another column of each array. A batch is bounded, so its arrays are.
+    """
+    items = F.array_sort(F.collect_list(F.struct("rn", *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])))
+    made = rows.groupBy("batch").agg(F.count("*").alias("n"), items.alias("_items"))
+    arrays = [F.col("_items").getField(f"_{i}") for i in range(len(columns))]
+    return made.select("batch", "n", *[(collate(c, a) if collate else a).alias(c) for c, a in zip(columns, arrays, strict=True)])
+
+
 FIXED = ("shuffle", "num_workers", "input_dir", "seed", "item_loader", "drop_last")
 
 

@@ -151,3 +151,62 @@ def test_dtype_codes():
     """Fixed values of the format."""
     assert [helpers.TORCH_DTYPES[i] for i in (9, 10, 11, 13, 17, 19)] == ["half", "bfloat16", "uint8", "int16", "int64", "bool"]
     assert [helpers.NUMPY_DTYPES[i] for i in (0, 4, 10, 13)] == ["int8", "uint8", "float64", "bool"]
+
+
+def test_pieces_of_parquet_files(spark, tmp_path):
+    from grainmill.sources import readers
+
+    source, output = str(tmp_path / "s"), str(tmp_path / "p")
+    spark.range(30, numPartitions=3).write.parquet(source)
+    table = readers.reshard(spark, source, output, 4)
+    assert sorted((r["start"], r["end"]) for r in table.collect()) == sorted([(0, 4), (4, 8), (8, 10)] * 3)
+    rows = spark.read.parquet(output)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(30))
+    assert {r["count"] for r in rows.groupBy("piece").count().collect()} == {4, 2}
+    assert readers.reshard(spark, source, str(tmp_path / "q"), 5).count() == 6
+    with pytest.raises(ValueError):
+        readers.pieces(spark, source, 0)
+
+
+def test_file_weights(spark, tmp_path):
+    from grainmill.sources import readers
+
+    for name, n in (("a", 3), ("b", 5), ("empty", 0)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    files = manifest.walk(spark, str(tmp_path))
+    rows = [(1, str(tmp_path / "a"), [str(tmp_path / "b"), None]), (2, f"file://{tmp_path}/b", None), (3, "no file", []), (4, None, [str(tmp_path / "a")] * 2)]
+    inputs = spark.createDataFrame(rows, "k long, one string, more array<string>")
+    found = readers.file_weights(inputs, ["one", "more"], files, "k")
+    assert {r["k"]: r["weight"] for r in found.collect()} == {1: 8, 2: 5, 3: 0, 4: 6}
+    listed = spark.createDataFrame([(f"file:{tmp_path}/empty", 0)], "path string, length long")
+    with pytest.raises(Exception, match="an empty file"):
+        readers.file_weights(spark.createDataFrame([(1, str(tmp_path / "empty"))], "k long, one string"), ["one"], listed, "k").collect()
+
+
+def test_a_lost_run_goes_on(spark, tmp_path):
+    folder, marks = str(tmp_path / "o"), str(tmp_path / "marks")
+    (tmp_path / "marks").mkdir()
+
+    def fn(row):
+        import os
+        import uuid
+
+        open(f"{marks}/{row['id']}-{uuid.uuid4().hex}", "w").close()
+        if row["id"] == 40 and not os.path.exists(f"{marks}/mended"):
+            raise RuntimeError("lost")
+        return row
+
+    run = lambda n=64, **k: transform.optimize(spark.range(n).toDF("id"), fn, "id long", folder, "id", chunk_size=10, use_checkpoint=True, **k)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    (tmp_path / "marks" / "mended").write_text("")
+    for other in ({"n": 63}, {"workers": 2}):
+        with pytest.raises(ValueError):
+            run(**other)
+    assert [r["chunk_size"] for r in run().orderBy("chunk").collect()] == [10] * 6 + [4]
+    assert [r["id"] for r in manifest.read_rows(spark, folder).orderBy("chunk", "row").collect()] == list(range(64))
+    calls = [int(p.name.partition("-")[0]) for p in (tmp_path / "marks").iterdir() if "-" in p.name]
+    assert all(calls.count(i) == 1 for i in [*range(40), *range(44, 64)])
+    assert not (tmp_path / "o" / "_checkpoint").exists()
+    with pytest.raises(ValueError):
+        run()
