@@ -13,7 +13,7 @@ from grainmill.functions.shipping import ship
 from grainmill.operators import combining, packing, sampling, transform
 from grainmill.plans import index, planner
 from grainmill.sources import chunkbin, manifest, readers, tokens
-from grainmill.streaming import ingest, loader
+from grainmill.streaming import filling, ingest, loader
 
 CHUNK = 64
 
@@ -382,6 +382,15 @@ def q_resume_batches(spark, d):
     return loader.going_on(_read(spark, d), 70, 3, 16).select("batch", "turn", "w", "rn", "doc_id")
 
 
+def q_filling_batches(spark, d):
+    rows = _docs(spark, d)
+    return filling.filling_batches(rows, rows.count(), 2, 3, 16).select("doc_id", "rank", "worker", "batch")
+
+
+def q_filled_batches(spark, d):
+    return filling.filled_batches(_docs(spark, d), _chunks(spark, d), 2, 3, 16, epoch=2).select("doc_id", "rank", "worker", "place", "batch")
+
+
 def q_collate(spark, d):
     return loader.collated(loader.batches(_read(spark, d), 16), ["doc_id", "lang"], lambda _, a: F.array_join(a, " "))
 
@@ -560,6 +569,8 @@ def oracle_sql() -> dict[str, str]:
         "q_chunk_cursor": f"with {DOCS}, {_plan_sql(1, 3, 1, True)}, s2 as (select *, sum(e - s) over (partition by w order by pos) - (e - s) a, sum(e - s) over (partition by w order by pos) b, w * 40 + 70 n from plan) select w, pos, chunk, (n - a)::bigint as offset from s2 where a <= n and n < b",
         "q_resume": read + " select w, rn, doc_id from rr where rn > (100 // 48) * 16 + least(16, greatest(0, 100 % 48 - wk * 16))",
         "q_resume_batches": read + ", l as (select *, (rn - 1) // 16 lb from rr), b as (select *, dense_rank() over (order by lb, w) - 1 g from l) select g - 4 batch, (w + 2) % 3 turn, w, rn, doc_id from b where g > 4 or (g = 4 and (rn - 1) % 16 >= 6)",
+        "q_filling_batches": f"with {DOCS}, n as (select count(*) n from d), r as (select doc_id, least(idx // (n // 2), 1) rk, idx - least(idx // (n // 2), 1) * (n // 2) p, n // 6 k from d, n), w as (select *, least(p // k, 2) wk from r) select doc_id, rk as rank, wk worker, ((p - wk * k) // 16) * 3 + wk batch from w",
+        "q_filled_batches": f"with {DOCS}, o as (select *, row_number() over (order by {by_epoch(2)}, chunk) - 1 o from ch), x as (select chunk, o % 2 rk, (o // 2) % 3 wk, o from o), j as (select doc_id, rk, wk, row_number() over (partition by rk, wk order by o, {by_epoch(2, "concat_ws('-', cast(chunk as varchar), cast(pos as varchar))")}, pos) - 1 p from c join x using (chunk)) select doc_id, rk as rank, wk worker, p place, (p // 16) * 3 + wk batch from j",
         "q_collate": read + ", l as (select *, (rn - 1) // 16 lb from rr), b as (select *, dense_rank() over (order by lb, w) - 1 batch from l) select batch, count(*) n, string_agg(b.doc_id::varchar, ' ' order by rn) doc_id, string_agg(c.lang, ' ' order by rn) lang from b join c on b.doc_id = c.doc_id group by batch",
         "q_bytes_of": "select * from (values ('64MB', 64000000::bigint), ('1.5gb', 1500000000), ('10 kb', 10000), ('2TB', 2000000000000), ('12b', null), ('x', null)) v(s, n)",
         "q_human_bytes": "select doc_id, case when n_chars < 1000 then printf('%d.0 B', n_chars) else printf('%d.%d KB', (n_chars + 50) // 1000, ((n_chars + 50) // 100) % 10) end h from documents",

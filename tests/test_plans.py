@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from grainmill.operators import combining, packing, sampling
 from grainmill.plans import compat, index, planner
-from grainmill.streaming import loader
+from grainmill.streaming import filling, loader
 
 
 def chunks(spark, sizes):
@@ -172,3 +172,45 @@ def test_state_is_checked():
     with pytest.raises(ValueError):
         loader.checked(saved, {"seed": 1}, 20)
     assert loader.checked(saved, {"seed": 1}, 5, override=True)
+
+
+@pytest.mark.parametrize(
+    ("n", "ranks", "expected"),
+    [
+        (21, 1, [[0, 1, 2], [7, 8, 9], [14, 15, 16], [3, 4, 5], [10, 11, 12], [17, 18, 19], [6], [13], [20]]),
+        (11, 1, [[0, 1, 2], [3, 4, 5], [6, 7, 8], [], [], [9, 10]]),
+        (8, 1, [[0, 1], [2, 3], [4, 5, 6], [], [], [7]]),
+        (4, 1, [[0], [1], [2, 3]]),
+        (19, 1, [[0, 1, 2], [6, 7, 8], [12, 13, 14], [3, 4, 5], [9, 10, 11], [15, 16, 17], [], [], [18]]),
+        (19, 2, [[0, 1, 2], [3, 4, 5], [6, 7, 8]]),
+    ],
+)
+def test_filling_batches(spark, n, ranks, expected):
+    rows = filling.filling_batches(spark.range(n).toDF("idx"), n, ranks, 3, 3).where("rank = 0").collect()
+    assert [sorted(r["idx"] for r in rows if r["batch"] == b) for b in range(max(r["batch"] for r in rows) + 1)] == expected
+
+
+def test_filled_batches_keep_chunks_whole(spark):
+    sizes = [5, 3, 0, 7, 1]
+    data = spark.createDataFrame([(c, r) for c, n in enumerate(sizes) for r in range(n)], "chunk long, row long")
+    for ranks in (1, 2, 7):
+        rows = filling.filled_batches(data, chunks(spark, sizes), ranks, 2, 3).collect()
+        assert sorted((r["chunk"], r["row"]) for r in rows) == sorted((r["chunk"], r["row"]) for r in data.collect())
+        for w in {(r["rank"], r["worker"]) for r in rows}:
+            mine = sorted((r for r in rows if (r["rank"], r["worker"]) == w), key=lambda r: r["place"])
+            assert [r["place"] for r in mine] == list(range(len(mine)))
+            turns = [r["chunk"] for i, r in enumerate(mine) if i == 0 or mine[i - 1]["chunk"] != r["chunk"]]
+            assert len(turns) == len(set(turns))
+            assert all(r["batch"] == r["place"] // 3 * 2 + w[1] for r in mine)
+
+
+def test_a_read_goes_on_where_it_stopped(spark):
+    rows = spark.createDataFrame([(w, i + 1, 100 * w + i) for w in range(3) for i in range(8)], "w long, rn long, x long")
+    turns = lambda r: (r["batch"], r["rn"])
+    whole = [r["x"] for r in sorted(loader.batches(rows, 4).collect(), key=turns)]
+    for n in (0, 3, 4, 9, 20, 24):
+        left = sorted(loader.going_on(rows, n, 3, 4).collect(), key=turns)
+        assert [r["x"] for r in left] == whole[n:]
+        assert not left or (left[0]["batch"], left[0]["turn"]) == (0, 0)
+    first = loader.collated(loader.batches(rows, 4), ["x"]).orderBy("batch").first()
+    assert (first["batch"], first["n"], first["x"]) == (0, 4, [0, 1, 2, 3])
