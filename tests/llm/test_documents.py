@@ -232,6 +232,43 @@ def test_search_asks_with_whole_texts(spark, monkeypatch, tmp_path, small, lists
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+@pytest.mark.parametrize(("cells", "postings", "pass_bytes"), [(16 << 20, 2_000_000, 32 << 20), (200, 50, 1), (0, 2_000_000, 1)])
+def test_search_by_products(spark, monkeypatch, tmp_path, cells, postings, pass_bytes):
+    """Shards go across batches, copies fill the k best, queries come in passes, a task gives back a block of queries once."""
+    for name, value in (("SMALL", 0), ("LISTS", 1), ("SHARD_BYTES", 9000), ("LEAST_COMMON", 2), ("TILE", 3), ("QUERIES", 4), ("CELLS", cells), ("POSTINGS", postings), ("PASS_BYTES", pass_bytes)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    monkeypatch.setattr(search, "ship", lambda session: None)
+    rows = [(i, " ".join(WORDS[(i * k + k * k) % 29] + str((i + k) % 7) for k in range(5 + i % 60)) + f" own{i}") for i in range(201)]
+    rows += [(300 + i, rows[150][1]) for i in range(40)] + [(500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    key, plan = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, stored = spark.conf.get(key), Workspace.stored
+    monkeypatch.setattr(Workspace, "stored", lambda work, df, name, *codec: plan.append((name, out := stored(work, df, name, *codec))) or out)
+    spark.conf.set(key, 7)
+    try:
+        got = sorted(tuple(r) for r in search.op2_top_k_search(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set(key, before)
+    texts = {i: Counter((t or "").lower().split()) for i, t in rows}
+    df = Counter(w for c in texts.values() for w in c)
+    mean = sum(sum(c.values()) for c in texts.values()) / len(texts)
+    want = []
+    for q in (i for i in texts if i % 50 == 0):
+        found = []
+        for i, c in texts.items():
+            if both := texts[q].keys() & c.keys():
+                norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+                found.append((-round(math.fsum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w in both), 9), i))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:10])]
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[2] for r in got if r[0] == 150] == [150, *range(300, 309)] == [r[2] for r in got if r[0] == 300]
+    assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+    index = dict(plan)["index"]
+    assert index.count() <= 3 * -(-sum(len(t or "") for _, t in rows) // 9000)  # not one for each batch
+    results = [df for name, df in plan if name == "results"]
+    assert len(results) == (1 if pass_bytes > 1 else 2) and sum(df.count() for df in results) == 2
+
+
 @pytest.mark.parametrize(("light", "sets", "block"), [(64, 512, 2_000_000), (2, 512, 2_000_000), (2, 7, 2_000_000), (64, 512, 700)])
 def test_links_are_all_counted(spark, monkeypatch, light, sets, block):
     monkeypatch.setattr(jaccard, "LIGHT", light)
