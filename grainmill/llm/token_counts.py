@@ -5,7 +5,7 @@
 2. The dictionaries meet by hash of the pre-token. There each distinct pre-token goes through the library once.
 3. The counts go back to the blocks' codes, are joined to the documents' frequencies, and summed.
 
-What is shuffled are packed columns of a block, not rows of words, so the sizes are near to those of the data itself.
+What is shuffled are packed columns of a block or of a run of its documents, not rows of words, so the sizes are near to those of the data itself.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from grainmill.llm._common import Workspace, input_bytes, ship, table
 
 #: Bytes of text in a block, and of input for each part of the dictionaries.
 BLOCK_BYTES, PART_BYTES = 32 << 20, 8 << 20
+#: Words of the documents whose frequencies are a row: values of more than half a MB are moved and kept by the JVM as humongous objects.
+RUN_WORDS = 100_000
 
 BLOCKS = "part int, block long, docs binary, freq binary, idx binary, words binary"
 COUNTS = "block long, idx binary, n binary"
@@ -62,30 +64,43 @@ def _table_bytes(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _runs(ends: np.ndarray):
+    """Ranges of documents with up to RUN_WORDS words, or one longer."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN_WORDS, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def _block(batch: pa.RecordBatch, texts: pa.Array, block: int, parts: int, tokenizer) -> pa.RecordBatch:
     split, codes, ends = pretokens.factorized(tokenizer.split(texts))
     first, second = tokenizer.parts(split.to_pylist())
     code_of = {p: i for i, p in enumerate(dict.fromkeys(p for p in (*first, *second) if p))}
     listed = [p.encode() for p in code_of]
-    row = np.repeat(np.arange(len(texts)), np.diff(ends))
-    of = [np.array([code_of.get(p, -1) for p in x], dtype=np.int64)[codes] for x in (first, second)]
-    width = max(len(listed), 1)
-    pairs, counts = np.unique(np.concatenate([(row * width + c)[c >= 0] for c in of]), return_counts=True)
-    row, code = np.divmod(pairs, width)
-    n = np.bincount(row, minlength=len(texts))
-    code[1:] -= np.where(row[1:] == row[:-1], code[:-1], 0)  # gaps within a document
-    docs = batch.select(["doc_id"]).append_column("n_bytes", pc.binary_length(texts).cast(pa.int64()))
-    freq = [pack(n), pack(code), pack(counts)]
-    freq = b"".join(len(x).to_bytes(8, "little") + x for x in freq)
+    of = [np.array([code_of.get(p, -1) for p in x], dtype=np.int64) for x in (first, second)]
+    del first, second, split
+    width, docs, freq = max(len(listed), 1), [], []
+    named = batch.select(["doc_id"]).append_column("n_bytes", pc.binary_length(texts).cast(pa.int64()))
+    for at, to in _runs(ends):
+        row = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))
+        words = codes[ends[at] : ends[to]]
+        code = np.concatenate([x[words] for x in of])
+        pairs, counts = np.unique((np.concatenate([row, row]) * width + code)[code >= 0], return_counts=True)
+        row, code = np.divmod(pairs, width)
+        n = np.bincount(row, minlength=to - at)
+        code[1:] -= np.where(row[1:] == row[:-1], code[:-1], 0)  # gaps within a document
+        docs.append(_table_bytes(named.slice(at, to - at)))
+        freq.append(b"".join(len(x).to_bytes(8, "little") + x for x in (pack(n), pack(code), pack(counts))))
     part = np.fromiter((zlib.crc32(w) for w in listed), dtype=np.int64, count=len(listed)) % parts
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
     idx = [pack(order[cuts[p] : cuts[p + 1]]) for p in full]
     packed = [pack_words([listed[i] for i in order[cuts[p] : cuts[p + 1]]]) for p in full]
-    none = [None] * len(full)
+    none, no_words = [None] * len(full), [None] * len(docs)
     return pa.RecordBatch.from_arrays(
-        [pa.array([-1, *full], pa.int32()), pa.array([block] * (1 + len(full)), pa.int64()), pa.array([_table_bytes(docs), *none], pa.binary()), pa.array([freq, *none], pa.binary()), pa.array([None, *idx], pa.binary()), pa.array([None, *packed], pa.binary())],
+        [pa.array([-1] * len(docs) + full, pa.int32()), pa.array([block] * (len(docs) + len(full)), pa.int64()), *[pa.array(x, pa.binary()) for x in (docs + none, freq + none, no_words + idx, no_words + packed)]],
         names=["part", "block", "docs", "freq", "idx", "words"],
     )
 
@@ -99,6 +114,7 @@ def _blocks(content, kind: str, parts: int):
             for at, to in pretokens.slices(texts, BLOCK_BYTES):
                 yield _block(batch.slice(at, to - at), texts.slice(at, to - at), block, parts, tokenizer)
                 block += 1
+                pretokens.trim()
 
     return run
 
@@ -111,19 +127,26 @@ def _count_part(content, kind: str):
         n = tokenizer.count(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in each])])
         counts = [pack(n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        del each, coded
+        pretokens.trim()
         return pa.table({"block": part.column("block"), "idx": part.column("idx"), "n": pa.array(counts, pa.binary())})
 
     return run
 
 
 def _sum_block(key, block: pa.Table, counts: pa.Table) -> pa.Table:
-    docs = pa.ipc.open_stream(block.column("docs")[0].as_py()).read_all()
     idx = [unpack(x) for x in counts.column("idx").to_pylist()]
     n = [unpack(x) for x in counts.column("n").to_pylist()]
     pieces = np.zeros(1 + max((int(x.max()) for x in idx if len(x)), default=-1), dtype=np.int64)
     for i, k in zip(idx, n, strict=True):
         pieces[i] = k
-    data, packed = block.column("freq")[0].as_py(), []
+    out = [_sum_run(docs, freq, pieces) for docs, freq in zip(*(block.column(c).to_pylist() for c in ("docs", "freq")), strict=True)]
+    pretokens.trim()
+    return pa.concat_tables(out)
+
+
+def _sum_run(docs: bytes, data: bytes, pieces: np.ndarray) -> pa.Table:
+    docs, packed = pa.ipc.open_stream(docs).read_all(), []
     while data:
         size = int.from_bytes(data[:8], "little")
         packed.append(unpack(data[8 : 8 + size]))

@@ -125,3 +125,22 @@ def test_trie():
         return value[node]
 
     assert [find(k) for k in keys] == list(range(5)) and find(b"ac") == -1 and find("é".encode()[:1]) == -1
+
+
+def test_no_value_of_a_block_is_large(spark, monkeypatch):
+    """A document is in one run; what a run has grows with RUN_WORDS, not with the Arrow batch."""
+    rows = [(i, " ".join(f"w{(i * k) % 4999}x{k % 13}" for k in range(1 + i * 7 % 500))) for i in range(3000)] + [(5000, None), (5001, ""), (None, "null id"), (5002, "long " * 150_000)]
+    texts, sizes = pa.array([t or "" for _, t in rows]), []
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), texts], names=["doc_id", "text"])
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        block = token_counts._block(batch, texts, 0, 8, pretokens.load(f.read(), "json"))
+    for name in ("docs", "freq", "idx", "words"):
+        sizes += [len(x) for x in block.column(name).to_pylist() if x is not None]
+    assert max(sizes) < 512 << 10
+    monkeypatch.setattr(token_counts, "RUN_WORDS", 700)
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), P.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
