@@ -462,11 +462,11 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return work.stored(links.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_union_find, "node long, root long"), "roots")
 
 
-def _pairs(part: pa.Table) -> pa.Table:
-    """Each pair of sets of different components that are in one of the lists of a part, once."""
-    key, sets, comp = (part.column(c).to_numpy() for c in ("key", "set", "comp"))
+def _pairs(part: pa.Table, share: int) -> pa.Table:
+    """Each pair of sets of different components that are in one of the lists of a part, and of sizes that can link, once."""
+    key, sets, comp, size = (part.column(c).to_numpy() for c in ("key", "set", "comp", "n"))
     order = np.lexsort((sets, key))
-    key, sets, comp = key[order], sets[order], comp[order]
+    key, sets, comp, size = key[order], sets[order], comp[order], size[order]
     names, code = np.unique(sets, return_inverse=True)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     times, found = np.diff(np.append(first, len(key))), []
@@ -477,6 +477,7 @@ def _pairs(part: pa.Table) -> pa.Table:
             rows = some[:, None] + np.arange(k)
             one, other = rows[:, i].ravel(), rows[:, j].ravel()
             apart = (comp[one] != comp[other]) & (sets[one] != sets[other])
+            apart &= 100 * np.minimum(size[one], size[other]) >= share * np.maximum(size[one], size[other])
             found.append(np.unique(code[one[apart]] * len(names) + code[other[apart]]))
     a, b = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64), max(len(names), 1))
     pretokens.trim()
@@ -693,10 +694,12 @@ def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share
     work.tidy()
     found = verify(stars, extended(stars.select("a").union(stars.select("b")).toDF("set")), share, work)
     # Then what is left in lists of more than one component: first in those up to LIGHT, then in longer ones.
-    light = _apart(lists.where(F.col("k") <= LIGHT), components(found, work), work)
-    dealt = light.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("part", "key", "set", "comp")
-    pairs = work.stored(possible(dealt.groupBy("part").applyInArrow(_pairs, "a long, b long").distinct(), sets, share), "possible")
-    work.discard("apart", "stars")
+    now = sets.select(F.col("set").alias("_set"), "n").join(components(found, work), F.col("_set") == F.col("node"), "left").select("_set", "n", F.coalesce("root", "_set").alias("comp"))
+    light = lists.where(F.col("k") <= LIGHT).join(now, F.col("set") == F.col("_set"))
+    dealt = light.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).alias("part"), "key", "set", "n", "comp")
+    met = dealt.groupBy("part").applyInArrow(lambda part: _pairs(part, share), "a long, b long").repartition("b").distinct()  # dealt by b once, also for the join
+    pairs = work.stored(possible(met, sets, share), "possible")
+    work.discard("stars")
     found = found.union(verify(pairs, extended(pairs.select("a").union(pairs.select("b")).toDF("set")), share, work))
     heavy = _apart(lists.where(F.col("k") > LIGHT), components(found, work), work)
     heavy = work.stored(heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp"), "long")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grainmill.llm import fingerprint, jaccard, language_id, mixing, search
@@ -269,6 +270,13 @@ def test_search_by_products(spark, monkeypatch, tmp_path, cells, postings, pass_
     assert len(results) == (1 if pass_bytes > 1 else 2) and sum(df.count() for df in results) == 2
 
 
+def test_pairs_of_lists_are_apart_and_of_like_size():
+    rows = [(1, 10, 100, 5), (1, 11, 81, 6), (1, 12, 79, 7), (1, 13, 100, 5), (2, 10, 100, 5), (2, 11, 81, 6), (3, 12, 79, 7), (3, 14, 70, 7)]
+    part = pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("key", "set", "n", "comp"), zip(*rows), strict=True)})
+    assert jaccard._pairs(part, 80).to_pylist() == [{"a": 10, "b": 11}, {"a": 11, "b": 12}, {"a": 11, "b": 13}]
+    assert len(jaccard._pairs(part, 79)) == 5 and len(jaccard._pairs(part.slice(0, 0), 80)) == 0
+
+
 @pytest.mark.parametrize(("light", "sets", "block"), [(64, 512, 2_000_000), (2, 512, 2_000_000), (2, 7, 2_000_000), (64, 512, 700)])
 def test_links_are_all_counted(spark, monkeypatch, light, sets, block):
     monkeypatch.setattr(jaccard, "LIGHT", light)
