@@ -17,7 +17,8 @@ or more, for that would be more than H in all.
 What the lists' sets have in common is found in two steps. The sets of lists longer than STAR are compared with one of
 the list first, the one that is in most lists with others; the links make components. What is left are pairs of different
 components: those of lists up to LIGHT are made once each, ruled out by sketches (sets differ by at least as much as
-their counts in cells of the universe do) and compared whole; in longer lists blocks of sets meet, block with block within a
+their counts in cells of the universe do) and compared whole; the sketches come with the sets of the lists, which are fewer
+than the pairs, and to the pairs themselves only in lists up to SHORT; in longer lists blocks of sets meet, block with block within a
 task, at first their sketches, then, unless few pairs are left, whole sets, which gives back links that join components and no pairs. So rows grow
 with the lists, and only comparisons inside tasks with the square of a group that is alike but does not link.
 Links are counted after that: all pairs of a component's sets are compared, in blocks of sets, each block with each.
@@ -42,8 +43,9 @@ from grainmill.llm.graph import connected_components
 BLOCK_BYTES, RANGE_BYTES, GROUP_SHINGLES = 2 << 20, 8 << 20, 1_000_000
 #: Signatures that a task gathers before it hands them on in ranges, and bits of one.
 GATHERED, KEY_BITS = 1 << 20, 48
-#: Lists longer than REFINE may be given up; those longer than STAR are first compared with one set; up to LIGHT, by pairs.
-REFINE, STAR, LIGHT = 16, 8, 64
+#: Lists longer than REFINE may be given up; those longer than STAR are first compared with one set; up to LIGHT, by pairs,
+#: which take sketches along only up to SHORT.
+REFINE, STAR, LIGHT, SHORT = 16, 8, 64, 4
 #: Links that one task makes components of; more are joined in distributed rounds.
 ONE_TASK = 1_000_000
 #: Sets of a block of a component or list that is compared whole; its shingles are at most about GROUP_SHINGLES.
@@ -215,6 +217,22 @@ def may_link(one: list[bytes], other: list[bytes], n: np.ndarray, m: np.ndarray,
     return may
 
 
+def may_link_among(packed: list[bytes], size: np.ndarray, a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
+    """The same for pairs (a[i], b[i]) of the sets with the sketches packed: those of a piece of the pairs are unpacked once."""
+    may, lengths = np.ones(len(a), dtype=bool), np.array([len(x) for x in packed])
+    both = np.stack([lengths[a], lengths[b]]) if len(a) else np.zeros((2, 0), dtype=np.int64)
+    for p, q in np.unique(both, axis=1).T.tolist():
+        rows = np.flatnonzero((both[0] == p) & (both[1] == q))
+        for some in np.split(rows, np.arange(4096, len(rows), 4096)):
+            cells = []
+            for side in (a[some], b[some]):
+                sets, at = np.unique(side, return_inverse=True)
+                cells.append(_folded(_cells([packed[i] for i in sets]), min(p, q) * 4).astype(np.int8)[at])
+            differ = np.abs(cells[0] - cells[1]).sum(axis=1, dtype=np.int64)
+            may[some] = differ * (100 + share) <= (100 - share) * (size[a[some]] + size[b[some]])
+    return may
+
+
 def with_partners(packed: list[bytes], size: np.ndarray, share: int, comp: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Which of some sets have another of another component, and block if there are two, that their sketches do not rule out;
     and the pairs of these, if there are no more than PAIRS for each set."""
@@ -396,11 +414,12 @@ def _possible(share: int):
     return run
 
 
-def possible(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """(a, b, n) for those of pairs(a, b) whose sketches do not rule out that they link; n is b's size."""
+def possible(pairs: DataFrame, sets: DataFrame, share: int, firsts: DataFrame | None = None) -> DataFrame:
+    """(a, b, n) for those of pairs(a, b) whose sketches do not rule out that they link; n is b's size. firsts: the sets of a."""
     known = sets.select("set", "n", "sketch")
-    one = pairs.join(known, F.col("set") == F.col("b")).select("a", "b", "n", F.col("sketch").alias("other"))
-    both = one.join(known.withColumnRenamed("n", "m"), F.col("set") == F.col("a")).select("a", "b", "n", "m", F.col("sketch").alias("one"), "other")
+    firsts = known if firsts is None else firsts
+    one = pairs.join(known, F.col("set") == F.col("b")).select("a", "b", F.col("n").alias("_n"), F.col("sketch").alias("other"))
+    both = one.join(firsts, F.col("set") == F.col("a")).select("a", "b", F.col("_n").alias("n"), F.col("n").alias("m"), F.col("sketch").alias("one"), "other")
     return both.mapInArrow(_possible(share), "a long, b long, n long")
 
 
@@ -484,6 +503,23 @@ def _pairs(part: pa.Table, share: int) -> pa.Table:
     return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
 
 
+def _sifted(share: int):
+    def run(part: pa.Table) -> pa.Table:
+        """_pairs, with the size n of b: of lists with sketches those that these leave, of others all, with n null."""
+        bare = pc.is_null(part.column("sketch"))
+        open_pairs, part = _pairs(part.filter(bare), share), part.filter(pc.invert(bare))
+        pairs = _pairs(part, share)
+        names, first = np.unique(part.column("set").to_numpy(), return_index=True)
+        packed, size = part.column("sketch").take(pa.array(first)).to_pylist(), part.column("n").to_numpy()[first]
+        a, b = (np.searchsorted(names, pairs.column(c).to_numpy()) for c in ("a", "b"))
+        may = may_link_among(packed, size, a, b, share)
+        left = pairs.filter(pa.array(may)).append_column("n", pa.array(size[b[may]], pa.int64()))
+        pretokens.trim()
+        return pa.concat_tables([left, open_pairs.append_column("n", pa.nulls(len(open_pairs), pa.int64()))])
+
+    return run
+
+
 def _partners(share: int):
     def run(part: pa.Table) -> pa.Table:
         comp, block, names = (part.column(c).to_numpy() for c in ("comp", "block", "_s"))
@@ -688,18 +724,22 @@ def _links(rows: DataFrame, lists: DataFrame, sets: DataFrame, width: int, share
     longer = lists.where(F.col("k") > STAR)
     score = lists.groupBy("set").agg(F.sum(F.col("k") - 1).alias("score")).withColumnRenamed("set", "_set")
     scored = longer.join(score, F.col("set") == F.col("_set")).select("key", "set", "score")
-    center = scored.groupBy("key").agg(F.max_by("set", F.struct("score", "set")).alias("a")).withColumnRenamed("key", "_key")
+    center = work.stored(scored.groupBy("key").agg(F.max_by("set", F.struct("score", "set")).alias("a")).withColumnRenamed("key", "_key"), "centers")
     stars = longer.join(center, F.col("key") == F.col("_key")).where("a <> set").select("a", F.col("set").alias("b")).distinct()
-    stars = work.stored(possible(stars, sets, share), "stars")
+    # Centers are few: their sketches go to the other sets' if they can, else these to the centers.
+    centers = sets.select("set", "n", "sketch").join(small_side(center.select("a").distinct(), center.count(), 24), F.col("set") == F.col("a"), "left_semi")
+    n_bytes = centers.agg(F.sum(F.length("sketch") + 60)).first()[0] or 0
+    stars = work.stored(possible(stars, sets, share, small_side(centers, n_bytes, 1)), "stars")
     work.tidy()
     found = verify(stars, extended(stars.select("a").union(stars.select("b")).toDF("set")), share, work)
     # Then what is left in lists of more than one component: first in those up to LIGHT, then in longer ones.
-    now = sets.select(F.col("set").alias("_set"), "n").join(components(found, work), F.col("_set") == F.col("node"), "left").select("_set", "n", F.coalesce("root", "_set").alias("comp"))
+    now = sets.select(F.col("set").alias("_set"), "n", "sketch").join(components(found, work), F.col("_set") == F.col("node"), "left").select("_set", "n", F.coalesce("root", "_set").alias("comp"), "sketch")
     light = lists.where(F.col("k") <= LIGHT).join(now, F.col("set") == F.col("_set"))
-    dealt = light.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).alias("part"), "key", "set", "n", "comp")
-    met = dealt.groupBy("part").applyInArrow(lambda part: _pairs(part, share), "a long, b long").repartition("b").distinct()  # dealt by b once, also for the join
-    pairs = work.stored(possible(met, sets, share), "possible")
-    work.discard("stars")
+    dealt = light.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).alias("part"), "key", "set", "n", "comp", F.when(F.col("k") > SHORT, F.col("sketch")).alias("sketch"))
+    met = work.stored(dealt.groupBy("part").applyInArrow(_sifted(share), "a long, b long, n long"), "met")
+    work.discard("stars", "centers")
+    open_pairs = met.where("n is null").select("a", "b").repartition("b").distinct()  # dealt by b once, also for the join
+    pairs = work.stored(possible(open_pairs, sets, share).union(met.where("n is not null")).distinct(), "possible")
     found = found.union(verify(pairs, extended(pairs.select("a").union(pairs.select("b")).toDF("set")), share, work))
     heavy = _apart(lists.where(F.col("k") > LIGHT), components(found, work), work)
     heavy = work.stored(heavy.join(sets.select(F.col("set").alias("_s"), "n", "sketch"), F.col("set") == F.col("_s")).select("key", "set", "n", "sketch", "comp"), "long")

@@ -277,6 +277,26 @@ def test_pairs_of_lists_are_apart_and_of_like_size():
     assert len(jaccard._pairs(part, 79)) == 5 and len(jaccard._pairs(part.slice(0, 0), 80)) == 0
 
 
+def test_sketches_come_with_lists_and_not_with_pairs(spark, monkeypatch):
+    sets = random_sets(np.random.default_rng(7), 60)
+    size = np.array([len(s) for s in sets])
+    packed = jaccard.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    a, b = np.triu_indices(60, 1)
+    may = jaccard.may_link([packed[i] for i in a], [packed[j] for j in b], size[a], size[b], 80)
+    may &= 100 * np.minimum(size[a], size[b]) >= 80 * np.maximum(size[a], size[b])
+    rows = [(1, i, size[i], i, packed[i]) for i in range(60)] + [(2, i, size[i], i, None) for i in (3, 4)]
+    part = pa.table({name: pa.array(x, pa.binary() if name == "sketch" else pa.int64()) for name, x in zip(("key", "set", "n", "comp", "sketch"), zip(*rows), strict=True)})
+    got = jaccard._sifted(80)(part).to_pylist()
+    assert 0 < may.sum() < len(may) and [(x["a"], x["b"], x["n"]) for x in got if x["n"] is not None] == [(i, j, size[j]) for i, j in zip(a[may].tolist(), b[may].tolist(), strict=True)]
+    assert jaccard._sifted(80)(part.slice(0, 0)).schema.names == ["a", "b", "n"] and len(jaccard._sifted(80)(part.slice(60))) <= 1
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    made = []  # in the join, 40 sets of one list with a line in common meet within it: no pair of theirs takes a sketch along
+    monkeypatch.setattr(jaccard, "possible", lambda pairs, *rest, f=jaccard.possible: made.append(pairs.count()) or f(pairs, *rest))
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(30)] + [f"common{k}" for k in range(18)]), "a") for i in range(40)]
+    assert jaccard.join(documents(spark, docs), 4, 85).select("component_id").distinct().count() == 40
+    assert len(made) == 2 and made[1] == 0
+
+
 @pytest.mark.parametrize(("light", "sets", "block"), [(64, 512, 2_000_000), (2, 512, 2_000_000), (2, 7, 2_000_000), (64, 512, 700)])
 def test_links_are_all_counted(spark, monkeypatch, light, sets, block):
     monkeypatch.setattr(jaccard, "LIGHT", light)
