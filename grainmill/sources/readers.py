@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIECE_ROWS = 65536
@@ -31,6 +31,26 @@ def pieces(spark: SparkSession, path: str, num_rows: int = PIECE_ROWS, glob: str
     return cut.select(F.concat_ws("_", "start", "end", "_name").alias("name"), "file", "start", "end")
 
 
+def table_pieces(spark: SparkSession, path: str, num_rows: int = PIECE_ROWS, glob: str | None = None) -> DataFrame:
+    """start, end and parts of each piece of up to num_rows rows of all files as one table, in the order of their paths.
+
+    Pieces go across files: parts is an array of (file, start, end), rows of a file each. A piece is in one part where a
+    table is one file, as in pieces(). Only footers are read, and only counts of files meet in one window.
+    """
+    if num_rows <= 0:
+        raise ValueError("a piece has one row or more")
+    files = _files(spark, path, glob).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = files.withColumn("_from", before)
+    first, last = F.floor(F.col("_from") / num_rows), F.floor((F.col("_from") + F.col("_n") - 1) / num_rows)
+    cut = placed.withColumn("_piece", F.explode(F.sequence(first, last)))
+    a = F.greatest(F.col("_piece") * num_rows, F.col("_from"))
+    b = F.least((F.col("_piece") + 1) * num_rows, F.col("_from") + F.col("_n"))
+    parts = cut.select("_piece", a.alias("_a"), b.alias("_b"), F.struct("file", (a - F.col("_from")).alias("start"), (b - F.col("_from")).alias("end")).alias("_part"))
+    whole = parts.groupBy("_piece").agg(F.min("_a").alias("start"), F.max("_b").alias("end"), F.array_sort(F.collect_list("_part")).alias("parts"))
+    return whole.select("start", "end", "parts")
+
+
 def reshard(spark: SparkSession, path: str, output: str, num_rows: int = PIECE_ROWS, glob: str | None = None) -> DataFrame:
     """Write each piece as a Parquet file of its own, with its rows in order; the table of pieces. One task has up to num_rows rows of a piece."""
     rows = piece_rows(spark, path, num_rows, glob)

@@ -168,6 +168,24 @@ def test_pieces_of_parquet_files(spark, tmp_path):
         readers.pieces(spark, source, 0)
 
 
+def test_pieces_of_a_table_go_across_files(spark, tmp_path):
+    from grainmill import catalogue
+    from grainmill.sources import readers
+    from oracle import assert_same, connect
+
+    source = f"{tmp_path}/documents.parquet"
+    spark.range(1000, numPartitions=3).withColumnRenamed("id", "doc_id").write.parquet(source)  # 333, 333 and 334 rows
+    assert_same(catalogue.q_pieces(spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["q_pieces"])
+    at = [(p["file"], p["start"], p["end"]) for r in readers.table_pieces(spark, source, 150).orderBy("start").collect() for p in r["parts"]]
+    assert len(at) == 9 and at == sorted(at) and sum(b - a for _, a, b in at) == 1000
+    assert all(x[2] == y[1] if x[0] == y[0] else y[1] == 0 for x, y in zip(at, at[1:], strict=False))
+    assert readers.table_pieces(spark, source, 1000).count() == 1
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    assert readers.table_pieces(spark, str(tmp_path / "none"), 150).count() == 0
+    with pytest.raises(ValueError):
+        readers.table_pieces(spark, source, 0)
+
+
 def test_file_weights(spark, tmp_path):
     from grainmill.sources import readers
 
