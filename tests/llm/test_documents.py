@@ -270,6 +270,35 @@ def test_search_by_products(spark, monkeypatch, tmp_path, cells, postings, pass_
     assert len(results) == (1 if pass_bytes > 1 else 2) and sum(df.count() for df in results) == 2
 
 
+def test_search_takes_bounds_from_the_first_shards(spark, monkeypatch, tmp_path):
+    for name, value in (("SMALL", 0), ("LISTS", 1), ("SHARD_BYTES", 2000), ("LEAST_COMMON", 2), ("QUERIES", 4), ("POSTINGS", 50), ("FIRST", 3), ("TIMES", 1)):
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(search, "ship", lambda session: None)
+    rows = [(i, " ".join(WORDS[(i * k + k * k) % 29] + str((i + k) % 7) for k in range(5 + i % 60)) + f" own{i}") for i in range(201)]
+    rows += [(300 + i, rows[150][1]) for i in range(40)] + [(500, None), (550, "nobody else")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    kept, stored = {}, Workspace.stored
+    monkeypatch.setattr(Workspace, "stored", lambda work, df, name, *codec: kept.setdefault(name, stored(work, df, name, *codec)))
+    got = sorted(tuple(r) for r in search.op2_top_k_search(spark, str(tmp_path)).collect())
+    texts = {i: Counter((t or "").lower().split()) for i, t in rows}
+    df = Counter(w for c in texts.values() for w in c)
+    mean = sum(sum(c.values()) for c in texts.values()) / len(texts)
+    want = []
+    for q in (i for i in texts if i % 50 == 0):
+        found = []
+        for i, c in texts.items():
+            if both := texts[q].keys() & c.keys():
+                norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+                found.append((-round(math.fsum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w in both), 9), i))
+        want += [(q, r + 1, i) for r, (s, i) in enumerate(sorted(found)[:10])]
+    assert [r[:3] for r in got] == want
+    assert 0 < kept["first"].count() and kept["index"].count() >= 3
+    first = np.concatenate([np.frombuffer(r["results"], dtype=search.ROW) for r in kept["first"].collect()])
+    full = [q for q in np.unique(first["query"]) if (first["query"] == q).sum() == 10]
+    best = search.Best(np.unique(first["query"]), 10, first[np.argsort(first["query"], kind="stable")].tobytes())
+    assert full and {q: s for q, s in zip(best.numbers, best.floor(np.arange(len(best.numbers))), strict=True) if s} == {q: first["score"][first["query"] == q].min() for q in full}
+
+
 def test_pairs_of_lists_are_apart_and_of_like_size():
     rows = [(1, 10, 100, 5), (1, 11, 81, 6), (1, 12, 79, 7), (1, 13, 100, 5), (2, 10, 100, 5), (2, 11, 81, 6), (3, 12, 79, 7), (3, 14, 70, 7)]
     part = pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("key", "set", "n", "comp"), zip(*rows), strict=True)})
