@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +12,20 @@ from pyspark.sql import functions as F
 RANGE_ROWS, SAMPLED = 250_000, 20
 
 
-def bounds(df: DataFrame, key: str, seed: int = 7) -> list:
-    """Sorted keys that cut df into ranges of about RANGE_ROWS rows; none for a small df. What is collected grows with the ranges alone."""
-    n = df.count()
-    ranges = -(-n // RANGE_ROWS)
+def bounds(df: DataFrame, key: str, seed: int = 7, weight: Column | None = None, size: int | None = None) -> list:
+    """Sorted keys that cut df into ranges of about RANGE_ROWS rows, or of about so much weight (a number for each row).
+
+    None for a small df. What is collected grows with the ranges alone.
+    """
+    weight = F.lit(1) if weight is None else weight
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    ranges = -(-total // (size or RANGE_ROWS))
     if ranges < 2:
         return []
-    drawn = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, SAMPLED * ranges / n), seed)
-    keys = sorted(r[0] for r in drawn.limit(4 * SAMPLED * ranges).collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    drawn = df.where(F.col(key).isNotNull()).select(key, weight.alias("_w")).sample(min(1.0, SAMPLED * ranges / n), seed)
+    rows = sorted(tuple(r) for r in drawn.limit(4 * SAMPLED * ranges).collect())
+    upto = list(itertools.accumulate(w for _, w in rows))
+    return sorted({rows[bisect.bisect_right(upto, upto[-1] * i // ranges)][0] for i in range(1, ranges)}) if upto else []
 
 
 def range_of(key: Column, cuts: list, kind: str) -> Column:

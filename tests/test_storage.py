@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.functions import codecs, helpers
 from grainmill.operators import transform
@@ -186,6 +187,25 @@ def test_pieces_of_a_table_go_across_files(spark, tmp_path):
         readers.table_pieces(spark, source, 0)
 
 
+def test_token_blocks_go_across_ranges(spark, monkeypatch):
+    from grainmill.plans import index
+    from grainmill.sources import tokens
+
+    rows = [("ab"[i % 3 == 0] if i % 11 else None, i if i else None, [f"{i}.{k}" for k in range(i * i % 23)] if i % 13 else None) for i in range(300)]
+    items = spark.createDataFrame(rows, "chunk string, idx long, tokens array<string>").repartition(4)
+    runs = {c: [t for d, _, ts in rows if d == c and ts for t in ts] for c in ("a", "b", None)}
+    want = {(c, k): run[16 * k : 16 * k + 16] for c, run in runs.items() for k in range(len(run) // 16)}
+    for size in (100, 1 << 30):
+        monkeypatch.setattr(tokens, "RANGE_TOKENS", size)
+        made = tokens.blocks(items, 16)
+        assert {(r["chunk"], r["block"]): r["tokens"] for r in made.collect()} == want and made.count() == len(want)
+        assert made.schema.names == ["chunk", "block", "tokens"]
+    cuts = index.bounds(items.where("size(tokens) > 0"), "idx", weight=F.size("tokens"), size=100)
+    total = sum(len(t or ()) for *_, t in rows)
+    parts = [sum(len(t or ()) for _, i, t in rows if (i or 0) >= a and (i or 0) < b) for a, b in zip([0, *cuts], [*cuts, 300], strict=True)]
+    assert len(cuts) >= total // 200 and max(parts) < 300  # no task has a chunk's tokens
+
+
 def test_file_weights(spark, tmp_path):
     from grainmill.sources import readers
 
