@@ -21,6 +21,8 @@ from grainmill.functions import codecs
 KEYS = {"string": "str", "boolean": "bool", "bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "binary": "bytes"}
 #: The size of a leaf that is null; no leaf is as long.
 NULL = (1 << 32) - 1
+#: Up to so many chunks are read in a task each; of more, a task reads up to so many bytes.
+SINGLE, READ_BYTES = 64, 16 << 20
 TYPES = {"str": "string", "bool": "boolean", "int": "bigint", "float": "double", "bytes": "binary", "pickle": "binary"}
 
 
@@ -44,26 +46,43 @@ def item(data: bytes, i: int, leaves: int) -> list[bytes | None]:
     return out
 
 
-class _Chunk(InputPartition):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+class _Chunks(InputPartition):
+    def __init__(self, chunks: list[tuple[str, int]]):
+        self.chunks = chunks
+
+
+def dealt(chunks: list[dict]) -> list[list[tuple[str, int]]]:
+    """Runs of chunks (file name, rows) to read in a task each: single chunks up to SINGLE of them, else of up to READ_BYTES, or one chunk, in SINGLE runs at least."""
+    most = min(READ_BYTES, sum(c["chunk_bytes"] for c in chunks) // SINGLE) if len(chunks) > SINGLE else 0
+    runs, held = [], 0
+    for c in chunks:
+        if not runs or held + c["chunk_bytes"] > most:
+            runs.append([])
+            held = 0
+        runs[-1].append((c["filename"], c["chunk_size"]))
+        held += c["chunk_bytes"]
+    return runs
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, index: dict):
-        self.folder, self.index = folder, index
+    """Every task gets a copy of it, so it has no list of chunks."""
+
+    def __init__(self, folder: str, config: dict):
+        self.folder, self.config = folder, config
 
     def partitions(self):
-        return [_Chunk(os.path.join(self.folder, c["filename"]), c["chunk_size"]) for c in self.index["chunks"]]
+        with open(os.path.join(self.folder, "index.json")) as f:
+            return [_Chunks(run) for run in dealt(json.load(f)["chunks"])]
 
     def read(self, partition):
-        keys = self.index["config"]["data_format"]
-        expand = codecs.compressor(self.index["config"]["compression"])[1]
-        with open(partition.path, "rb") as f:
-            data = expand(f.read())
+        keys = self.config["data_format"]
+        expand = codecs.compressor(self.config["compression"])[1]
         decode = [codecs.codec(k)[1] for k in keys]
-        for i in range(partition.rows):
-            yield tuple(None if x is None else d(x) for d, x in zip(decode, item(data, i, len(keys)), strict=True))
+        for name, rows in partition.chunks if partition else ():
+            with open(os.path.join(self.folder, name), "rb") as f:
+                data = expand(f.read())
+            for i in range(rows):
+                yield tuple(None if x is None else d(x) for d, x in zip(decode, item(data, i, len(keys)), strict=True))
 
 
 class _Done(WriterCommitMessage):
@@ -76,14 +95,19 @@ class _Writer(DataSourceWriter):
         self.folder, self.names, self.overwrite = folder, schema.names, overwrite
         self.keys = [KEYS[f.dataType.simpleString()] for f in schema.fields]
         self.compression, self.size = options.get("compression"), int(options.get("chunk_size", 1024))
-        self.run, self.old = uuid.uuid4().hex[:8], []
+        self.run = uuid.uuid4().hex[:8]
         if os.path.exists(there := os.path.join(folder, "index.json")):
             with open(there) as f:
                 index = json.load(f)
             config = index["config"]
             if not overwrite and (config["data_format"], config.get("data_spec"), config["compression"]) != (self.keys, self.names, self.compression):
                 raise ValueError(f"{folder} has another format")
-            self.old = index["chunks"]
+
+    def _old(self) -> list[dict]:
+        if not os.path.exists(there := os.path.join(self.folder, "index.json")):
+            return []
+        with open(there) as f:
+            return json.load(f)["chunks"]
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -115,11 +139,12 @@ class _Writer(DataSourceWriter):
         made = sorted((c for m in messages if m for c in m.chunks), key=lambda c: (c["rank"], c["number"]))
         os.makedirs(self.folder, exist_ok=True)
         config = {"data_format": self.keys, "data_spec": self.names, "compression": self.compression, "chunk_size": self.size, "chunk_bytes": None, "encryption": None, "item_loader": "pytree"}
+        old = self._old()
         index, beside = os.path.join(self.folder, "index.json"), os.path.join(self.folder, f".index-{self.run}")
         with open(beside, "w") as f:
-            json.dump({"chunks": [*([] if self.overwrite else self.old), *made], "config": config}, f)
+            json.dump({"chunks": [*([] if self.overwrite else old), *made], "config": config}, f)
         os.replace(beside, index)
-        for c in self.old if self.overwrite else ():
+        for c in old if self.overwrite else ():
             os.remove(os.path.join(self.folder, c["filename"]))
 
     def abort(self, messages):
@@ -142,7 +167,7 @@ class ChunkBin(DataSource):
         return ", ".join(f"`{n}` {TYPES.get(k, 'binary')}" for n, k in zip(names, config["data_format"], strict=True))
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self._index())
+        return _Reader(self.options["path"], self._index()["config"])
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], schema, self.options, overwrite)

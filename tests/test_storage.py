@@ -113,6 +113,19 @@ def test_chunkbin_modes_and_nulls(spark, tmp_path):
     assert len(list((tmp_path / "bin").glob("chunk-*"))) == len(spark.read.format("chunkbin").option("path", folder).load().rdd.glom().collect())
 
 
+def test_chunkbin_reads_runs_of_chunks(spark, tmp_path):
+    chunks = [{"filename": f"c{i}", "chunk_size": 1, "chunk_bytes": 1000 + i} for i in range(5000)]
+    for n in (0, 1, 64, 65, 5000):
+        runs = chunkbin.dealt(chunks[:n])
+        assert [x for run in runs for x in run] == [(c["filename"], 1) for c in chunks[:n]] and min(n, 64) <= len(runs) <= 130
+    assert len(chunkbin.dealt([c | {"chunk_bytes": 8 << 20} for c in chunks])) == 2500
+    chunkbin.register(spark)
+    folder = str(tmp_path / "bin")
+    spark.range(0, 400, 1, 2).write.format("chunkbin").options(path=folder, chunk_size=2).mode("append").save()
+    read = spark.read.format("chunkbin").option("path", folder).load()
+    assert read.rdd.getNumPartitions() < 200 and sorted(r[0] for r in read.collect()) == list(range(400))
+
+
 def test_a_function_runs_once_for_a_row(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
